@@ -5,17 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import exact_dedup, secret_scan
+from newsflow.llm import exact_dedup, packing, pieces, secret_scan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    digested = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(digested)
+
+
+def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pieces.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    covered = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), covered.alias("covered_bytes"))
+
+
 def _joined(spans, kinds=secret_scan.KINDS):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, kinds)), x["kind"]), x["start"], x["end"])), ",")
 
@@ -28,7 +50,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{n}") for k, n in enumerate(secret_scan.KINDS[:3])], F.sha2(_joined(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"), count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_example"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_kd_tree_sharding, op7_packing, op9_secret_scan, op10_piece_encoding)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
