@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import exact_dedup, packing, pieces, secret_scan, sharding, simhash
+from newsflow.llm import ann, exact_dedup, packing, pieces, secret_scan, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digested)
 
 
+def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pieces.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
     covered = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -55,7 +59,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{n}") for k, n in enumerate(secret_scan.KINDS[:3])], F.sha2(_joined(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"), count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_example"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_kd_tree_sharding, op6_simhash, op7_packing, op9_secret_scan, op10_piece_encoding)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_kd_tree_sharding, op6_simhash, op7_packing, op8_collision_counting, op9_secret_scan, op10_piece_encoding)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
