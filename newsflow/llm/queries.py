@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import ann, exact_dedup, packing, pieces, secret_scan, sharding, simhash
+from newsflow.llm import ann, exact_dedup, packing, pieces, secret_scan, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{n}") for k, n in enumerate(secret_scan.KINDS[:3])], F.sha2(_joined(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"), count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_example"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_kd_tree_sharding, op6_simhash, op7_packing, op8_collision_counting, op9_secret_scan, op10_piece_encoding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_kd_tree_sharding, op6_simhash, op7_packing, op8_collision_counting, op9_secret_scan, op10_piece_encoding)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
