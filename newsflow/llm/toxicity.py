@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +32,10 @@ DECAY = 0.8
 #: Steps from the first to the second and from there to the third character.
 STEPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
 #: Likeness from which a word counts.
-LEAST = 0.55
+LEAST = 0.7
 KEPT = 1_000_000
+#: Likeness to a chosen landmark from which a word is no landmark of its own.
+ALIKE = 0.95
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 
 
@@ -175,8 +177,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(a * self.margins(pooled) + b, -30, 30)))
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = 72, frequent: int = 24) -> list[str]:
-    """Word beginnings of 4 to 8 letters by how well their damped count tells the labels apart, then frequent words."""
+def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = 48, frequent: int = 12, least_gain: float = 4.0) -> list[str]:
+    """Word beginnings of 4 to 8 letters by how well their damped count tells the labels apart (mean difference over its
+    standard error, at least least_gain), then frequent words."""
     seen, total = {}, np.zeros(2)
     frequency: Counter[str] = Counter()
     for text, y in zip(texts, toxic.tolist(), strict=True):
@@ -192,20 +195,25 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = 72, frequ
             v = np.log1p(n)
             s[2 * y] += v
             s[2 * y + 1] += v * v
+
     def gain(b: str) -> float:
         s = seen[b]
         m0, m1 = s[0] / total[0], s[2] / total[1]
         spread = np.sqrt((s[1] / total[0] - m0 * m0) / total[0] + (s[3] / total[1] - m1 * m1) / total[1] + 1e-6)
         return (m1 - m0) / spread
-    ranked = sorted((b for b in seen if seen[b][2] > 0), key=lambda b: (-round(gain(b), 9), -len(b), b))[: 40 * count]
+
+    gains = {b: gain(b) for b in seen if seen[b][2] > 0}
+    ranked = sorted((b for b, g in gains.items() if g >= least_gain), key=lambda b: (-round(gains[b], 9), -len(b), b))[: 40 * count]
+    telling = len(ranked)
     ranked += [w for w, _ in sorted(frequency.items(), key=lambda x: (-x[1], x[0]))[: 10 * frequent]]
     ranked = [b[:8] for b in ranked]
     chosen: list[str] = []
-    kept = None
+    kept, told = None, 0
     for i, b in enumerate(ranked):
-        if len(chosen) >= count and i < len(ranked) - 10 * frequent or len(chosen) >= count + frequent:
+        told = len(chosen) if i <= telling else told
+        if len(chosen) >= (count if i < telling else min(count, told) + frequent):
             continue
-        if kept is None or max(kept.likeness([b]).max(), Landmarks.of([b]).likeness(chosen).max()) < 0.9:
+        if kept is None or kept.likeness([b]).max() < ALIKE:
             chosen.append(b)
             kept = Landmarks.of(chosen)
     return chosen
@@ -299,9 +307,7 @@ def add_scores(docs: DataFrame, model: ToxicityModel | int, text_col: str = "tex
     name = uuid.uuid4().hex
 
     @F.pandas_udf("double")
-    def score(texts: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from newsflow.llm import toxicity
 
         if name not in toxicity._CACHES:
