@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import ann, exact_dedup, packing, pieces, secret_scan, sharding, simhash, toxicity
+from newsflow.llm import ann, exact_dedup, lm_score, packing, pieces, secret_scan, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lm_score.score_documents(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -63,9 +68,34 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{n}") for k, n in enumerate(secret_scan.KINDS[:3])], F.sha2(_joined(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"), count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_example"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_kd_tree_sharding, op6_simhash, op7_packing, op8_collision_counting, op9_secret_scan, op10_piece_encoding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_kd_tree_sharding, op4_stupid_backoff, op6_simhash, op7_packing, op8_collision_counting, op9_secret_scan, op10_piece_encoding)}
 
 ORACLE_SQL = {
+    "op4_stupid_backoff": r"""
+        WITH t AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+          FROM documents),
+        w AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM t),
+        g AS (
+          SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS u
+          FROM w),
+        c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w),
+        c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w),
+        c3 AS (SELECT u, v, w, count(*) AS n FROM g WHERE u IS NOT NULL GROUP BY u, v, w),
+        s AS (
+          SELECT g.r, g.i,
+                 CASE WHEN c3.n >= 2 THEN ln(c3.n / k2.n)
+                      WHEN c2.n >= 2 THEN ln(c2.n / k1.n) + CASE WHEN g.i >= 2 THEN ln(0.4) ELSE 0 END
+                      ELSE ln(c1.n / (SELECT count(*) FROM w)) + least(g.i, 2) * ln(0.4) END AS l
+          FROM g JOIN c1 ON g.w = c1.w
+          LEFT JOIN c2 ON g.v = c2.v AND g.w = c2.w
+          LEFT JOIN c3 ON g.u = c3.u AND g.v = c3.v AND g.w = c3.w
+          LEFT JOIN c1 AS k1 ON g.v = k1.w
+          LEFT JOIN c2 AS k2 ON g.u = k2.v AND g.v = k2.w)
+        SELECT t.doc_id, count(s.i) AS n_tokens, round(coalesce(sum(s.l), 0), 3) AS log_score,
+               round(sum(s.l) / count(s.i), 6) AS mean_log_score
+        FROM t LEFT JOIN s ON t.r = s.r GROUP BY t.r, t.doc_id""",
     "op2_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256,
