@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import ann, exact_dedup, lm_score, packing, pieces, secret_scan, sharding, simhash, toxicity
+from newsflow.llm import ann, exact_dedup, lm_score, packing, pieces, secret_scan, sharding, simhash, tool_calls, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = tool_calls.dialogue_as_calls(_table(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(messages, tool_calls.REPLY)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -68,9 +73,28 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{n}") for k, n in enumerate(secret_scan.KINDS[:3])], F.sha2(_joined(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"), count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_example"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_kd_tree_sharding, op4_stupid_backoff, op6_simhash, op7_packing, op8_collision_counting, op9_secret_scan, op10_piece_encoding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_kd_tree_sharding, op4_stupid_backoff, op5_tool_calls, op6_simhash, op7_packing, op8_collision_counting, op9_secret_scan, op10_piece_encoding)}
 
 ORACLE_SQL = {
+    "op5_tool_calls": r"""
+        WITH m AS (
+          SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+                 'turn' || CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call_id
+          FROM conversations),
+        u AS (
+          SELECT conv_id, call_id, bool_or(kind = 'call') AS has_call, bool_or(kind = 'result') AS has_result
+          FROM m WHERE kind <> 'message' GROUP BY ALL),
+        j AS (
+          SELECT m.*, CASE kind WHEN 'call' THEN has_result WHEN 'result' THEN has_call END AS linked
+          FROM m LEFT JOIN u USING (conv_id, call_id))
+        SELECT conv_id, turn, role, kind, call_id, linked,
+               concat_ws('; ', CASE WHEN kind = 'call' AND text IS NULL THEN 'text: missing' END,
+                         CASE WHEN kind = 'call' AND NOT linked THEN 'no result' WHEN kind = 'result' AND NOT linked THEN 'no call' END) AS errors,
+               turn AS topo_turn, CASE WHEN kind = 'result' THEN 1 ELSE 0 END AS topo_phase,
+               CASE kind WHEN 'call' THEN '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) END || '},"call_id":' || to_json(call_id) || ',"name":"reply","role":' || to_json(role) || '}'
+                    WHEN 'result' THEN '{"call_id":' || to_json(call_id) || ',"content":' || coalesce(to_json(text), 'null') || ',"role":' || to_json(role) || '}'
+                    ELSE '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || to_json(role) || '}' END AS json
+        FROM j""",
     "op4_stupid_backoff": r"""
         WITH t AS (
           SELECT row_number() OVER () AS r, doc_id,
