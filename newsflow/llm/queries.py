@@ -42,7 +42,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
-    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return got.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

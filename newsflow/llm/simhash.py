@@ -1,21 +1,27 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-A fingerprint's 64 bits are cut into m parts; fingerprints at distance 4 or less agree in at least m - 4 whole parts,
-so they meet in one of the C(m, m - 4) tables sorted by a choice of parts; m grows with the number of fingerprints so that
-the rows that share a key stay few. Every table is cut into blocks of up to BLOCK consecutive rows, which are stored vertically: one bit
-plane for each of the 64 bits, 64 rows a word. Comparing a block with another updates the distances of 64 rows at once with
-carry-save counters and abandons words in which all distances exceed the radius. A key with more rows than a block fills several
-blocks, which are compared pair by pair; these pairs are spread over all tasks. A comparison returns only links between
+Fingerprints meet in tables, each sorted by a key made of some of the bits. For small radii the keys are choices of whole parts of
+the fingerprint, so that every pair within the radius shares a key of at least one table (`exact_keys`); for wide ones they are samples of bits, as
+many tables as let all but MISSED of the pairs at similarity 0.8 meet (`sampled_keys`). The more fingerprints, the longer the
+keys, so that the rows that share one stay few. Every table is cut into blocks of up to BLOCK consecutive rows, which are stored
+vertically: one plane for each bit, 64 rows a word. Comparing a block with another updates the distances of 64 rows at
+once with carry-save counters and abandons words in which all distances exceed the radius. A key with more rows than a block fills
+several blocks, which are compared pair by pair; these pairs are spread over all tasks. A comparison returns only links between
 groups that are not known to be connected yet, so the rows that leave a block never outnumber its fingerprints.
 
-Defined results: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
-repeated rows fall into one class; null ids take part but are never the smallest (a class of null ids alone has a null
-class id); an empty table gives an empty result; extra columns are ignored (`near_duplicates`) or kept (`drop_near_duplicates`).
+`near_duplicates` links 64-bit fingerprints at 4 or fewer differing bits, without loss. `drop_near_duplicates` is for shingle
+similarity (Jaccard) of 0.8 and more, where 64 bits say too little: 128-bit fingerprints, of which 15 in 100 bits are expected to
+differ at 0.8, are linked at WIDE_RADIUS or fewer.
+
+Defined results: a null text counts as empty; texts without words have one common fingerprint (zero in `near_duplicates`) and are
+linked like any other; repeated rows fall into one class; null ids take part but are never the smallest (a class of null
+ids alone has a null class id); an empty table gives an empty result; extra columns are ignored (`near_duplicates`) or kept (`drop_near_duplicates`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,17 +34,30 @@ from newsflow.llm.common import join_hot, materialize, with_columns
 from newsflow.llm.graph import components
 
 RADIUS = 4
+WIDE_RADIUS = 26
+#: Share of differing bits at similarity 0.8, and of the pairs there that may share no key.
+DIFFER, MISSED = 0.152, 0.01
 BLOCK = 1024
 #: Rows that share a key of a table, on average, at most.
 SHARED = 256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits from each hash."""
+    h = (h + _STEP) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def fingerprint(text: str | None, shingle: int = 4, width: int = 1) -> np.ndarray:
+    """width x 64 bits. A bit is 1 if set in over half the shingles' hashes. In wide fingerprints of texts with few shingles
+    ties, frequent there, fall by the text's own hash instead, so that short texts stay apart."""
     words = (text or "").encode().translate(_LOWER).split()  # bytes split at [\x20\x09-\x0D]+
     if not words:
-        return 0
+        return np.zeros(1, np.uint64) if width == 1 else _mixed(np.arange(width, dtype=np.uint64))
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -46,30 +65,41 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     begins, ends = (ends - sizes)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(begins, ends, strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, keep: list[Column], text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """The columns `keep` and `fp`, the fingerprint as a signed long."""
+    out = np.zeros(width, np.uint64)
+    for w in range(width):
+        if w:
+            hashes = _mixed(hashes)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, n, 1 << 14):
+            part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+        if width > 1 and n <= 8:
+            out[w] |= np.packbits(2 * ones == n, bitorder="little").view("<u8")[0] & _mixed(hashes.sum(keepdims=True))[0]
+    return out
+
+
+def fingerprints(docs: DataFrame, keep: list[Column], text_col: str = "text", shingle: int = 4, width: int = 1) -> DataFrame:
+    """The columns `keep` and `fp`, the fingerprint's words as big-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(0)), np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got)], [*batch.schema.names[1:], "fp"])
+            got = [fingerprint(x.as_py(), shingle, width).astype(">u8").tobytes() for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got, pa.binary())], [*batch.schema.names[1:], "fp"])
 
     rows = docs.select(F.col(text_col).alias("__nf_text"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{kinds}, fp long")
+    return rows.mapInArrow(run, f"{kinds}, fp binary")
+
+
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """fps (n, width) as n rows of width x 64 bits."""
+    return np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """64 bit planes of ceil(n / 64) words; lane i of plane b is bit b of fps[i]."""
-    lanes = -len(fps) % 64
-    bits = np.unpackbits(np.pad(fps, (0, lanes)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes of ceil(n / 64) words; lane i of plane b is bit b of fps[i]."""
+    bits = np.pad(_bits(fps), ((0, -len(fps) % 64), (0, 0)))
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
@@ -79,35 +109,46 @@ def _full(a, b, c):
     return x ^ c, (a & b) | (x & c)
 
 
-def within_radius(queries: np.ndarray, sliced: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of (query, lane) pairs at distance RADIUS or less. queries: fingerprints; sliced: bit planes of n others."""
-    words = sliced.shape[1]
+def _exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter (bits from the lowest, then an overflow that sticks) is above the radius."""
+    above, equal = counter[-1], ~counter[-1]
+    for i in range(len(counter) - 2, -1, -1):
+        if radius >> i & 1:
+            equal = equal & counter[i]
+        else:
+            above, equal = above | (equal & counter[i]), equal & ~counter[i]
+    return above
+
+
+def within_radius(queries: np.ndarray, sliced: np.ndarray, n: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of (query, lane) pairs at the radius or nearer. queries: fingerprints (m, width); sliced: bit planes of n others."""
+    count, words = sliced.shape
     qi, wi = np.divmod(np.arange(len(queries) * words), words)
-    ones = twos = fours = more = np.zeros(len(qi), np.uint64)
-    qbits = np.where((queries[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), _ONES, np.uint64(0))
+    counter = [np.zeros(len(qi), np.uint64) for _ in range(max(3, radius.bit_length()) + 1)]
+    qbits = np.where(_bits(queries).T, _ONES, np.uint64(0))
     dense = True
-    for first in range(0, 64, 7):
-        group = range(first, min(first + 7, 64))
+    for first in range(0, count, 7):
+        group = range(first, min(first + 7, count))
         if dense:
             x = [(sliced[p][None, :] ^ qbits[p][:, None]).ravel() for p in group]
         else:
             x = [sliced[p][wi] ^ qbits[p][qi] for p in group]
-        if len(x) == 7:
-            s1, c1 = _full(x[0], x[1], x[2])
-            s2, c2 = _full(x[3], x[4], x[5])
-            s3, c3 = _full(s1, s2, x[6])
-            t, f = _full(c1, c2, c3)
-        else:
-            s3, t, f = x[0], np.uint64(0), np.uint64(0)
-        ones, carry = ones ^ s3, ones & s3
-        twos, carry = _full(twos, carry, t)
-        fours, carry = _full(fours, carry, f)
-        more = more | carry
-        if first >= 21:
-            alive = np.flatnonzero((more | (fours & (ones | twos))) != _ONES)
+        x += [np.zeros(len(qi), np.uint64)] * (7 - len(x))
+        s1, c1 = _full(x[0], x[1], x[2])
+        s2, c2 = _full(x[3], x[4], x[5])
+        s3, c3 = _full(s1, s2, x[6])
+        twos, fours = _full(c1, c2, c3)
+        counter[0], carry = counter[0] ^ s3, counter[0] & s3
+        counter[1], carry = _full(counter[1], carry, twos)
+        counter[2], carry = _full(counter[2], carry, fours)
+        for i in range(3, len(counter) - 1):
+            counter[i], carry = counter[i] ^ carry, counter[i] & carry
+        counter[-1] = counter[-1] | carry
+        if first + 7 >= 28 and first + 7 > 2 * radius:
+            alive = np.flatnonzero(_exceeds(counter, radius) != _ONES)
             if len(alive) < 0.7 * len(qi):
-                qi, wi, ones, twos, fours, more, dense = qi[alive], wi[alive], ones[alive], twos[alive], fours[alive], more[alive], False
-    near = ~(more | (fours & (ones | twos)))
+                qi, wi, counter, dense = qi[alive], wi[alive], [c[alive] for c in counter], False
+    near = ~_exceeds(counter, radius)
     at = np.flatnonzero(near)
     hit, lane = np.nonzero(np.unpackbits(near[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     q, lane = qi[at[hit]], wi[at[hit]] * 64 + lane
@@ -128,54 +169,72 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _keys(parts: int, fp: Column) -> list[Column]:
-    """A key for each choice of parts - RADIUS parts: their bits, put together."""
-    bounds = [64 * i // parts for i in range(parts + 1)]
-    keys = []
-    for chosen in combinations(range(parts), parts - RADIUS):
-        key, at = F.lit(0).cast("long"), 0
-        for c in chosen:
-            width = bounds[c + 1] - bounds[c]
-            bits = F.shiftrightunsigned(fp, bounds[c]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-            key, at = key.bitwiseOR(F.shiftleft(bits, at)), at + width
-        keys.append(key)
-    return keys
-
-
-def _parts_for(n: int) -> int:
+def exact_keys(n: int) -> list[list[int]]:
+    """The bits of each table's key, for 64 bits and RADIUS: all choices of parts - RADIUS parts."""
     parts = RADIUS + 1
     while n / 2 ** (64 * (parts - RADIUS) / parts) > SHARED:
         parts += 1
-    return parts
+    bounds = [64 * i // parts for i in range(parts + 1)]
+    return [[b for c in chosen for b in range(bounds[c], bounds[c + 1])] for chosen in combinations(range(parts), parts - RADIUS)]
+
+
+def sampled_keys(n: int, bits: int = 128) -> list[list[int]]:
+    """The bits of each table's key, for wide radii."""
+    size = max(6, math.ceil(math.log2(max(1, n / SHARED))))
+    tables = math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFER) ** size)))
+    rng = np.random.default_rng(11)
+    return [rng.choice(bits, size, replace=False).tolist() for _ in range(tables)]
+
+
+_BLOCK = "part int, n int, first long, last long, ids binary, fps binary, planes binary, labels binary"
+
 
+def _placed(keys: list[list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every fingerprint once in each table: part, key, id, fp."""
 
-_BLOCK = "part int, n int, first long, last long, fps binary, planes binary, labels binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = _bits(_words(batch.column(1)))
+            for part, chosen in enumerate(keys):
+                key = np.zeros((len(bits), 64), np.uint8)
+                key[:, : len(chosen)] = bits[:, chosen]
+                key = np.packbits(key, axis=1, bitorder="little").view(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), part, np.int32)), pa.array(key), batch.column(0), batch.column(1)], ["part", "key", "id", "fp"])
+
+    return run
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(len(column), -1)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the sorted rows (part, key, fp) of a partition into blocks; keys are not cut unless they fill a block."""
+def _blocks(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cut the sorted rows (part, key, id, fp) of a partition into blocks; keys are not cut unless they fill a block."""
+    schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), *[(c, pa.binary()) for c in ("ids", "fps", "planes", "labels")]])
 
-    def block(part: int, keys: np.ndarray, fps: np.ndarray) -> dict:
+    def block(part: int, keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> dict:
         sliced = planes(fps)
-        labels = local_labels(len(fps), *within_radius(fps, sliced, len(fps)))
-        return {"part": part, "n": len(fps), "first": int(keys[0]), "last": int(keys[-1]), "fps": fps.tobytes(), "planes": sliced.tobytes(), "labels": labels.astype("<u2").tobytes()}
+        labels = local_labels(len(fps), *within_radius(fps, sliced, len(fps), radius))
+        return {"part": part, "n": len(fps), "first": int(keys[0]), "last": int(keys[-1]), "ids": ids.tobytes(), "fps": fps.tobytes(), "planes": sliced.tobytes(), "labels": labels.astype("<u2").tobytes()}
 
-    schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("fps", pa.binary()), ("planes", pa.binary()), ("labels", pa.binary())])
-    held = [np.zeros(0, np.int64)] * 3
-    for batch in batches:
-        held = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
-        done, out = _cut(held, False)
-        out = [block(int(held[0][a]), held[1][a:b], held[2][a:b].view(np.uint64)) for a, b in out]
-        held = [h[done:] for h in held]
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
-    _, out = _cut(held, True)
-    if out:
-        yield pa.RecordBatch.from_pylist([block(int(held[0][a]), held[1][a:b], held[2][a:b].view(np.uint64)) for a, b in out], schema)
-
-
-def _cut(held: list[np.ndarray], last: bool) -> tuple[int, list[tuple[int, int]]]:
-    part, key, _ = held
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            new = [c.to_numpy().astype(np.int64) for c in batch.columns[:3]] + [_words(batch.column(3))]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            done, out = _cut(held[0], held[1], False)
+            for a, b in out:
+                yield pa.RecordBatch.from_pylist([block(int(held[0][a]), *[h[a:b] for h in held[1:]])], schema)
+            held = [h[done:] for h in held]
+        if held:
+            for a, b in _cut(held[0], held[1], True)[1]:
+                yield pa.RecordBatch.from_pylist([block(int(held[0][a]), *[h[a:b] for h in held[1:]])], schema)
+
+    return run
+
+
+def _cut(part: np.ndarray, key: np.ndarray, last: bool) -> tuple[int, list[tuple[int, int]]]:
+    """How many rows are dealt with, and the blocks' bounds."""
     n = len(part)
     edges = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1 if n else np.zeros(0, np.int64)
     tables = set((np.flatnonzero(part[1:] != part[:-1]) + 1).tolist()) if n else set()
@@ -196,67 +255,67 @@ def _cut(held: list[np.ndarray], last: bool) -> tuple[int, list[tuple[int, int]]
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (u, v) from each row of a block to the root of its local group."""
     for batch in batches:
-        for fps, labels in zip(batch.column("fps").to_pylist(), batch.column("labels").to_pylist(), strict=True):
-            f, to = np.frombuffer(fps, np.int64), np.frombuffer(labels, "<u2")
+        for ids, labels in zip(batch.column("ids").to_pylist(), batch.column("labels").to_pylist(), strict=True):
+            f, to = np.frombuffer(ids, np.int64), np.frombuffer(labels, "<u2")
             own = np.flatnonzero(to != np.arange(len(f)))
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(f[own]), pa.array(f[to[own]])], ["u", "v"])
 
 
-def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cross_links(radius: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links between the local groups of two blocks, one for each pair of groups at most."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            a, b = np.frombuffer(r["a_fps"], np.uint64), np.frombuffer(r["b_fps"], np.uint64)
-            q, lane = within_radius(a, np.frombuffer(r["b_planes"], np.uint64).reshape(64, -1), len(b))
-            pairs = np.unique(np.stack([np.frombuffer(r["a_labels"], "<u2")[q], np.frombuffer(r["b_labels"], "<u2")[lane]]), axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(a[pairs[0]].view(np.int64)), pa.array(b[pairs[1]].view(np.int64))], ["u", "v"])
-
-
-def links(fps: DataFrame, n: int) -> DataFrame:
-    """Links (u, v) that connect all of the n distinct fingerprints (column fp) that are within RADIUS of one another."""
-    keys = _keys(_parts_for(n), F.col("fp"))
-    rows = fps.select(F.inline(F.array(*[F.struct(F.lit(i).alias("part"), k.alias("key")) for i, k in enumerate(keys)])), "fp")
-    rows = rows.repartitionByRange("part", "key", "fp").sortWithinPartitions("part", "key", "fp")
-    blocks = materialize(rows.mapInArrow(_blocks, _BLOCK).withColumn("id", F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, ia, ib = np.frombuffer(r["a_fps"], np.uint64).reshape(-1, width), np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
+                q, lane = within_radius(a, np.frombuffer(r["b_planes"], np.uint64).reshape(64 * width, -1), len(ib), radius)
+                pairs = np.unique(np.stack([np.frombuffer(r["a_labels"], "<u2")[q], np.frombuffer(r["b_labels"], "<u2")[lane]]), axis=1)
+                if pairs.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(ia[pairs[0]]), pa.array(ib[pairs[1]])], ["u", "v"])
+
+    return run
+
+
+def links(fps: DataFrame, keys: list[list[int]], radius: int, width: int) -> DataFrame:
+    """Links (u, v) between ids that connect the distinct fingerprints (id, fp) within the radius that share a key."""
+    rows = fps.select("id", "fp").mapInArrow(_placed(keys), "part int, key long, id long, fp binary")
+    rows = rows.repartitionByRange("part", "key", "id").sortWithinPartitions("part", "key", "id")
+    blocks = materialize(rows.mapInArrow(_blocks(radius), _BLOCK).withColumn("id", F.monotonically_increasing_id()))
     # blocks that share a key: a pair for each two of them, dealt over all tasks
     ends = blocks.select("part", "id", F.explode(F.array_distinct(F.array("first", "last"))).alias("key"))
     of_key = Window.partitionBy("part", "key")
     numbered = materialize(ends.withColumn("of", F.count("*").over(of_key)).where("of > 1").withColumn("no", F.row_number().over(of_key.orderBy("id"))))
     pairs = numbered.where("no < of").select("part", "key", F.col("id").alias("a"), F.explode(F.sequence(F.col("no") + 1, F.col("of").cast("int"))).alias("no"))
     pairs = pairs.join(numbered.select("part", "key", "no", F.col("id").alias("b")), ["part", "key", "no"]).select("a", "b").distinct()
-    pairs = pairs.join(blocks.select(F.col("id").alias("a"), F.col("fps").alias("a_fps"), F.col("labels").alias("a_labels")), "a")
-    pairs = pairs.join(blocks.select(F.col("id").alias("b"), F.col("fps").alias("b_fps"), F.col("planes").alias("b_planes"), F.col("labels").alias("b_labels")), "b")
-    cross = pairs.select("a_fps", "a_labels", "b_fps", "b_planes", "b_labels").mapInArrow(_cross_links, "u long, v long")
-    return blocks.select("fps", "labels").mapInArrow(_links, "u long, v long").unionByName(cross)
+    side = lambda x, *cols: blocks.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols])
+    pairs = pairs.join(side("a", "ids", "fps", "labels"), "a").join(side("b", "ids", "planes", "labels"), "b").drop("a", "b")
+    return blocks.select("ids", "labels").mapInArrow(_links, "u long, v long").unionByName(pairs.mapInArrow(_cross_links(radius, width), "u long, v long"))
 
 
-def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: id, fp. A table fp, n, label, component_id of the distinct fingerprints; rows as given."""
-    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+def _classes(rows: DataFrame, wide: bool = False) -> DataFrame:
+    """rows: id, fp. A table fp, n, label, component_id of the distinct fingerprints."""
+    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     n = fps.count()
-    labels = components(links(fps.select("fp"), n)).withColumnRenamed("node", "fp")
-    labelled = materialize(fps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    found = links(fps.select(F.col("node").alias("id"), "fp"), *((sampled_keys(n), WIDE_RADIUS, 2) if wide else (exact_keys(n), RADIUS, 1)))
+    labelled = materialize(fps.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")))
     per_class = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    return join_hot(labelled, materialize(per_class), "label", "members", n).select("fp", "n", "label", "component_id"), rows
+    return join_hot(labelled, materialize(per_class), "label", "members", n).select("fp", "n", "label", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """A row for each document: id_col, fp (signed long), component_id."""
+    """A row for each document: id_col, fp (8 bytes, big-endian), component_id."""
     rows = materialize(fingerprints(docs, [F.col(id_col).alias("id")], text_col, shingle))
-    classes, rows = _classes(rows)
-    return join_hot(rows, materialize(classes), "fp", "n", rows.count()).select(F.col("id").alias(id_col), "fp", "component_id")
+    return join_hot(rows, materialize(_classes(rows)), "fp", "n", rows.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """docs with one row of each class: the one with the smallest id (nulls last), then the smallest fingerprint and row."""
     cols = docs.columns
-    whole = fingerprints(docs, [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"), F.col(id_col).alias("id")], text_col, shingle)
+    whole = fingerprints(docs, [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"), F.col(id_col).alias("id")], text_col, shingle, 2)
     whole = materialize(with_columns(whole, {"rid": F.monotonically_increasing_id()}))
     rows = whole.select("id", "fp", "rid")
-    classes, _ = _classes(rows)
-    labelled = join_hot(rows, materialize(classes.select("fp", "n", "label")), "fp", "n", rows.count())
+    labelled = join_hot(rows, materialize(_classes(rows, wide=True).select("fp", "n", "label")), "fp", "n", rows.count())
     best = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("fp").alias("c"), F.col("rid").alias("d"))).alias("best"))
     kept = whole.join(best.select(F.col("best.d").alias("rid")), "rid", "left_semi")
     return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)])

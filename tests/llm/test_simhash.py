@@ -30,18 +30,31 @@ def brute_components(rows):
 
 def test_fingerprint():
     for text in ("", None, " \n", "One", "a b c d", "A b c d e É " * 50, "x y z w v u t", "w" * 5000 + " b"):
-        assert simhash.fingerprint(text) == brute_fingerprint(text)
+        assert simhash.fingerprint(text)[0] == brute_fingerprint(text)
 
 
 def test_within_radius():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 150, dtype=np.uint64)
-    fps = np.concatenate([base, base ^ np.uint64(0b1011), base[:50] ^ np.uint64(0x8000000000000F00)])
+    fps = np.concatenate([base, base ^ np.uint64(0b1011), base[:50] ^ np.uint64(0x8000000000000F00)]).reshape(-1, 1)
     a, b = simhash.within_radius(fps, simhash.planes(fps), len(fps))
-    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 4}
+    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (int(fps[i][0]) ^ int(fps[j][0])).bit_count() <= 4}
     assert set(zip(a.tolist(), b.tolist())) == want
 
 
+def test_within_a_wide_radius():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**63, (300, 2), dtype=np.uint64)
+    for i in range(0, 290, 3):  # 20 to 32 bits of its neighbour changed
+        fps[i + 1] = fps[i]
+        for b in rng.choice(128, int(rng.integers(20, 33)), replace=False):
+            fps[i + 1, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    a, b = simhash.within_radius(fps, simhash.planes(fps), len(fps), 26)
+    far = lambda x, y: sum((int(p) ^ int(q)).bit_count() for p, q in zip(x, y))
+    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if far(fps[i], fps[j]) <= 26}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(want) > 350
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -55,8 +68,8 @@ def test_classes_by_brute_force(spark, monkeypatch):
     centre = int(rng.integers(0, 2**63))
     rows = [(i, centre ^ sum(1 << int(b) for b in rng.integers(0, 64, int(rng.integers(0, 5))))) for i in range(200)]
     rows += [(i, int(rng.integers(0, 2**63))) for i in range(200, 300)] + [(i, rows[i - 300][1]) for i in range(300, 340)]
-    signed = [(i, f - 2**64 if f >= 2**63 else f) for i, f in rows]
-    classes, own = simhash._classes(spark.createDataFrame(signed, "id long, fp long"))
+    own = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in rows], "id long, fp binary")
+    classes = simhash._classes(own)
     got = {r["id"]: r["component_id"] for r in own.join(classes, "fp").collect()}
     assert got == brute_components(rows)
 
@@ -69,3 +82,22 @@ def test_edges_of_the_input(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3]
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_near_copies_go(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows, copies = [], 0
+    for i in range(60):
+        text = words(400)
+        rows.append((10 * i, " ".join(text)))
+        for j in range(2):
+            new = list(text)
+            for at in rng.choice(400, 6, replace=False):
+                new[at] = "changed"
+            rows.append((10 * i + 1 + j, " ".join(new)))
+            copies += 1
+    rows += [(1000 + i, " ".join(words(n))) for i, n in enumerate([1, 2, 3, 5, 6, 6, 7, 8, 9, 12] * 6)]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= {i for i, _ in rows if i >= 1000 or i % 10 == 0}
+    assert len(kept) - (len(rows) - copies) <= 0.05 * copies
