@@ -3,7 +3,7 @@
 Vectors are projected on `projections` random lines, and each line keeps its projections in one sorted array. Around a query's
 own projection a window opens on every line; virtual rehashing widens all windows by the same factor again and again, and a
 vector counts the lines on whose windows it lies. Once it lies in `threshold` of them it is verified with the exact inner
-product on the original vectors. A search ends when k + verify x n of the block's n vectors have been verified. Largest inner product is
+product on the original vectors. A search ends when k + verify x n of the block's n vectors (AT_LEAST, in small blocks) have been verified. Largest inner product is
 made nearest distance by one more coordinate, which gives all vectors of a block the same length.
 
 Every row is indexed, in blocks of at most `block_rows` distinct vectors; blocks of queries meet blocks of rows, and the best k of
@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 
 from newsflow.llm.common import materialize
 
-PROJECTIONS = 96
+PROJECTIONS = 40
 #: Share of the projections on which a vector must collide with the query.
 COLLISIONS = 0.7
-#: Share of a block's vectors that are verified before a search ends.
-VERIFY = 0.1
+#: Share of a block's vectors, and how many at least, that are verified before a search ends.
+VERIFY = 0.3
+AT_LEAST = 512
 #: Factor between the window widths of two rounds.
-WIDEN = 1.2
+WIDEN = 1.25
 
 
 class BlockIndex:
@@ -53,7 +54,7 @@ class BlockIndex:
     def search(self, query: np.ndarray, k: int, collisions: float = COLLISIONS, verify: float = VERIFY, widen: float = WIDEN) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and inner products of the k best verified vectors, and all that tie with the last of them."""
         n, m = len(self.vectors), len(self.sorted)
-        enough, need = min(n, math.ceil(k + verify * n)), math.ceil(collisions * m)
+        enough, need = min(n, math.ceil(k + max(AT_LEAST, verify * n))), math.ceil(collisions * m)
         at = np.append(query / np.linalg.norm(query), 0.0) @ self.lines
         counts, half = np.zeros(n, np.int64), self.start
         low = high = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at, strict=True)])
@@ -107,7 +108,7 @@ def _pack(rows: DataFrame, per_block: int, n: int) -> DataFrame:
     return materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16384, query_rows: int = 256, **search) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65536, query_rows: int = 512, **search) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row for which is_query (over id_col) holds."""
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias("v")).where(_valid(F.col("v")))
     rows = materialize(rows.groupBy(id_col, "v").agg(F.lit(1).alias("one")).select(id_col, "v"))
