@@ -392,7 +392,7 @@ def r15(spark, sf):
 
     stored = table(spark, sf, "pages").withColumn("url", U.canonical(F.col("url")))
     wanted = stored.where("page_id = 7").first()["url"]
-    return views.article(stored, wanted + "?utm_source=x").select("page_id")
+    return views.article(stored, wanted + ("&" if "?" in wanted else "?") + "utm_source=x").select("page_id")
 
 
 # ---- aggregates -------------------------------------------------------------
