@@ -33,7 +33,7 @@ DECAY = 0.8
 STEPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
 #: Likeness from which a word counts.
 LEAST = 0.7
-KEPT = 1_000_000
+KEPT = 250_000
 #: Likeness to a chosen landmark from which a word is no landmark of its own.
 ALIKE = 0.95
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
@@ -179,22 +179,29 @@ class ToxicityModel:
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = 48, frequent: int = 12, least_gain: float = 4.0) -> list[str]:
     """Word beginnings of 4 to 8 letters by how well their damped count tells the labels apart (mean difference over its
-    standard error, at least least_gain), then frequent words."""
-    seen, total = {}, np.zeros(2)
-    frequency: Counter[str] = Counter()
+    standard error, at least least_gain), then those that are frequent in clean texts."""
+
+    def begins(text: str) -> Counter[str]:
+        found: Counter[str] = Counter()
+        for w, n in Counter(re.findall(r"[^\W\d_]{4,}", " ".join(words_of(text)))).items():
+            for k in range(4, min(8, len(w)) + 1):
+                found[w[:k]] += n
+        return found
+
+    # beginnings that three toxic texts share; only these are told apart by label
+    spread_over: Counter[str] = Counter()
+    for text in (t for t, y in zip(texts, toxic.tolist(), strict=True) if y):
+        spread_over.update(begins(text).keys())
+    seen = {b: [0.0, 0.0, 0.0, 0.0] for b, n in spread_over.items() if n >= 3}
+    del spread_over
+    total = np.zeros(2)
     for text, y in zip(texts, toxic.tolist(), strict=True):
         total[y] += 1
-        words = Counter(re.findall(r"[^\W\d_]{4,}", " ".join(words_of(text))))
-        frequency.update(words.keys())
-        begins: Counter[str] = Counter()
-        for w, n in words.items():
-            for k in range(4, min(8, len(w)) + 1):
-                begins[w[:k]] += n
-        for b, n in begins.items():
-            s = seen.setdefault(b, [0.0, 0.0, 0.0, 0.0])
-            v = np.log1p(n)
-            s[2 * y] += v
-            s[2 * y + 1] += v * v
+        for b, n in begins(text).items():
+            if (s := seen.get(b)) is not None:
+                v = float(np.log1p(n))
+                s[2 * y] += v
+                s[2 * y + 1] += v * v
 
     def gain(b: str) -> float:
         s = seen[b]
@@ -205,7 +212,7 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = 48, frequ
     gains = {b: gain(b) for b in seen if seen[b][2] > 0}
     ranked = sorted((b for b, g in gains.items() if g >= least_gain), key=lambda b: (-round(gains[b], 9), -len(b), b))[: 40 * count]
     telling = len(ranked)
-    ranked += [w for w, _ in sorted(frequency.items(), key=lambda x: (-x[1], x[0]))[: 10 * frequent]]
+    ranked += sorted(seen, key=lambda b: (-seen[b][0], b))[: 10 * frequent]
     ranked = [b[:8] for b in ranked]
     chosen: list[str] = []
     kept, told = None, 0
