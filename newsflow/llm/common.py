@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key holding more than this share of the rows is hot; so at most this many keys can be hot.
 HOT_KEYS = 1024
+#: Spark's setting that removes a query's shuffle files at its end instead of when the driver next collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,12 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df below the shared folder once and read it back: later jobs neither recompute it nor depend on an
     executor that may be lost. The files stay as long as the shared folder does, like those of checkpoint()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsflow-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")  # once the table is written its shuffle files are of no more use
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
