@@ -1,7 +1,7 @@
 """Stupid-backoff scores of every document under an n-gram model of the whole corpus.
 
-Documents are gathered into blocks that hold their words as numbers of a local vocabulary. Every block lists its distinct
-n-grams of each order, as 64-bit hashes with counts, dealt by hash into buckets. A bucket adds up the counts of all
+Documents are gathered into blocks that hold their words as numbers of a local vocabulary. Order by order, every block lists its
+distinct n-grams, as 64-bit hashes with counts, dealt by hash into buckets; n-grams with a part that is too rare are left out, as they are too rare themselves. A bucket adds up the counts of all
 blocks - this is the n-gram table, partitioned by hash - and joins the sums back to the blocks that asked. Each block
 then has the corpus counts of all its n-grams, looks up its words' scores, and sums them per document. A word that half the
 corpus holds is one entry of a block, whatever its frequency, so no key is hot.
@@ -30,7 +30,7 @@ from newsflow.llm.common import materialize
 
 BACKOFF = 0.4
 #: Words of a block, beyond which it takes no more documents, and entries of a bucket over all blocks.
-BLOCK_WORDS = 600_000
+BLOCK_WORDS = 300_000
 BUCKET_ENTRIES = 3_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -122,21 +122,46 @@ def _ngrams(vocabulary: bytes, words: bytes, sizes: bytes, order: int) -> Iterat
         yield key, place >= k
 
 
+def _levels(block: dict, order: int, min_count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Level by level: n-gram hashes, which words have so long a context in their text, which n-grams may have min_count
+    occurrences, and their corpus counts (0 for all others), as far as the block has answers.
+
+    An n-gram is as rare as the rarest of the two shorter ones that it is made of, so only those are asked for whose parts both
+    have min_count; the others can't be in the table, and nothing is lost."""
+    got: dict[int, list] = {}
+    for x in sorted((x["k"], x["bucket"], x["counts"]) for x in block["answers"] or []):
+        got.setdefault(x[0], []).append(x[2])
+    counts = None
+    for k, (key, whole) in enumerate(_ngrams(block["vocabulary"], block["words"], block["sizes"], order), 1):
+        asked = whole.copy()
+        if counts is not None:
+            frequent = counts >= min_count
+            asked[1:] &= frequent[:-1] & frequent[1:]
+            asked[:1] = False
+        counts = np.zeros(len(key), np.int64)
+        if k in got and asked.any():
+            counts[asked] = np.concatenate([_unpack_counts(x) for x in got[k]])[np.unique(key[asked], return_inverse=True)[1]]
+        yield key, whole, asked, counts
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, min_count: int = 2, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document: id_col, n_tokens, log_score (natural logarithm, summed), mean_log_score."""
     blocks = materialize(token_blocks(docs, id_col, text_col, block_words).withColumn("block", F.monotonically_increasing_id()))
     total = blocks.agg(F.sum("n")).first()[0] or 0
-    bits = max(6, math.ceil(math.log2(max(1, total * order / BUCKET_ENTRIES))))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                for k, (key, whole) in enumerate(_ngrams(r["vocabulary"], r["words"], r["sizes"], order), 1):
-                    keys, counts = np.unique(key[whole], return_counts=True)
+    bits = max(6, math.ceil(math.log2(max(1, total / BUCKET_ENTRIES))))
+
+    def ask(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    *_, (key, _, asked, _) = _levels(r, k, min_count)
+                    keys, counts = np.unique(key[asked], return_counts=True)
                     cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                     full = np.flatnonzero(np.diff(cuts))
                     parts = [(int(cuts[b]), int(cuts[b + 1])) for b in full]
-                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([k] * len(full), pa.int32()), pa.array([r["block"]] * len(full), pa.int64()), pa.array([_pack_keys(keys[a:b]) for a, b in parts], pa.binary()), pa.array([_pack_counts(counts[a:b]) for a, b in parts], pa.binary())], ["bucket", "k", "block", "keys", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([r["block"]] * len(full), pa.int64()), pa.array([_pack_keys(keys[a:b]) for a, b in parts], pa.binary()), pa.array([_pack_counts(counts[a:b]) for a, b in parts], pa.binary())], ["bucket", "block", "keys", "counts"])
+
+        return run
 
     def add_and_join(group: pd.DataFrame) -> pd.DataFrame:
         keys = [_unpack_keys(x) for x in group["keys"]]
@@ -144,32 +169,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
         table = np.bincount(inverse, weights=np.concatenate([_unpack_counts(x) for x in group["counts"]])).astype(np.int64)
-        return pd.DataFrame({"block": group["block"], "k": group["k"], "bucket": group["bucket"], "counts": [_pack_counts(table[inverse[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
+        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "counts": [_pack_counts(table[inverse[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
+
+    answers: DataFrame | None = None
+
+    def answered() -> DataFrame:
+        if answers is None:
+            return blocks.withColumn("answers", F.lit(None).cast("array<struct<k:int,bucket:int,counts:binary>>"))
+        return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("k", "bucket", "counts")).alias("answers")), "block", "left")
 
-    entries = blocks.select("block", "vocabulary", "words", "sizes").mapInArrow(ask, "bucket int, k int, block long, keys binary, counts binary")
-    answers = entries.groupBy("bucket", "k").applyInPandas(add_and_join, "block long, k int, bucket int, counts binary")
-    answers = materialize(answers.groupBy("block").agg(F.collect_list(F.struct("k", "bucket", "counts")).alias("answers")))
+    for k in range(1, order + 1):
+        entries = answered().select("block", "vocabulary", "words", "sizes", "answers").mapInArrow(ask(k), "bucket int, block long, keys binary, counts binary")
+        # the n-gram table of this order, partitioned by hash, joined to the blocks' n-grams
+        new = materialize(entries.groupBy("bucket").applyInPandas(add_and_join, "block long, bucket int, counts binary").select("block", F.lit(k).alias("k"), "bucket", "counts"))
+        answers = new if answers is None else answers.unionByName(new)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, r in enumerate(batch.select(["vocabulary", "words", "sizes", "answers"]).to_pylist()):
                 size = np.frombuffer(r["sizes"], "<i4")
-                got = sorted((x["k"], x["bucket"], x["counts"]) for x in r["answers"] or [])
+                levels = list(_levels(r, order, min_count))
                 logs = np.zeros(int(size.sum()))
                 done = np.zeros(len(logs), bool)
-                counts, possible = [], []
-                for k, (key, whole) in enumerate(_ngrams(r["vocabulary"], r["words"], r["sizes"], order), 1):
-                    c = np.zeros(len(key), np.int64)
-                    if whole.any():
-                        table = np.concatenate([_unpack_counts(x) for kk, _, x in got if kk == k])
-                        c[whole] = table[np.unique(key[whole], return_inverse=True)[1]]
-                    counts.append(c), possible.append(whole)
-                longest = np.sum(possible, axis=0)
+                longest = np.sum([whole for _, whole, _, _ in levels], axis=0)
                 for k in range(order, 0, -1):
-                    c = counts[k - 1]
-                    now = ~done & possible[k - 1] & (c >= (min_count if k > 1 else 1))
-                    context = np.concatenate([[1], counts[k - 2][:-1]]) if k > 1 else np.full(len(c), total)
+                    _, _, asked, c = levels[k - 1]
+                    now = ~done & asked & (c >= (min_count if k > 1 else 1))
+                    context = np.concatenate([[1], levels[k - 2][3][:-1]]) if k > 1 else np.full(len(c), total)
                     logs[now] = np.log(c[now] / context[now]) + (longest[now] - k) * math.log(BACKOFF)
                     done |= now
                 begin = np.concatenate([[0], np.cumsum(logs)])
@@ -180,5 +207,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     mean = pa.array(sums / size, pa.float64(), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(sums), mean], ["id", "n_tokens", "log_score", "mean_log_score"])
 
-    both = blocks.join(answers, "block", "left").select("ids", "sizes", "vocabulary", "words", "answers")
+    both = answered().select("ids", "sizes", "vocabulary", "words", "answers")
     return both.mapInArrow(score, f"id {kind}, n_tokens long, log_score double, mean_log_score double").withColumnRenamed("id", id_col)
