@@ -34,7 +34,7 @@ COLLISIONS = 0.7
 VERIFY = 0.3
 AT_LEAST = 512
 #: Factor between the window widths of two rounds.
-WIDEN = 1.25
+WIDEN = 1.35
 
 
 class BlockIndex:
@@ -81,7 +81,7 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, usable) & F.exists(vector, lambda x: x != 0)
 
 
-def _pack(rows: DataFrame, per_block: int, n: int) -> DataFrame:
+def _pack(rows: DataFrame, per_block: int, n: int, kind: str) -> DataFrame:
     """rows (ids: array<long>, v: array<double>) as blocks: block, vectors and ids (binary), with how many ids a vector has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def _pack(rows: DataFrame, per_block: int, n: int) -> DataFrame:
         def block(part: pa.Table) -> pa.RecordBatch:
             part = part.combine_chunks()
             ids, v = part.column("ids").combine_chunks(), part.column("v").combine_chunks()
-            return pa.RecordBatch.from_pylist([{"vectors": v.flatten().to_numpy().tobytes(), "ids": ids.flatten().to_numpy().tobytes(), "sizes": np.diff(ids.offsets.to_numpy()).astype("<i4").tobytes()}], schema)
+            return pa.RecordBatch.from_pylist([{"vectors": v.flatten().to_numpy().astype(kind).tobytes(), "ids": ids.flatten().to_numpy().tobytes(), "sizes": np.diff(ids.offsets.to_numpy()).astype("<i4").tobytes()}], schema)
 
         for batch in batches:
             held, count = [*held, batch], count + batch.num_rows
@@ -108,7 +108,7 @@ def _pack(rows: DataFrame, per_block: int, n: int) -> DataFrame:
     return materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65536, query_rows: int = 512, **search) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65536, query_rows: int = 128, queries_of_task: int = 5, **search) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row for which is_query (over id_col) holds."""
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias("v")).where(_valid(F.col("v")))
     rows = materialize(rows.groupBy(id_col, "v").agg(F.lit(1).alias("one")).select(id_col, "v"))
@@ -118,11 +118,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     same = Window.partitionBy("v").orderBy(id_col)
     entries = materialize(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(id_col)).alias("ids")))
     queries = rows.where(is_query).select(F.array(id_col).alias("ids"), "v")
-    blocks, asked = _pack(entries, block_rows, entries.count()), _pack(queries, query_rows, queries.count())
-    # blocks of queries meet blocks of rows: an equi-join on the number of the block of rows
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+    n_queries = queries.count()
+    blocks, asked = _pack(entries, block_rows, entries.count(), kind), _pack(queries, query_rows, n_queries, kind)
+    # Blocks of queries meet blocks of rows by an equi-join on the block of rows and a share of the queries, so that
+    # one task has few blocks of queries and a block of rows is copied once for each share, not for each pair.
     numbers = [r[0] for r in blocks.select("block").collect()]
-    met = asked.select(F.col("vectors").alias("q"), F.col("ids").alias("q_ids"), F.explode(F.array(*map(F.lit, numbers)) if numbers else F.expr("cast(array() as array<long>)")).alias("block"))
-    pairs = blocks.join(met, "block").select("block", "vectors", "ids", "sizes", "q", "q_ids")
+    shares = max(1, math.ceil(n_queries / query_rows / queries_of_task))
+    met = asked.select(F.col("vectors").alias("q"), F.col("ids").alias("q_ids"), F.pmod(F.shiftright("block", 33) + F.col("block").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(shares)).alias("share"), F.explode(F.array(*map(F.lit, numbers)) if numbers else F.expr("cast(array() as array<long>)")).alias("block"))
+    spread = blocks.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    pairs = spread.join(met, ["block", "share"]).select("block", "vectors", "ids", "sizes", "q", "q_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, BlockIndex, np.ndarray, np.ndarray] | None = None
@@ -130,10 +135,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             for r in batch.to_pylist():
                 if held is None or held[0] != r["block"]:
                     sizes = np.frombuffer(r["sizes"], "<i4")
-                    held = r["block"], BlockIndex(np.frombuffer(r["vectors"]).reshape(-1, dim)), np.frombuffer(r["ids"], np.int64), np.concatenate([[0], np.cumsum(sizes)])
+                    held = r["block"], BlockIndex(np.frombuffer(r["vectors"], kind).reshape(-1, dim)), np.frombuffer(r["ids"], np.int64), np.concatenate([[0], np.cumsum(sizes)])
                 _, index, ids, bounds = held
                 out: list[list] = [[], [], []]
-                for own, query in zip(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"]).reshape(-1, dim), strict=True):
+                for own, query in zip(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], kind).reshape(-1, dim).astype(np.float64), strict=True):
                     at, scores = index.search(query, k + 1, **search)
                     found = sorted((-s, i) for a, s in zip(at.tolist(), scores.tolist(), strict=True) for i in ids[bounds[a] : bounds[a + 1]].tolist() if i != own)[:k]
                     out[0] += [own] * len(found)
