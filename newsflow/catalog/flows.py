@@ -269,8 +269,8 @@ def w12(spark, sf):
     return spark.read.parquet(f"{folder}/mirror").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("q6_flagship_domains", f"WITH p AS (SELECT {host_sql('url')} AS domain, {matched_sql('html')} AS k FROM pages) SELECT domain, count(*) AS n FROM p WHERE k <> '' GROUP BY domain")
-def q6(spark, sf):
+@query("v_matching_domains", f"WITH p AS (SELECT {host_sql('url')} AS domain, {matched_sql('html')} AS k FROM pages) SELECT domain, count(*) AS n FROM p WHERE k <> '' GROUP BY domain")
+def v_matching_domains(spark, sf):
     return table(spark, sf, "pages").where(F.size(matched(F.col("html"), KEYWORDS)) > 0).groupBy(U.host(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
 
 
