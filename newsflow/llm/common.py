@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 #: A key holding more than this share of the rows is hot; so at most this many keys can be hot.
 HOT_KEYS = 1024
 #: Spark's setting that removes a query's shuffle files at its end instead of when the driver next collects garbage.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -27,17 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings while a job of ours runs, and then again as they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, rows_at_once: int = 1000, codec: str = "snappy") -> DataFrame:
     """Write df below the shared folder once and read it back: later jobs neither recompute it nor depend on an
-    executor that may be lost. The files stay as long as the shared folder does, like those of checkpoint()."""
+    executor that may be lost. The files stay as long as the shared folder does, like those of checkpoint().
+
+    rows_at_once: rows of a batch that goes to Python; few where single rows are large."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsflow-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")  # once the table is written its shuffle files are of no more use
-    try:
+    with settings(spark, {CLEAN_UP: "true", BATCH_ROWS: str(rows_at_once)}):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,6 +17,7 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +33,20 @@ BACKOFF = 0.4
 #: Words of a block, beyond which it takes no more documents, and entries of a bucket over all blocks.
 BLOCK_WORDS = 300_000
 BUCKET_ENTRIES = 3_000_000
+#: Blocks in a batch that goes to Python.
+BLOCKS_AT_ONCE = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Bytes of equal rank together: what is alike in neighbours compresses."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """Bytes of equal rank together, compressed: what is alike in neighbours takes little room."""
+    return zlib.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
 
 
 def _unplanes(data: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
@@ -181,7 +184,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for k in range(1, order + 1):
         entries = answered().select("block", "vocabulary", "words", "sizes", "answers").mapInArrow(ask(k), "bucket int, block long, keys binary, counts binary")
         # the n-gram table of this order, partitioned by hash, joined to the blocks' n-grams
-        new = materialize(entries.groupBy("bucket").applyInPandas(add_and_join, "block long, bucket int, counts binary").select("block", F.lit(k).alias("k"), "bucket", "counts"))
+        new = materialize(entries.groupBy("bucket").applyInPandas(add_and_join, "block long, bucket int, counts binary").select("block", F.lit(k).alias("k"), "bucket", "counts"), BLOCKS_AT_ONCE)
         answers = new if answers is None else answers.unionByName(new)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -208,4 +211,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(sums), mean], ["id", "n_tokens", "log_score", "mean_log_score"])
 
     both = answered().select("ids", "sizes", "vocabulary", "words", "answers")
-    return both.mapInArrow(score, f"id {kind}, n_tokens long, log_score double, mean_log_score double").withColumnRenamed("id", id_col)
+    scores = both.mapInArrow(score, f"id {kind}, n_tokens long, log_score double, mean_log_score double")
+    return materialize(scores, BLOCKS_AT_ONCE).withColumnRenamed("id", id_col)
