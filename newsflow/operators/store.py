@@ -8,22 +8,21 @@ from pyspark.sql import functions as F
 from newsflow.operators.dedupe import ranked
 
 
-def fold_upserts(history: DataFrame, key: str = "url", seq: str = "seq") -> DataFrame:
+def fold_upserts(history: DataFrame, key: str = "url", seq: str = "seq", *more: Column) -> DataFrame:
     """The row that writing the history in order leaves for each key: title, snippet and keywords of the last write; its last
     known publication time; the longest body, the earliest of equals; domain, source and found_at of the first write. One aggregation, combined before its shuffle."""
     last = lambda c: F.max_by(c, seq).alias(c)
     first = lambda c: F.min_by(c, seq).alias(c)
     longest = F.max_by("body", F.struct(F.length(F.coalesce("body", F.lit(""))), -F.col(seq))).alias("body")
     published = F.max_by("published_at", F.when(F.col("published_at").isNotNull(), F.col(seq))).alias("published_at")
-    return history.groupBy(key).agg(first("domain"), first("source_name"), last("title"), last("snippet"), published, first("found_at"), last("matched_keywords"), longest)
+    return history.groupBy(key).agg(first("domain"), first("source_name"), last("title"), last("snippet"), published, first("found_at"), last("matched_keywords"), longest, *more)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "url", seq: str = "seq") -> DataFrame:
     """The store after the incoming writes (which carry seq, from 1 up); is_new marks keys that were not there."""
     old = stored.withColumn(seq, F.lit(0).cast("long"))
     both = old.withColumn("__old", F.lit(True)).unionByName(incoming.withColumn("__old", F.lit(False)))
-    known = both.groupBy(key).agg((~F.max("__old")).alias("is_new"))
-    return fold_upserts(both.drop("__old"), key, seq).join(known, key)
+    return fold_upserts(both, key, seq, (~F.max("__old")).alias("is_new"))
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, key: str = "url") -> DataFrame:
