@@ -33,3 +33,11 @@ def test_compiled_map_normalises_as_the_library(rule, text):
     shown, places = own.normalise(text)
     assert shown == normaliser.normalize(text)
     assert len(places) == len(shown.encode()) + 1 and all(a <= b for a, b in zip(places, places[1:]))
+
+
+def test_documents_and_edges(spark):
+    rows = [(1, "Hello  wörld\n"), (1, "Hello  wörld\n"), (2, None), (3, ""), (None, "x" * 20000), (4, "😀 ▁ \t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'clash' AS ids")
+    got = pieces.encode_documents(docs, PATH, rows_at_once=2).collect()
+    assert sorted((r["doc_id"] or 0, tuple(r["ids"]), r["decoded"]) for r in got) == sorted((i or 0, tuple(OWN.encode(t or "")), OWN.decode(OWN.encode(t or ""))) for i, t in rows)
+    assert pieces.encode_documents(docs.limit(0), PATH).count() == 0
