@@ -4,7 +4,7 @@ Kernel: two words share a subsequence of three characters if both hold them in t
 occurrence weighs DECAY for every character that it spans, so inserted or missing characters lower the value of an insult but
 don't erase it, and affixes don't dilute it. Landmarks: word beginnings of the training texts that tell toxic from clean texts best,
 chosen one by one so that no two are alike, and some frequent words. A text's features are its words' likenesses to each
-landmark, summed, damped and whitened by the landmarks' own kernel matrix (Nyström). A linear SVM, fitted by dual coordinate descent, and
+landmark, summed (repeats of a word by their logarithm), damped and whitened by the landmarks' own kernel matrix (Nyström). A linear SVM, fitted by dual coordinate descent, and
 Platt scaling turn them into a score.
 
 Training reads at most `max_rows` labelled texts of at most `max_chars` characters each (documented bounds: 4,000 of either label, 16,384),
@@ -121,7 +121,7 @@ class WordCache:
         self.landmarks, self.rows, self.table = landmarks, {}, [np.zeros(len(landmarks.words), np.float32)]
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the sum of its words' likenesses and, last, its number of words."""
+        """For each text the sum of its words' likenesses, repeats by their logarithm, and, last, its number of words."""
         split = [words_of(t) for t in texts]
         if len(self.rows) > KEPT:
             self.rows, self.table = {}, self.table[:1]
@@ -142,7 +142,7 @@ class WordCache:
         for i, words in enumerate(split):
             found = Counter(r for r in map(known.__getitem__, words) if r)
             for r, n in found.items():
-                out[i, :-1] += n * self.table[r]
+                out[i, :-1] += np.log2(1 + n) * self.table[r]
             out[i, -1] = len(words)
         return out
 
