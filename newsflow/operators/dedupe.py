@@ -25,19 +25,22 @@ def top(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def first_rows(df: DataFrame, key: str, seq: str, n: int) -> DataFrame:
+def first_rows(df: DataFrame, key: str | list[str], seq: str, n: int) -> DataFrame:
     """The first n rows of each key; the limit is applied before the shuffle as well, so a key with many rows is not gathered."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(seq))).where(F.col("__n") <= n).drop("__n")
 
 
 def admit(df: DataFrame, key: str, time: str = "published_at", seq: str = "seq", dated: int = 20, undated: int = 60) -> DataFrame:
     """At most `dated` rows of each key, to which rows without a time may add up to `undated`: the first `dated` rows are in, and of
-    the later ones the first undated - dated without a time. seq is unique."""
-    first = first_rows(df, key, seq, dated)
-    ends = first.groupBy(key).agg(F.max(seq).alias("__end"))
-    # an admitted later row is among the first `undated` rows without a time
-    late = first_rows(df.where(F.col(time).isNull()), key, seq, undated).join(ends, key).where(F.col(seq) > F.col("__end")).drop("__end")
-    return first.unionByName(first_rows(late, key, seq, undated - dated).select(first.columns))
+    the later ones those without a time, as long as dated + their rank <= undated.
+
+    A row with a time is in only among the first `dated` of its kind, one without only among the first `undated`, so all others go
+    before the ranks are taken, and no key is large."""
+    few = first_rows(df.withColumn("__u", F.col(time).isNull()), [key, "__u"], seq, max(dated, undated))
+    w = Window.partitionBy(key).orderBy(seq)
+    ranks = few.withColumn("__n", F.row_number().over(w)).withColumn("__u", F.col("__u") & (F.col("__n") > dated))
+    ranks = ranks.withColumn("__k", F.count_if("__u").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranks.where((F.col("__n") <= dated) | (F.col("__u") & (dated + F.col("__k") <= undated))).drop("__n", "__u", "__k")
 
 
 def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:

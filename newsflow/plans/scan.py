@@ -142,7 +142,9 @@ def collect(feeds: list[DataFrame], settings: Settings) -> DataFrame:
 def statistics(items: DataFrame, kept: DataFrame, stored: DataFrame) -> DataFrame:
     """n_raw, n_cand, n_cache in one row."""
     joined = kept.join(stored.where("snippet <> ''").select("url", F.lit(1).alias("hit")), "url", "left")
-    return items.agg(F.count("*").alias("n_raw")).join(joined.agg(F.count("*").alias("n_cand"), F.count("hit").alias("n_cache")))
+    zero = F.lit(0).cast("long")
+    parts = items.agg(F.count("*").alias("n_raw"), zero.alias("n_cand"), zero.alias("n_cache")).unionByName(joined.agg(zero.alias("n_raw"), F.count("*").alias("n_cand"), F.count("hit").alias("n_cache")))
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
 
 
 def collector(items: DataFrame, bodies: DataFrame, settings: Settings, most: int, need_body: bool = False) -> DataFrame:
