@@ -7,8 +7,8 @@ chosen one by one so that no two are alike, and some frequent words. A text's fe
 landmark, summed (repeats of a word by their logarithm), damped and whitened by the landmarks' own kernel matrix (Nyström). A linear SVM, fitted by dual coordinate descent, and
 Platt scaling turn them into a score.
 
-Training reads at most `max_rows` labelled texts of at most `max_chars` characters each (documented bounds: 4,000 of either label, 16,384),
-chosen by a hash of their ids. Scores are made for every whole text; a worker keeps the values of words it has met, up to
+Training reads at most `max_rows` labelled texts of at most `max_chars` characters each (documented bounds: 3,000 of either label, 16,384),
+chosen by a hash of their ids, and takes landmarks from the first 1,200 of either label. Scores are made for every whole text; a worker keeps the values of words it has met, up to
 KEPT words, and evaluates only new ones.
 
 Defined results: null and empty texts get the score of a text without words; unlabelled, null or contradictory labels teach nothing
@@ -36,6 +36,8 @@ LEAST = 0.7
 KEPT = 250_000
 #: Likeness to a chosen landmark from which a word is no landmark of its own.
 ALIKE = 0.95
+#: Texts of either label that landmarks are chosen from.
+LANDMARK_TEXTS = 1200
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 
 
@@ -257,7 +259,8 @@ def fit(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None) -
     """None without both labels. toxic_share: of all labelled documents, where the texts were drawn by label."""
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    landmarks = Landmarks.of(choose_landmarks(texts, toxic))
+    some = np.sort(np.concatenate([np.flatnonzero(toxic == y)[:LANDMARK_TEXTS] for y in (0, 1)]))
+    landmarks = Landmarks.of(choose_landmarks([texts[i] for i in some], toxic[some]))
     kernel = landmarks.values.T @ landmarks.values / np.sqrt(np.outer(landmarks.own, landmarks.own))
     value, vector = np.linalg.eigh(kernel.astype(np.float64))
     whiten = (vector / np.sqrt(np.maximum(value, 0.05))) @ vector.T
@@ -285,7 +288,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 16384, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | int:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: int = 16384, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | int:
     """A model from at most max_rows texts of either label, without held-out ids; or the only label there is (0 if none)."""
     one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z").select("id", "y")
     counts = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
