@@ -10,7 +10,7 @@ several blocks, which are compared pair by pair; these pairs are spread over all
 groups that are not known to be connected yet, so the rows that leave a block never outnumber its fingerprints.
 
 `near_duplicates` links 64-bit fingerprints at 4 or fewer differing bits, without loss. `drop_near_duplicates` is for shingle
-similarity (Jaccard) of 0.8 and more, where 64 bits say too little: 128-bit fingerprints, of which 15 in 100 bits are expected to
+similarity (Jaccard) of 0.8 and more, where 64 bits say too little: 256-bit fingerprints, of which 15 in 100 bits are expected to
 differ at 0.8, are linked at WIDE_RADIUS or fewer.
 
 Defined results: a null text counts as empty; texts without words have one common fingerprint (zero in `near_duplicates`) and are
@@ -34,7 +34,7 @@ from newsflow.llm.common import join_hot, materialize, with_columns
 from newsflow.llm.graph import components
 
 RADIUS = 4
-WIDE_RADIUS = 26
+WIDE_RADIUS, WIDE_WORDS = 48, 4
 #: Share of differing bits at similarity 0.8, and of the pairs there that may share no key.
 DIFFER, MISSED = 0.152, 0.01
 BLOCK = 1024
@@ -103,6 +103,12 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
+def fingerprints_of(sliced: np.ndarray, n: int) -> np.ndarray:
+    """The n fingerprints that bit planes were made of."""
+    bits = np.unpackbits(sliced.view(np.uint8), axis=1, bitorder="little")[:, :n]
+    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+
+
 def _full(a, b, c):
     """Carry-save: three bits to a sum and a carry."""
     x = a ^ b
@@ -144,7 +150,7 @@ def within_radius(queries: np.ndarray, sliced: np.ndarray, n: int, radius: int =
         for i in range(3, len(counter) - 1):
             counter[i], carry = counter[i] ^ carry, counter[i] & carry
         counter[-1] = counter[-1] | carry
-        if first + 7 >= 28 and first + 7 > 2 * radius:
+        if first + 7 >= 28 and first + 7 > 2.6 * radius:
             alive = np.flatnonzero(_exceeds(counter, radius) != _ONES)
             if len(alive) < 0.7 * len(qi):
                 qi, wi, counter, dense = qi[alive], wi[alive], [c[alive] for c in counter], False
@@ -178,7 +184,7 @@ def exact_keys(n: int) -> list[list[int]]:
     return [[b for c in chosen for b in range(bounds[c], bounds[c + 1])] for chosen in combinations(range(parts), parts - RADIUS)]
 
 
-def sampled_keys(n: int, bits: int = 128) -> list[list[int]]:
+def sampled_keys(n: int, bits: int = 64 * WIDE_WORDS) -> list[list[int]]:
     """The bits of each table's key, for wide radii."""
     size = max(6, math.ceil(math.log2(max(1, n / SHARED))))
     tables = math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFER) ** size)))
@@ -186,7 +192,7 @@ def sampled_keys(n: int, bits: int = 128) -> list[list[int]]:
     return [rng.choice(bits, size, replace=False).tolist() for _ in range(tables)]
 
 
-_BLOCK = "part int, n int, first long, last long, ids binary, fps binary, planes binary, labels binary"
+_BLOCK = "part int, n int, first long, last long, ids binary, planes binary, labels binary"
 
 
 def _placed(keys: list[list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -210,12 +216,12 @@ def _words(column: pa.Array) -> np.ndarray:
 
 def _blocks(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Cut the sorted rows (part, key, id, fp) of a partition into blocks; keys are not cut unless they fill a block."""
-    schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), *[(c, pa.binary()) for c in ("ids", "fps", "planes", "labels")]])
+    schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), *[(c, pa.binary()) for c in ("ids", "planes", "labels")]])
 
     def block(part: int, keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> dict:
         sliced = planes(fps)
         labels = local_labels(len(fps), *within_radius(fps, sliced, len(fps), radius))
-        return {"part": part, "n": len(fps), "first": int(keys[0]), "last": int(keys[-1]), "ids": ids.tobytes(), "fps": fps.tobytes(), "planes": sliced.tobytes(), "labels": labels.astype("<u2").tobytes()}
+        return {"part": part, "n": len(fps), "first": int(keys[0]), "last": int(keys[-1]), "ids": ids.tobytes(), "planes": sliced.tobytes(), "labels": labels.astype("<u2").tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -268,8 +274,9 @@ def _cross_links(radius: int, width: int) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                a, ia, ib = np.frombuffer(r["a_fps"], np.uint64).reshape(-1, width), np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
-                q, lane = within_radius(a, np.frombuffer(r["b_planes"], np.uint64).reshape(64 * width, -1), len(ib), radius)
+                ia, ib = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
+                pa_, pb = (np.frombuffer(r[c], np.uint64).reshape(64 * width, -1) for c in ("a_planes", "b_planes"))
+                q, lane = within_radius(fingerprints_of(pa_, len(ia)), pb, len(ib), radius)
                 pairs = np.unique(np.stack([np.frombuffer(r["a_labels"], "<u2")[q], np.frombuffer(r["b_labels"], "<u2")[lane]]), axis=1)
                 if pairs.shape[1]:
                     yield pa.RecordBatch.from_arrays([pa.array(ia[pairs[0]]), pa.array(ib[pairs[1]])], ["u", "v"])
@@ -289,7 +296,7 @@ def links(fps: DataFrame, keys: list[list[int]], radius: int, width: int) -> Dat
     pairs = numbered.where("no < of").select("part", "key", F.col("id").alias("a"), F.explode(F.sequence(F.col("no") + 1, F.col("of").cast("int"))).alias("no"))
     pairs = pairs.join(numbered.select("part", "key", "no", F.col("id").alias("b")), ["part", "key", "no"]).select("a", "b").distinct()
     side = lambda x, *cols: blocks.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols])
-    pairs = pairs.join(side("a", "ids", "fps", "labels"), "a").join(side("b", "ids", "planes", "labels"), "b").drop("a", "b")
+    pairs = pairs.join(side("a", "ids", "planes", "labels"), "a").join(side("b", "ids", "planes", "labels"), "b").drop("a", "b")
     return blocks.select("ids", "labels").mapInArrow(_links, "u long, v long").unionByName(pairs.mapInArrow(_cross_links(radius, width), "u long, v long"))
 
 
@@ -297,7 +304,7 @@ def _classes(rows: DataFrame, wide: bool = False) -> DataFrame:
     """rows: id, fp. A table fp, n, label, component_id of the distinct fingerprints."""
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     n = fps.count()
-    found = links(fps.select(F.col("node").alias("id"), "fp"), *((sampled_keys(n), WIDE_RADIUS, 2) if wide else (exact_keys(n), RADIUS, 1)))
+    found = links(fps.select(F.col("node").alias("id"), "fp"), *((sampled_keys(n), WIDE_RADIUS, WIDE_WORDS) if wide else (exact_keys(n), RADIUS, 1)))
     labelled = materialize(fps.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")))
     per_class = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     return join_hot(labelled, materialize(per_class), "label", "members", n).select("fp", "n", "label", "component_id")
@@ -312,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """docs with one row of each class: the one with the smallest id (nulls last), then the smallest fingerprint and row."""
     cols = docs.columns
-    whole = fingerprints(docs, [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"), F.col(id_col).alias("id")], text_col, shingle, 2)
+    whole = fingerprints(docs, [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"), F.col(id_col).alias("id")], text_col, shingle, WIDE_WORDS)
     whole = materialize(with_columns(whole, {"rid": F.monotonically_increasing_id()}))
     rows = whole.select("id", "fp", "rid")
     labelled = join_hot(rows, materialize(_classes(rows, wide=True).select("fp", "n", "label")), "fp", "n", rows.count())
