@@ -112,7 +112,7 @@ def c3(spark, sf):
 
 @query("c4_collector_slugs")
 def c4(spark, sf):
-    rows = page_items(spark, sf).withColumn("title", U.slug_title(F.col("url")))
+    rows = page_items(spark, sf).withColumn("title", U.slug_words(F.col("url"), r"-np[a-z]{2,4}"))
     return scan.collector(dedupe.first_seen(rows, "url"), rows.select("url", F.lit("").alias("body")).limit(0), scan.Settings(as_of=AS_OF, keywords=["html", "7"]), 12).select("seq", "title", "snippet")
 
 
@@ -194,7 +194,7 @@ def u5(spark, sf):
 
 @query("v_articles", f"""
     WITH {FOLD}
-    SELECT url, title, CASE WHEN s < 3600 THEN (s // 60) || ' min' WHEN s < 86400 THEN (s // 3600) || ' h' ELSE (s // 86400) || ' d' END AS age
+    SELECT url, title, CASE WHEN s < 60 THEN 'agora' WHEN s < 3600 THEN 'há ' || (s // 60) || ' min' WHEN s < 86400 THEN 'há ' || (s // 3600) || ' h' ELSE 'há ' || (s // 86400) || ' d' END AS age
     FROM (SELECT *, floor(epoch(TIMESTAMP '{AS_OF}'))::BIGINT - coalesce(published, found) AS s FROM f) WHERE coalesce(published, found) >= floor(epoch(TIMESTAMP '{AS_OF}'))::BIGINT - 72 * 3600""")
 def v_articles(spark, sf):
     return views.list_articles(store.fold_upserts(history(spark, sf)), now(), 72).select("url", "title", "age")

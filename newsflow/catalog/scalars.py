@@ -88,7 +88,7 @@ def s11(spark, sf):
     return items(spark, sf).select("seq", X.snippet(F.col("summary"), "comprehensive up-to-date coverage").alias("snippet"))
 
 
-@query("s12_clean_title", """SELECT doc_id, trim(regexp_replace(left(text, 30) || ' | ' || source || ' - Daily', '(?is)^(.*?\\S)(?:\\s*[|–-]\\s*(?:Daily|src0|src1|src2|src3))+$', '\\1')) AS title FROM documents""")
+@query("s12_clean_title", """SELECT doc_id, trim(regexp_replace(trim(regexp_replace(left(text, 30) || ' | ' || source || ' - Daily', '\\s+', ' ', 'g')), '(?is)^(.*?\\S)(?:\\s*[|–-]\\s*(?:Daily|src0|src1|src2|src3))+$', '\\1')) AS title FROM documents""")
 def s12(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.clean_title(F.concat(F.left("text", F.lit(30)), F.lit(" | "), "source", F.lit(" - Daily")), ["Daily", "src0", "src1", "src2", "src3"]).alias("title"))
 
@@ -150,12 +150,12 @@ def s22(spark, sf):
 
 @query("s23_age_label", f"""
     WITH s AS (SELECT event_id, floor(epoch(TIMESTAMP '{AS_OF}'))::BIGINT - floor(epoch(ts))::BIGINT AS s FROM events)
-    SELECT event_id, CASE WHEN s < 60 THEN 'now' WHEN s < 3600 THEN (s // 60) || ' min' WHEN s < 86400 THEN (s // 3600) || ' h' ELSE (s // 86400) || ' d' END AS age FROM s""")
+    SELECT event_id, CASE WHEN s < 60 THEN 'agora' WHEN s < 3600 THEN 'há ' || (s // 60) || ' min' WHEN s < 86400 THEN 'há ' || (s // 3600) || ' h' ELSE 'há ' || (s // 86400) || ' d' END AS age FROM s""")
 def s23(spark, sf):
     return table(spark, sf, "events").select("event_id", X.age_label(F.col("ts").cast("timestamp"), now()).alias("age"))
 
 
-@query("s24_window_label", "SELECT DISTINCT p_size, CASE WHEN p_size * 6 < 24 OR (p_size * 6) % 24 <> 0 THEN (p_size * 6) || 'h' ELSE (p_size * 6 // 24) || 'd' END AS label FROM part")
+@query("s24_window_label", "SELECT DISTINCT p_size, CASE WHEN p_size * 6 < 24 THEN (p_size * 6) || 'h' WHEN p_size * 6 = 168 THEN '7d' ELSE (p_size * 6) || 'h (' || (p_size * 6 // 24) || 'd)' END AS label FROM part")
 def s24(spark, sf):
     return table(spark, sf, "part").select("p_size", X.window_label(F.col("p_size") * 6).alias("label")).distinct()
 
@@ -234,11 +234,11 @@ def p7(spark, sf):
     return table(spark, sf, "pages").where(~section.isin("fr", "es")).select("page_id")
 
 
-@query("p8_sitemap_url", "SELECT page_id, regexp_matches(lower(url), 'sitemap[^/]*\\.xml|/sitemap') AS is_sitemap FROM pages")
+@query("p8_sitemap_url", "SELECT page_id, regexp_matches(lower(url || CASE page_id % 3 WHEN 0 THEN '/news.xml' WHEN 1 THEN '/Sitemap/1' ELSE '' END), '/sitemap/|sitemap-news|news-sitemap|sitemap_news|news[.]xml') AS is_sitemap FROM pages")
 def p8(spark, sf):
     from newsflow.sources.feeds import is_sitemap
 
-    return table(spark, sf, "pages").select("page_id", is_sitemap(F.col("url")).alias("is_sitemap"))
+    return table(spark, sf, "pages").select("page_id", is_sitemap(F.concat("url", F.element_at(F.array(F.lit("/news.xml"), F.lit("/Sitemap/1"), F.lit("")), (F.col("page_id") % 3 + 1).cast("int")))).alias("is_sitemap"))
 
 
 @query("p9_all_terms", f"SELECT doc_id FROM documents WHERE contains({fold_sql('text || chr(32) || source')}, 'the') AND contains({fold_sql('text || chr(32) || source')}, 'src1')")

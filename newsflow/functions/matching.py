@@ -50,10 +50,13 @@ def sector_scores(title: Column, matched_keywords: Column, sectors: dict[str, li
     return out
 
 
-def best_sector(scores: dict[str, Column], default: str) -> Column:
-    """The sector with the highest score; earlier ones win ties; the default where all are zero."""
+def best_sector(scores: dict[str, Column], default: str, domain: Column | None = None, of_domain: dict[str, str] | None = None) -> Column:
+    """The sector of the domain, if of_domain has one; else that with the highest score; earlier ones win ties; the default where all are zero."""
     top = F.greatest(*scores.values())
-    out = F.when(top == 0, F.lit(default))
+    out = F.when(F.lit(False), F.lit(default))
+    for site, name in (of_domain or {}).items():
+        out = out.when(F.regexp_replace(domain, r"^www\.", "") == site, F.lit(name))
+    out = out.when(top == 0, F.lit(default))
     for name, score in scores.items():
         out = out.when(score == top, F.lit(name))
     return out

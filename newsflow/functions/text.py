@@ -111,7 +111,7 @@ def clean_title(title: Column, names: list[str]) -> Column:
     import re
 
     either = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
-    return F.trim(F.regexp_replace(title, rf"(?is)^(.*?\S)(?:\s*[|–-]\s*(?:{either})\s*)+$", "$1"))
+    return F.trim(F.regexp_replace(squash(title), rf"(?is)^(.*?\S)(?:\s*[|–-]\s*(?:{either})\s*)+$", "$1"))
 
 
 def distinct_from_previous(items: Column) -> Column:
@@ -144,14 +144,16 @@ def split_glued_sentences(text: Column) -> Column:
 
 
 def age_label(at: Column, as_of: Column) -> Column:
-    """now, N min, N h, N d."""
+    """The age as it is shown: under a minute or in the future, minutes, hours, days; a label of its own without a date."""
     s = F.unix_timestamp(as_of) - F.unix_timestamp(at)
-    part = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(unit))
-    return F.when(at.isNull(), "").when(s < 60, "now").when(s < 3600, part(60, " min")).when(s < 86400, part(3600, " h")).otherwise(part(86400, " d"))
+    part = lambda n, unit: F.concat(F.lit("há "), F.floor(s / n).cast("string"), F.lit(unit))
+    return F.when(at.isNull(), "sem data").when(s < 60, "agora").when(s < 3600, part(60, " min")).when(s < 86400, part(3600, " h")).otherwise(part(86400, " d"))
 
 
 def window_label(hours: Column) -> Column:
-    return F.when(hours < 24, F.concat(hours.cast("string"), F.lit("h"))).when(hours % 24 == 0, F.concat((hours / 24).cast("int").cast("string"), F.lit("d"))).otherwise(F.concat(hours.cast("string"), F.lit("h")))
+    """24h (1d); a week is 7d; under a day hours alone."""
+    h = F.concat(hours.cast("string"), F.lit("h"))
+    return F.when(hours < 24, h).when(hours == 168, "7d").otherwise(F.concat(h, F.lit(" ("), F.floor(hours / 24).cast("string"), F.lit("d)")))
 
 
 def parse_time(text: Column) -> Column:

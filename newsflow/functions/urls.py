@@ -70,8 +70,10 @@ def path_words(url: Column) -> Column:
     return F.translate(part(url, 3), "-/", "  ")
 
 
-def slug_words(url: Column) -> Column:
-    return F.replace(last_segment(url), F.lit("-"), F.lit(" "))
+def slug_words(url: Column, ending: str = "") -> Column:
+    """The words of the last path segment, without an ending (a pattern) that carries no words."""
+    slug = F.regexp_replace(last_segment(url), f"(?:{ending})$", "") if ending else last_segment(url)
+    return F.trim(F.replace(slug, F.lit("-"), F.lit(" ")))
 
 
 def numbered_base(url: Column) -> Column:

@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from newsflow.functions import html as H
 from newsflow.functions import text as X
 from newsflow.functions.matching import best_sector, sector_scores
+from newsflow.functions.urls import host
 from newsflow.operators.lookup import requested
 
 #: How a take is shown.
 TAKES = {"+": "positive", "=": "neutral", "-": "negative"}
 
 
-def digest_items(request: DataFrame, articles: DataFrame, sectors: dict[str, list[str]], default: str, translate=None) -> DataFrame:
+def digest_items(request: DataFrame, articles: DataFrame, sectors: dict[str, list[str]], default: str, translate=None, of_domain: dict[str, str] | None = None) -> DataFrame:
     """The request's articles with sector (the requested one, or the best by score) and section order: sectors by first appearance, items by position. Unknown
-    URLs stay, with an error. translate: a column function for titles, identity by default."""
+    URLs stay, with an error. of_domain: domains that always go to one sector. translate: a column function for titles, identity by default."""
     rows = requested(request, articles)
-    chosen = F.coalesce(F.nullif("sector", F.lit("")), best_sector(sector_scores(F.coalesce("title", F.lit("")), F.coalesce("matched_keywords", F.array().cast("array<string>")), sectors), default))
+    chosen = F.coalesce(F.nullif("sector", F.lit("")), best_sector(sector_scores(F.coalesce("title", F.lit("")), F.coalesce("matched_keywords", F.array().cast("array<string>")), sectors), default, host(F.col("url")), of_domain))
     take = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in TAKES.items() for x in p]), F.col("take")), F.lit(TAKES["="]))
     rows = rows.withColumn("sector", F.when(F.col("found"), chosen)).withColumn("take", take).withColumn("error", F.when(~F.col("found"), F.lit("unknown article")))
     if translate is not None:

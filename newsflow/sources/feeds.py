@@ -19,8 +19,12 @@ def registry(spark: SparkSession, kinds: dict[str, dict[str, list[str]]]) -> Dat
     return spark.createDataFrame(rows, "kind string, by map<string,array<string>>").select("kind", F.explode("by").alias("domain", "urls")).select("kind", "domain", F.explode("urls").alias("url"))
 
 
+#: Parts of the URLs of news sitemaps.
+SITEMAP_MARKS = ("/sitemap/", "sitemap-news", "news-sitemap", "sitemap_news", "news.xml")
+
+
 def is_sitemap(url: Column) -> Column:
-    return F.regexp_like(F.lower(url), F.lit(r"sitemap[^/]*\.xml|/sitemap"))
+    return F.exists(F.array(*map(F.lit, SITEMAP_MARKS)), lambda mark: F.contains(F.lower(url), mark))
 
 
 def entries(payloads: DataFrame, xml: str = "xml") -> DataFrame:
@@ -81,7 +85,7 @@ def daily_partitions(table: DataFrame, as_of: Column, days: int = 3, skip_sectio
 
 
 #: Path segments of pages that list articles.
-LISTING_SEGMENTS = ("category", "categoria", "tag", "tags", "author", "autor", "page", "topic")
+LISTING_SEGMENTS = ("category", "tag", "tags", "colunista", "dados", "autor", "author", "page", "search", "busca", "feed", "amp", "print", "rss")
 
 
 def page_links(pages: DataFrame, min_hyphens: int = 2) -> DataFrame:

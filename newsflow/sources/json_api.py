@@ -29,7 +29,7 @@ def items_a(payloads: DataFrame) -> DataFrame:
 def relevant(sectors: Column, commodities: Column, headline: Column, wanted: list[str], words: list[str]) -> Column:
     """A wanted sector, or a word in a commodity, or a word in the headline."""
     either = "(?i)" + "|".join(words)
-    return F.arrays_overlap(sectors, F.array(*map(F.lit, wanted))) | F.exists(commodities, lambda c: F.regexp_like(c, F.lit(either))) | F.regexp_like(headline, F.lit(either))
+    return F.arrays_overlap(F.transform(sectors, F.lower), F.array(*[F.lit(w.lower()) for w in wanted])) | F.exists(commodities, lambda c: F.regexp_like(c, F.lit(either))) | F.regexp_like(headline, F.lit(either))
 
 
 def items_b(payloads: DataFrame) -> DataFrame:

@@ -101,10 +101,21 @@ PAGE = """<html><head><title>T &amp; U</title></head><body><nav><p>menu</p></nav
 def test_sanitize_and_blocks(spark):
     row = spark.createDataFrame([(PAGE,), (None,), ("",)], "html string").select(H.sanitize("html").alias("s"), "html").select("s", H.blocks("s").alias("b")).collect()
     assert row[0]["s"].split("\n") == ["<h3>Head</h3>", "<p>One <strong>bold</strong> link</p>", "<p>Two<br>lines</p>", "<ul><li>a</li><li>b</li></ul>", "<blockquote><p>q</p></blockquote>", '<img src="https://i.example.com/1.png" alt="A" class="reader-img">', '<img src="https://i.example.com/3.png" alt="" class="reader-img">', '<p class="reader-caption"><em>cap</em></p>', "<p>only a link</p>"]
-    assert [b["type"] for b in row[0]["b"]] == ["h3", "text", "text", "list_item", "list_item", "blockquote", "image", "image", "text", "text"]
+    assert [b["type"] for b in row[0]["b"]] == ["h3", "text", "text", "list_item", "list_item", "blockquote", "image", "image", "text"]
     assert row[1]["s"] is None and row[2]["s"] == ""
 
 
+def test_blocks(spark):
+    html = "<h2>Section</h2><div>one <img src='x.png'>block</div><strong>bold text</strong><p>abc</p><h6>small</h6><ul><li>a</li><li><ul><li>in</li></ul></li></ul><img src='data:image/gif;x'>loose text"
+    got = spark.createDataFrame([(html,)], "h string").select(H.blocks("h").alias("b")).first()["b"]
+    assert [(b["type"], b["text"] or b["src"], b["bold"]) for b in got] == [("h3", "Section", False), ("image", "x.png", None), ("text", "one block", False), ("text", "bold text", True), ("h4", "small", False), ("list_item", "a", False), ("list_item", "in", False), ("text", "loose text", False)]
+
+
+def test_labels(spark):
+    at = lambda h: spark.range(1).select(X.window_label(F.lit(h)).alias("y")).first()["y"]
+    assert [at(h) for h in (6, 24, 48, 72, 168)] == ["6h", "24h (1d)", "48h (2d)", "72h (3d)", "7d"]
+
+
 def test_container(spark):
     page = '<div class="post"><div class="content"><p>Body text</p><div class="more"><p>noise</p></div><p>More news today</p><p>gone</p></div></div>'
     rules = {"m.example.com": {"selectors": ["div.post .content"], "remove": ["div.more"], "stop": r"\s*more\s+news\b"}}

@@ -84,12 +84,12 @@ def test_stream_equals_batch_and_survives_a_repeated_batch(spark, tmp_path):
 
 
 def test_digest(spark):
-    articles = spark.createDataFrame([("u1", "cement news", ["cement"], "first paragraph\n\nsecond paragraph"), ("u2", "steel", [], "<p>x</p>")], "url string, title string, matched_keywords array<string>, body string")
+    articles = spark.createDataFrame([("u1", "cement news", ["cement"], "first paragraph\n\nsecond paragraph"), ("u2", "steel", [], "<p>steel body</p>")], "url string, title string, matched_keywords array<string>, body string")
     request = spark.createDataFrame([(0, "u2", "+", ""), (1, "u1", "-", ""), (2, "nope", "=", "")], "pos int, url string, take string, sector string")
     items = digest.digest_items(request, articles, {"cement": ["cement"], "steel": ["steel"]}, "steel")
     rows = {r["pos"]: (r["sector"], r["take"], r["section"], r["error"]) for r in items.collect()}
     assert rows == {0: ("steel", "positive", 0, None), 1: ("cement", "negative", 1, None), 2: (None, "neutral", None, "unknown article")}
     blocks = digest.digest_blocks(items).orderBy("section", "n").collect()
-    assert [b["text"] for b in blocks] == ["x", "first paragraph", "second paragraph"]
+    assert [b["text"] for b in blocks] == ["steel body", "first paragraph", "second paragraph"]
     message = email.message_from_bytes(digest.mail(digest.sections(items), "S", "a@example.com", ["b@example.com"], "H"))
     assert message["Subject"] == "S" and [p.get_content_type() for p in message.walk()][1:] == ["text/plain", "text/html"]
