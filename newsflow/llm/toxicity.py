@@ -2,7 +2,8 @@
 
 Kernel: two words share a subsequence of three characters if both hold them in this order within five characters; each
 occurrence weighs DECAY for every character that it spans, so inserted or missing characters lower the value of an insult but
-don't erase it, and affixes don't dilute it. Landmarks: word beginnings of the training texts that tell toxic from clean texts best,
+don't erase it, and affixes don't dilute it; of words with other characters between letters the letters alone are
+compared too. Landmarks: word beginnings of the training texts that tell toxic from clean texts best,
 chosen one by one so that no two are alike, and some frequent words. A text's features are its words' likenesses to each
 landmark, summed (repeats of a word by their logarithm), damped and whitened by the landmarks' own kernel matrix (Nyström). A linear SVM, fitted by dual coordinate descent, and
 Platt scaling turn them into a score.
@@ -32,13 +33,14 @@ DECAY = 0.8
 #: Steps from the first to the second and from there to the third character.
 STEPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
 #: Likeness from which a word counts.
-LEAST = 0.7
+LEAST = 0.6
 KEPT = 250_000
 #: Likeness to a chosen landmark from which a word is no landmark of its own.
 ALIKE = 0.95
 #: Texts of either label that landmarks are chosen from.
 LANDMARK_TEXTS = 1200
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
+_INSIDE = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]")
 
 
 def _classes() -> np.ndarray:
@@ -122,6 +124,11 @@ class WordCache:
     def __init__(self, landmarks: Landmarks):
         self.landmarks, self.rows, self.table = landmarks, {}, [np.zeros(len(landmarks.words), np.float32)]
 
+    def values(self, words: list[str]) -> np.ndarray:
+        if all(len(w) <= 256 for w in words):
+            return self.landmarks.likeness(words)
+        return np.stack([self.landmarks.likeness(_chunks(w)).max(axis=0) for w in words])
+
     def pooled(self, texts: list[str | None]) -> np.ndarray:
         """For each text the sum of its words' likenesses, repeats by their logarithm, and, last, its number of words."""
         split = [words_of(t) for t in texts]
@@ -131,10 +138,11 @@ class WordCache:
         new = list({w for words in split for w in words if w not in known})
         for a in range(0, len(new), 1 << 13):
             part = new[a : a + (1 << 13)]
-            if all(len(w) <= 256 for w in part):
-                got = self.landmarks.likeness(part)
-            else:
-                got = np.stack([self.landmarks.likeness(_chunks(w)).max(axis=0) for w in part])
+            got = self.values(part)
+            # several characters inserted into an insult: the letters alone count as well
+            split_up = [i for i, w in enumerate(part) if _INSIDE.search(w)]
+            if split_up:
+                got[split_up] = np.maximum(got[split_up], self.values([re.sub(r"[\W\d_]+", "", part[i]) for i in split_up]))
             like = got.any(axis=1)
             for w, hit, values in zip(part, like.tolist(), got, strict=True):
                 known[w] = len(self.table) if hit else 0
