@@ -106,7 +106,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
 def fingerprints_of(sliced: np.ndarray, n: int) -> np.ndarray:
     """The n fingerprints that bit planes were made of."""
     bits = np.unpackbits(sliced.view(np.uint8), axis=1, bitorder="little")[:, :n]
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def _full(a, b, c):

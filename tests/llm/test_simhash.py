@@ -49,7 +49,9 @@ def test_within_a_wide_radius():
         fps[i + 1] = fps[i]
         for b in rng.choice(128, int(rng.integers(20, 33)), replace=False):
             fps[i + 1, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    assert (simhash.fingerprints_of(simhash.planes(fps), len(fps)) == fps).all()
+    for n in (1, 64, 128, 299, 300):
+        for width in (1, 2):
+            assert (simhash.fingerprints_of(simhash.planes(fps[:n, :width]), n) == fps[:n, :width]).all()
     a, b = simhash.within_radius(fps, simhash.planes(fps), len(fps), 26)
     far = lambda x, y: sum((int(p) ^ int(q)).bit_count() for p, q in zip(x, y))
     want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if far(fps[i], fps[j]) <= 26}
