@@ -125,7 +125,7 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 
 
 def pack(pieces: DataFrame, width: int = WIDTH, length_col: str = "length") -> DataFrame:
-    """pieces with sequence_id (gapless from 0) and offset. pieces should be a written table: it is read twice."""
+    """pieces with sequence_id (gapless from 0) and offset. pieces is written once, as its histogram comes before its packs."""
     spark: SparkSession = pieces.sparkSession
     rows = materialize(pieces.withColumn("__nf_rid", F.monotonically_increasing_id()))
     histogram = {r[0]: r[1] for r in rows.groupBy(length_col).count().collect()}

@@ -46,8 +46,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
-    digested = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    cut = packing.token_pieces(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    digested = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digested)
 
 
