@@ -104,3 +104,50 @@ def test_near_copies_go(spark):
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept >= {i for i, _ in rows if i >= 1000 or i % 10 == 0}
     assert len(kept) - (len(rows) - copies) <= 0.05 * copies
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def test_only_similar_texts_go(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i, changed in enumerate([2, 4, 6, 8, 10, 12, 15, 20, 25, 30] * 6):  # of 400 words: similarities from 0.95 to 0.45
+        text = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        new = list(text)
+        for at in rng.choice(400, changed, replace=False):
+            new[at] = f"new{at}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(new))]
+    near = [(i, jaccard(rows[i][1], rows[i + 1][1])) for i in range(0, len(rows), 2)]
+    assert sum(0.5 <= s < 0.8 for _, s in near) >= 20 and sum(0.8 <= s for _, s in near) >= 20
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= {i for i, _ in near} | {i + 1 for i, s in near if s < 0.8}
+    assert sum(i + 1 in kept for i, s in near if s >= 0.8) <= 1
+
+
+def test_similar_texts_of_a_large_group(spark):
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 8200)]
+    texts = []
+    for _ in range(150):  # long texts, so that the group fills several blocks
+        new = list(base)
+        for at in rng.choice(8200, rng.integers(85, 110), replace=False):
+            new[at] = f"new{rng.integers(10**9)}"
+        texts.append(" ".join(new))
+    blocks = simhash._cut(np.zeros(150, int), np.zeros(150, int), True, np.array([bytes(8 * len(shingles(t))) for t in texts], object))[1]
+    assert len(blocks) == 3
+    sets, fps = [shingles(t) for t in texts], [simhash.fingerprint(t, 5, simhash.WIDE_WORDS) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and 5 * len(a & b) >= 4 * len(a | b) and np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.WIDE_RADIUS:
+                least, other = sorted((label[i], label[j]))
+                label = [least if x == other else x for x in label]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(label) and 1 < len(kept) < 140
