@@ -72,9 +72,10 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = 4, width: int = 1) -> np.ndarray:
-    """width x 64 bits. A bit is 1 if set in over half the shingles' hashes. In wide fingerprints of texts with few shingles
-    ties, frequent there, fall by the text's own hash instead, so that short texts stay apart."""
-    return _voted(shingle_hashes(text, shingle), width)
+    """width x 64 bits. A bit is 1 if set in over half the shingles' hashes. For wide fingerprints, which stand for sets of shingles,
+    repeats count once, and with few shingles ties, frequent there, fall by the text's own hash instead, so that short texts stay apart."""
+    hashes = shingle_hashes(text, shingle)
+    return _voted(hashes if width == 1 else np.unique(hashes), width)
 
 
 def _voted(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -113,8 +114,8 @@ def _with_sets(docs: DataFrame, text: Column, keep: list[Column], shingle: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(x.as_py(), shingle) for x in batch.column(0)]
-            sets = [np.unique(h).astype("<u8").tobytes() for h in hashes]
+            hashes = [np.unique(shingle_hashes(x.as_py(), shingle)) for x in batch.column(0)]
+            sets = [h.astype("<u8").tobytes() for h in hashes]
             made = {"set": sets} if whole else {"set": [xxhash.xxh3_128_digest(x) for x in sets], "fp": [_voted(h, WIDE_WORDS).astype(">u8").tobytes() for h in hashes]}
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(x, pa.binary()) for x in made.values()]], [*batch.schema.names[1:], *made])
 

@@ -151,3 +151,14 @@ def test_similar_texts_of_a_large_group(spark):
                 label = [least if x == other else x for x in label]
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert kept == set(label) and 1 < len(kept) < 140
+
+
+def test_repeats_count_once(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(20)]
+    rows = list(enumerate(texts)) + [(100 + i, f"{t} {'de ' * 500}") for i, t in enumerate(texts)]
+    assert all(jaccard(t, rows[20 + i][1]) >= 0.8 for i, t in enumerate(texts))
+    far = lambda a, b: np.bitwise_count(simhash.fingerprint(a, 5, 4) ^ simhash.fingerprint(b, 5, 4)).sum()
+    assert all(far(rows[20][1], x) > simhash.WIDE_RADIUS for _, x in rows[21:])  # the same repeated word, and all else different
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(20))
