@@ -38,3 +38,21 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_digests_hold_all_items(spark):
+    docs = {r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert len(docs) > 60
+    for name in ("c8_digest_sections", "w14_mail"):
+        assert sum(r["items"] for r in catalog.QUERIES[name](spark, SF).collect()) == len(docs)
+    texts = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id >= 60 AND length(trim(text)) > 0").count()
+    assert 0.9 * texts < catalog.QUERIES["w15_digest_blocks"](spark, SF).where("pos >= 60").select("pos").distinct().count() <= len(docs)
+
+
+def test_reports_of_late_events(spark, tmp_path):
+    rows = [(i, 1) for i in range(600)] + [(600 + i, 2 + i) for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = catalog.QUERIES["r12_report_cache"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 10 and plain(got) == plain(con.execute(catalog.ORACLE_SQL["r12_report_cache"]).fetchdf())
