@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,16 +21,20 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set on the context. Where neither
+    is set, a local session, whose tasks all run in the driver's process, gets one of its own; a cluster gets an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        root = "file://" + tempfile.mkdtemp(prefix="newsflow-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
+    if root:
+        return root
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    own = tempfile.mkdtemp(prefix="newsflow-")
+    atexit.register(shutil.rmtree, own, True)
+    spark.sparkContext.setCheckpointDir(f"file://{own}")
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 @contextlib.contextmanager
@@ -45,14 +52,50 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 def materialize(df: DataFrame, rows_at_once: int = 1000, codec: str = "snappy") -> DataFrame:
     """Write df below the shared folder once and read it back: later jobs neither recompute it nor depend on an
-    executor that may be lost. The files stay as long as the shared folder does, like those of checkpoint().
+    executor that may be lost. The files stay until `discard`, or `scratch`, removes them.
 
     rows_at_once: rows of a batch that goes to Python; few where single rows are large."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsflow-{uuid.uuid4().hex}"
     with settings(spark, {CLEAN_UP: "true", BATCH_ROWS: str(rows_at_once)}):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _OPEN:
+        paths.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._newsflow_path = path
+    return table
+
+
+#: The lists of the `scratch` blocks that are open.
+_OPEN: list[list[str]] = []
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, [t._newsflow_path])
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The list of the tables written in the block; `drop_tables` removes them once what was made of them is written itself."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    _remove(spark, paths)
+    paths.clear()
 
 
 def with_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:

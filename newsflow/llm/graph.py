@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import join_hot, materialize
+from newsflow.llm.common import discard, join_hot, materialize
 
 
-def _with_least(edges: DataFrame, by: str, of: str, total: int) -> DataFrame:
-    """edges with `least`, the smallest `of` among the edges of the same `by`; frequent `by` are joined by broadcast."""
+def _with_least(edges: DataFrame, by: str, of: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """A written table of the smallest `of` for each `by`, and edges with it as `least`; frequent `by` are joined by broadcast."""
     least = materialize(edges.groupBy(by).agg(F.min(of).alias("least"), F.count("*").alias("n")))
-    return join_hot(edges, least, by, "n", total)
+    return least, join_hot(edges, least, by, "n", total)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,12 +27,15 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = materialize(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        large = _with_least(both, "u", "v", 2 * state[0]).select("u", "v", F.least("least", "u").alias("least")).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        least, large = _with_least(both, "u", "v", 2 * state[0])
+        large = large.select("u", "v", F.least("least", "u").alias("least")).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         large = materialize(large.where("u <> v").distinct())
-        small = _with_least(large, "u", "v", large.count())
+        discard(edges, both, least)
+        least, small = _with_least(large, "u", "v", large.count())
         # every smaller neighbour and the node itself point to the smallest
         small = small.select(F.inline(F.array(F.struct(F.col("u"), F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))))
         edges = materialize(small.where("u <> v").distinct())
+        discard(large, least)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -50,42 +50,81 @@ def _entropy(value: Column) -> Column:
     return F.aggregate(share, F.lit(0.0), lambda a, p: F.when(p > 0, a - p * F.log2(p)).otherwise(a))
 
 
-def spans(found: DataFrame, max_owners: int = 2, min_entropy: float = 3.0) -> DataFrame:
-    """From rows (rid, repo, owner, found): rid and `spans`, an array of (start, kind, end, live, owners, repos) by start,
-    then kind; only rows that have a span. Written tables keep every step restartable."""
+def hits_of(found: DataFrame, min_entropy: float) -> DataFrame:
+    """From rows (rid, repo, owner, found): a row for each match that is long enough, with its place, the hash of its value and
+    whether it looks live. A match ends where the lengths before it and its own sum up to, so places need no search."""
     hits = found.select("rid", "repo", "owner", F.inline("found"))
     before = Window.partitionBy("rid", "kind").orderBy("at")
-    hits = hits.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("width")).over(before)).where("ok").select("rid", "repo", "owner", "kind", (F.col("end") - F.col("width")).alias("start"), "end", F.sha2("value", 256).alias("hash"), (F.regexp_like("value", F.lit("[0-9]")) & (_entropy(F.col("value")) >= min_entropy)).alias("live"))
-    hits = materialize(hits)
+    hits = hits.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("width")).over(before)).where("ok")
+    live = F.regexp_like("value", F.lit("[0-9]")) & (_entropy(F.col("value")) >= min_entropy)
+    start = (F.col("end") - F.col("width")).alias("start")
+    return hits.select("rid", "repo", "owner", "kind", start, "end", F.sha2("value", 256).alias("hash"), live.alias("live"))
+
+
+def span_rows(found: DataFrame, max_owners: int = 2, min_entropy: float = 3.0) -> DataFrame:
+    """A row (rid, start, kind, end, live, owners, repos) for each span that stays. Uses are counted by repository, then by
+    owner, then by hash, so that a value that everyone copies is summed up before each shuffle."""
+    hits = materialize(hits_of(found, min_entropy))
     by_repo = hits.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     uses = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
-    judged = join_hot(hits, materialize(uses), "hash", "n", hits.count()).withColumn("live", F.col("live") & (F.col("owners") <= max_owners))
+    judged = join_hot(hits, materialize(uses), "hash", "n", hits.count())
+    judged = judged.withColumn("live", F.col("live") & (F.col("owners") <= max_owners)).where("kind < 3 or live")
+    # a generic span goes if a fixed one that begins no later reaches into it, or one that begins later begins in it
+    fixed = F.col("kind") < 3
+    up_to_here = Window.unboundedPreceding, Window.currentRow
+    from_left = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(*up_to_here)
+    from_right = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(*up_to_here)
+    reach = F.coalesce(F.max(F.when(fixed, F.col("end"))).over(from_left), F.lit(0))
+    next_begin = F.min(F.when(fixed, F.col("start"))).over(from_right)
+    judged = judged.withColumn("reach", reach).withColumn("next_begin", next_begin)
+    alone = (F.col("reach") <= F.col("start")) & (F.col("next_begin").isNull() | (F.col("next_begin") >= F.col("end")))
+    return judged.where(fixed | alone).select("rid", "start", "kind", "end", "live", "owners", "repos")
+
+
+def spans(found: DataFrame, **limits) -> DataFrame:
+    """rid and `spans`, an array of (start, kind, end, live, owners, repos) by start, then kind; only rows that have a span."""
     span = F.struct("start", "kind", "end", "live", "owners", "repos")
-    gathered = judged.where("kind < 3 or live").groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("s"))
-    fixed = F.filter("s", lambda x: x["kind"] < 3)
-    return gathered.select("rid", F.filter("s", lambda x: (x["kind"] < 3) | ~F.exists(fixed, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))).alias("spans")).where("size(spans) > 0")
+    return span_rows(found, **limits).groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", **limits) -> DataFrame:
     """A row for each document: id_col and `spans` (null where there is none)."""
-    found = materialize(candidates(docs, text_col, [F.col(id_col).alias("id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.monotonically_increasing_id().alias("rid")]))
+    keep = [F.col(id_col).alias("id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.monotonically_increasing_id().alias("rid")]
+    found = materialize(candidates(docs, text_col, keep))
     got = spans(found.where("size(found) > 0"), **limits)
     return found.select("id", "rid").join(got, "rid", "left").select(F.col("id").alias(id_col), "spans")
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = "[SECRET]", **limits) -> DataFrame:
     """docs with every span of a text replaced by `mask`; touching or overlapping spans get one mask. n_chars, where there is
-    such a column, follows. Texts without a span are left as they are and not shuffled."""
+    such a column, follows. Texts without a match pass through as they are, neither written nor shuffled."""
     cols = docs.columns
-    kept = materialize(candidates(docs, text_col, [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.monotonically_increasing_id().alias("rid")]))
-    with_hits = kept.where("size(found) > 0")
-    got = with_hits.select("rid", "row").join(spans(with_hits.select("rid", "repo", "owner", "found"), **limits), "rid", "left")
-    text, at = F.col(f"row.c{cols.index(text_col)}"), F.lit(0).cast("long")
-    merged = F.aggregate(F.coalesce("spans", F.expr("cast(array() as array<struct<start:long,kind:int,end:long,live:boolean,owners:long,repos:long>>)")), F.expr("cast(array() as array<struct<a:long,b:long>>)"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["end"]).alias("b"))))).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("a"), x["end"].alias("b"))))))
-    got = got.withColumn("m", merged)
-    cuts = F.transform(F.sequence(F.lit(0), F.size("m")), lambda i: F.substring(text, (F.coalesce(F.get(F.col("m"), i - 1)["b"], at) + 1).cast("int"), (F.coalesce(F.get(F.col("m"), i)["a"], F.length(text).cast("long")) - F.coalesce(F.get(F.col("m"), i - 1)["b"], at)).cast("int")))
-    got = got.withColumn("new", F.when(F.size("m") > 0, F.array_join(cuts, mask)).otherwise(text))
-    value = lambda c, i: F.col("new") if c == text_col else F.when(F.col("new").eqNullSafe(text), F.col(f"row.c{i}")).otherwise(F.length("new")).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.c{i}")
-    changed = got.select(*[value(c, i).alias(c) for i, c in enumerate(cols)])
-    return kept.where("size(found) = 0").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)]).unionByName(changed)
+    whole = F.col(f"`{text_col}`")
+    matched = F.coalesce(F.regexp_like(whole, F.lit(ASSIGN)) | F.regexp_like(whole, F.lit(ACCESS)) | F.regexp_like(whole, F.lit(HEX)) | F.regexp_like(whole, F.lit(GENERIC)), F.lit(False))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row")
+    keep = [row, F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.monotonically_increasing_id().alias("rid")]
+    some = materialize(candidates(docs.where(matched), text_col, keep))
+    # overlapping and touching spans are one island: a new one begins where no span before reaches
+    parts = span_rows(some.select("rid", "repo", "owner", "found"), **limits)
+    by_start = Window.partitionBy("rid").orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("island", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    islands = parts.groupBy("rid", "island").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    masks = islands.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("m"))
+    got = some.select("rid", "row").join(masks, "rid", "left").withColumn("m", F.coalesce("m", F.expr("cast(array() as array<struct<a:long,b:long>>)")))
+    text, zero = F.col(f"row.c{cols.index(text_col)}"), F.lit(0).cast("long")
+    begin = lambda i: F.coalesce(F.get(F.col("m"), i - 1)["b"], zero)
+    end = lambda i: F.coalesce(F.get(F.col("m"), i)["a"], F.length(text).cast("long"))
+    between = F.transform(F.sequence(F.lit(0), F.size("m")), lambda i: F.substring(text, (begin(i) + 1).cast("int"), (end(i) - begin(i)).cast("int")))
+    got = got.withColumn("new", F.when(F.size("m") > 0, F.array_join(between, mask)).otherwise(text))
+
+    def value(c: str, i: int) -> Column:
+        old = F.col(f"row.c{i}")
+        if c == text_col:
+            return F.col("new")
+        if c == "n_chars":
+            return F.when(F.col("new").eqNullSafe(text), old).otherwise(F.length("new")).cast(docs.schema[c].dataType)
+        return old
+
+    return docs.where(~matched).unionByName(got.select(*[value(c, i).alias(c) for i, c in enumerate(cols)]))

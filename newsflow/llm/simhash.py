@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import join_hot, materialize, with_columns
+from newsflow.llm.common import discard, join_hot, materialize
 from newsflow.llm.graph import components
 
 RADIUS = 4
@@ -41,8 +41,8 @@ LEAST = (4, 5)
 #: Share of differing bits at similarity 0.8, and of the pairs there that may share no key.
 DIFFER, MISSED = 0.152, 0.01
 BLOCK = 1024
-#: Rows that share a key of a table, on average, at most.
-SHARED = 256
+#: Rows that share a key of a table, on average, at most; wide fingerprints are compared in larger groups, as they need more tables.
+SHARED, WIDE_SHARED = 256, 4096
 #: Shingles that count like one row of a block.
 SHINGLES = 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -247,7 +247,7 @@ def exact_keys(n: int) -> list[list[int]]:
 
 def sampled_keys(n: int, bits: int = 64 * WIDE_WORDS) -> list[list[int]]:
     """The bits of each table's key, for wide radii."""
-    size = max(6, math.ceil(math.log2(max(1, n / SHARED))))
+    size = max(6, math.ceil(math.log2(max(1, n / WIDE_SHARED))))
     tables = math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFER) ** size)))
     rng = np.random.default_rng(11)
     return [rng.choice(bits, size, replace=False).tolist() for _ in range(tables)]
@@ -380,7 +380,9 @@ def _linked(rows: DataFrame, radius: int, width: int, rows_at_once: int = 1000)
     own = ("ids", "planes", "labels", "sets", "sizes")
     side = lambda x, *cols: blocks.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols])
     pairs = pairs.join(side("a", *own), "a").join(side("b", *own), "b").drop("a", "b")
-    return blocks.select("ids", "labels").mapInArrow(_links, "u long, v long").unionByName(pairs.mapInArrow(_cross_links(radius, width), "u long, v long"))
+    found = materialize(blocks.select("ids", "labels").mapInArrow(_links, "u long, v long").unionByName(pairs.mapInArrow(_cross_links(radius, width), "u long, v long")), 4)
+    discard(blocks, numbered)
+    return found
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -394,14 +396,16 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _similar_classes(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """rows: set (a digest), fp, rid; texts: rid, text. A table set, n, label of the distinct sets of shingles."""
+    """rows: set (a digest), fp, rid; texts: rid, text. A written table set, n, label of the distinct sets of shingles."""
     sets = materialize(rows.groupBy("set").agg(F.min("fp").alias("fp"), F.min("rid").alias("rid"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     near = components(links(sets.select(F.col("node").alias("id"), "fp"), sampled_keys(sets.count()), WIDE_RADIUS, WIDE_WORDS))
     of_text = materialize(near.join(sets, "node").select("rid", F.lit(0).alias("part"), F.col("label").alias("key"), F.col("node").alias("id"), "fp"))
     keep = [F.col(c) for c in ("part", "key", "id", "fp")]
     candidates = materialize(_with_sets(texts.join(of_text, "rid"), F.col("text"), keep, shingle, True), 200)
-    found = materialize(_linked(candidates, WIDE_RADIUS, WIDE_WORDS, 50), 4)
-    return sets.join(components(found), "node", "left").select("set", "n", F.coalesce("label", "node").alias("label"))
+    found = _linked(candidates, WIDE_RADIUS, WIDE_WORDS, 50)
+    classes = materialize(sets.join(components(found), "node", "left").select("set", "n", F.coalesce("label", "node").alias("label")))
+    discard(sets, of_text, candidates, found)
+    return classes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -414,10 +418,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each class: the one with the smallest id (nulls last), then the smallest fingerprint and row."""
     cols = docs.columns
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("row")
-    whole = materialize(with_columns(_with_sets(docs, F.col(text_col), [row, F.col(id_col).alias("id")], shingle, False), {"rid": F.monotonically_increasing_id()}))
-    rows = whole.select("id", "set", "fp", "rid")
-    classes = materialize(_similar_classes(rows, whole.select("rid", F.col(f"row.c{cols.index(text_col)}").alias("text")), shingle))
+    whole = materialize(docs.select(row, F.monotonically_increasing_id().alias("rid")))
+    text, of = F.col(f"row.c{cols.index(text_col)}"), F.col(f"row.c{cols.index(id_col)}")
+    # only texts and row ids go through Python
+    rows = materialize(_with_sets(whole, text, [of.alias("id"), F.col("rid")], shingle, False), 200)
+    classes = _similar_classes(rows, whole.select("rid", text.alias("text")), shingle)
     labelled = join_hot(rows, classes, "set", "n", rows.count())
     best = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("fp").alias("c"), F.col("rid").alias("d"))).alias("best"))
-    kept = whole.join(best.select(F.col("best.d").alias("rid")), "rid", "left_semi")
-    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)])
+    best = materialize(best.select(F.col("best.d").alias("rid")))
+    discard(rows, classes)
+    return whole.join(best, "rid", "left_semi").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)])

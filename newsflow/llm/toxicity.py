@@ -34,7 +34,7 @@ DECAY = 0.8
 STEPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
 #: Likeness from which a word counts.
 LEAST = 0.6
-KEPT = 250_000
+KEPT, SMALL = 250_000, 20_000
 #: Likeness to a chosen landmark from which a word is no landmark of its own.
 ALIKE = 0.95
 #: Texts of either label that landmarks are chosen from.
@@ -124,6 +124,11 @@ class WordCache:
     def __init__(self, landmarks: Landmarks):
         self.landmarks, self.rows, self.table = landmarks, {}, [np.zeros(len(landmarks.words), np.float32)]
 
+    def shrink(self) -> None:
+        """What a worker keeps between two tasks: nothing beyond SMALL words, so that later stages have the room."""
+        if len(self.rows) > SMALL:
+            self.rows, self.table = {}, self.table[:1]
+
     def values(self, words: list[str]) -> np.ndarray:
         if all(len(w) <= 256 for w in words):
             return self.landmarks.likeness(words)
@@ -335,6 +340,7 @@ def add_scores(docs: DataFrame, model: ToxicityModel | int, text_col: str = "tex
         for batch in texts:
             parts = [model.scores(cache.pooled(batch.iloc[a : a + rows_at_once].tolist())) for a in range(0, len(batch), rows_at_once)]
             yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+        cache.shrink()
 
     return docs.select("*", score(F.col(f"`{text_col}`")).alias("score"))
 
