@@ -1,12 +1,17 @@
 """Approximate nearest neighbours by collision counting over query-centred windows.
 
-Vectors are projected on `projections` random lines, and each line keeps its projections in one sorted array. Around a query's
-own projection a window opens on every line; virtual rehashing widens all windows by the same factor again and again, and a
-vector counts the lines on whose windows it lies. Once it lies in `threshold` of them it is verified with the exact inner
-product on the original vectors. A search ends when k + verify x n of the block's n vectors (AT_LEAST, in small blocks) have been verified. Largest inner product is
-made nearest distance by one more coordinate, which gives all vectors of a block the same length.
-
-Every row is indexed, in blocks of at most `block_rows` distinct vectors; blocks of queries meet blocks of rows, and the best k of
+Vectors are projected on LINES random lines, and each line keeps its projections as one sorted array. Around a query's own projection a
+window opens on every line; virtual rehashing widens all windows together, in proportion to the search radius, on the same
+arrays. A vector that lies in the windows of at least `threshold` of the lines is verified with the exact inner product on the
+original vectors. A search ends as soon as k verified vectors lie within the radius, or when k + `verify` of the block's vectors
+have been verified. Largest inner product is made nearest distance by one more coordinate, which gives all vectors of a block the same length.
+
+The arrays are read by pages: a window is the pages that it touches. For every page border a line keeps the set of vectors before it as a bit
+map, so a window is the difference of two maps, and the windows of all lines are added up by bitwise carry-save counters, 64
+vectors a word. A vector whose distance is the radius lies in the window of a line with probability 2 Phi(WIDTH) - 1, here
+0.77; the threshold lies below that, so such a vector is missed with a probability of a few in a hundred.
+
+Every row is indexed, in blocks of about `block_rows` distinct vectors; the stated queries meet every block, and the best k of
 each block are merged by query. Equal vectors are one entry with its k + 1 smallest ids, which are all that a top k can
 show, so a vector that many rows share costs no more than another.
 
@@ -25,55 +30,110 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import materialize
-
-PROJECTIONS = 40
-#: Share of the projections on which a vector must collide with the query.
-COLLISIONS = 0.7
-#: Share of a block's vectors, and how many at least, that are verified before a search ends.
-VERIFY = 0.3
-AT_LEAST = 512
-#: Factor between the window widths of two rounds.
-WIDEN = 1.35
+from newsflow.llm.common import discard, materialize
+from newsflow.llm.simhash import _exceeds, _full
+
+LINES = 160
+#: Pages of a sorted array.
+PAGES = 64
+#: Half a window's width, as a multiple of the radius.
+WIDTH = 1.2
+#: Share of the lines on which a vector must collide with the query.
+THRESHOLD = 0.74
+#: Share of a block's vectors that may be verified before a search ends.
+VERIFY = 0.04
+#: Factor between the radii of two rounds.
+WIDEN = 1.025
+#: Rows that a first radius is taken from, and its share of the least distance to one of them.
+PILOT, FIRST = 512, 0.85
+#: Queries counted at once, and queries that one copy of a block serves.
+AT_ONCE, OF_COPY = 32, 16384
 
 
 class BlockIndex:
-    """The sorted projections of one block's vectors."""
+    """The sorted projections of one block's vectors, by pages."""
 
-    def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 7):
+    def __init__(self, vectors: np.ndarray, lines: int = LINES, seed: int = 7):
         self.vectors = vectors.astype(np.float64)
+        n = self.n = len(vectors)
         norms = np.linalg.norm(self.vectors, axis=1)
         self.longest = norms.max()
         lifted = np.column_stack([self.vectors / self.longest, np.sqrt(np.maximum(0, 1 - (norms / self.longest) ** 2))])
-        self.lines = np.random.default_rng(seed).standard_normal((lifted.shape[1], projections))
-        spread = lifted @ self.lines
-        self.order = np.ascontiguousarray(np.argsort(spread, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(spread, self.order.T, axis=0).T)
-        self.start = 0.4 * float(np.median(spread.std(axis=0))) or 1e-9
-
-    def search(self, query: np.ndarray, k: int, collisions: float = COLLISIONS, verify: float = VERIFY, widen: float = WIDEN) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and inner products of the k best verified vectors, and all that tie with the last of them."""
-        n, m = len(self.vectors), len(self.sorted)
-        enough, need = min(n, math.ceil(k + max(AT_LEAST, verify * n))), math.ceil(collisions * m)
-        at = np.append(query / np.linalg.norm(query), 0.0) @ self.lines
-        counts, half = np.zeros(n, np.int64), self.start
-        low = high = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at, strict=True)])
-        while True:
-            new_low = np.array([np.searchsorted(s, a - half, "left") for s, a in zip(self.sorted, at, strict=True)])
-            new_high = np.array([np.searchsorted(s, a + half, "right") for s, a in zip(self.sorted, at, strict=True)])
-            fresh = [o[a:b] for o, nl, ol, oh, nh in zip(self.order, new_low, low, high, new_high, strict=True) for a, b in ((nl, ol), (oh, nh)) if a < b]
-            if fresh:
-                counts += np.bincount(np.concatenate(fresh), minlength=n)
-            low, high = new_low, new_high
-            seen = np.flatnonzero(counts >= need)
-            if len(seen) >= enough or (low == 0).all() and (high == n).all():
-                break
-            half *= widen
-        scores = np.einsum("ij,j->i", self.vectors[seen], query.astype(np.float64))
-        if len(seen) > k:
-            last = np.partition(scores, len(scores) - k)[len(scores) - k]
-            seen, scores = seen[scores >= last], scores[scores >= last]
-        return seen, scores
+        self.lines = np.random.default_rng(seed).standard_normal((lifted.shape[1], lines))
+        self.pilot = lifted[:: max(1, n // PILOT)]
+        page = math.ceil(n / PAGES)
+        pages = math.ceil(n / page)
+        self.before = np.zeros((lines, pages + 1, math.ceil(n / 64)), np.uint64)
+        self.first, self.last = np.zeros((lines, pages)), np.zeros((lines, pages))
+        of_rank = np.arange(n) // page
+        for i in range(lines):
+            spread = lifted @ self.lines[:, i]
+            order = np.argsort(spread, kind="stable")
+            ordered = spread[order]
+            self.first[i], self.last[i] = ordered[::page], np.append(ordered[page - 1 :: page], ordered[-1:])[:pages]
+            own = np.zeros((pages, self.before.shape[2] * 64), bool)
+            own[of_rank, order] = True
+            maps = np.packbits(own, axis=1, bitorder="little").view(np.uint64)
+            self.before[i, 1:] = np.bitwise_or.accumulate(maps, axis=0)
+
+    def colliding(self, at: np.ndarray, half: np.ndarray, need: int) -> np.ndarray:
+        """Bit maps of the vectors that lie in `need` windows or more. at: the queries' projections; half: half their windows' width."""
+        shape = (len(at), self.before.shape[2])
+        counter = [np.zeros(shape, np.uint64) for _ in range(len(self.lines[0]).bit_length() + 1)]
+        for begin in range(0, len(self.lines[0]), 7):
+            x = []
+            for i in range(begin, min(begin + 7, len(self.lines[0]))):
+                low = np.searchsorted(self.last[i], at[:, i] - half)
+                high = np.maximum(np.searchsorted(self.first[i], at[:, i] + half, "right"), low)
+                x.append(self.before[i][high] ^ self.before[i][low])
+            x += [np.zeros(shape, np.uint64)] * (7 - len(x))
+            s1, c1 = _full(x[0], x[1], x[2])
+            s2, c2 = _full(x[3], x[4], x[5])
+            s3, c3 = _full(s1, s2, x[6])
+            twos, fours = _full(c1, c2, c3)
+            counter[0], carry = counter[0] ^ s3, counter[0] & s3
+            counter[1], carry = _full(counter[1], carry, twos)
+            counter[2], carry = _full(counter[2], carry, fours)
+            for j in range(3, len(counter) - 1):
+                counter[j], carry = counter[j] ^ carry, counter[j] & carry
+        return _exceeds(counter, need - 1)
+
+    def search(self, queries: np.ndarray, k: int, threshold: float = THRESHOLD, verify: float = VERIFY, widen: float = WIDEN) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query the row numbers and inner products of the k best verified vectors, and all that tie with the last of
+        them, and how many were verified."""
+        unit = np.column_stack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros(len(queries))])
+        at = unit @ self.lines
+        distance = lambda cosine: np.sqrt(np.maximum(0, 2 - 2 * cosine))
+        radius = np.maximum(FIRST * distance(unit @ self.pilot.T).min(axis=1), 1e-3)
+        scale = np.linalg.norm(queries, axis=1) * self.longest
+        need, enough = max(1, math.ceil(threshold * self.lines.shape[1])), min(self.n, k + math.ceil(verify * self.n))
+        seen = np.zeros((len(queries), self.before.shape[2]), np.uint64)
+        rows = [np.zeros(0, np.int64)] * len(queries)
+        scores = [np.zeros(0)] * len(queries)
+        open_ = np.arange(len(queries))
+        while len(open_):
+            hits = self.colliding(at[open_], WIDTH * radius[open_], need)
+            fresh = hits & ~seen[open_]
+            seen[open_] |= hits
+            going = []
+            for q, bits in zip(open_.tolist(), fresh, strict=True):
+                new = np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")[: self.n]) if bits.any() else rows[q][:0]
+                if len(new):
+                    rows[q], scores[q] = np.append(rows[q], new), np.append(scores[q], np.einsum("ij,j->i", self.vectors[new], queries[q]))
+                found = len(rows[q])
+                within = found >= k and distance(np.partition(scores[q], found - k)[found - k] / scale[q]) <= radius[q]
+                if not within and found < enough:
+                    going.append(q)
+            radius[going] *= widen
+            open_ = np.array(going, np.int64)
+        out = []
+        for found, score in zip(rows, scores, strict=True):
+            verified = len(found)
+            if verified > k:
+                least = np.partition(score, verified - k)[verified - k]
+                found, score = found[score >= least], score[score >= least]
+            out.append((found, score, verified))
+        return out
 
 
 def _valid(vector: Column) -> Column:
@@ -81,51 +141,55 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, usable) & F.exists(vector, lambda x: x != 0)
 
 
-def _pack(rows: DataFrame, per_block: int, n: int, kind: str) -> DataFrame:
-    """rows (ids: array<long>, v: array<double>) as blocks: block, vectors and ids (binary), with how many ids a vector has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        schema = pa.schema([("vectors", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
+def _pack(rows: DataFrame, blocks: int, kind: str) -> DataFrame:
+    """rows (ids: array<long>, v: array<double>), dealt by their first id, as blocks: block (from 0), vectors and ids (binary), with how many ids a vector has."""
+    schema = pa.schema([("block", pa.int64()), ("vectors", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
-        def block(part: pa.Table) -> pa.RecordBatch:
-            part = part.combine_chunks()
-            ids, v = part.column("ids").combine_chunks(), part.column("v").combine_chunks()
-            return pa.RecordBatch.from_pylist([{"vectors": v.flatten().to_numpy().astype(kind).tobytes(), "ids": ids.flatten().to_numpy().tobytes(), "sizes": np.diff(ids.offsets.to_numpy()).astype("<i4").tobytes()}], schema)
+    def block(number: int, part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        ids, v = part.column("ids").combine_chunks(), part.column("v").combine_chunks()
+        sizes = np.diff(ids.offsets.to_numpy()).astype("<i4").tobytes()
+        return pa.RecordBatch.from_pylist([{"block": number, "vectors": v.flatten().to_numpy().astype(kind).tobytes(), "ids": ids.flatten().to_numpy().tobytes(), "sizes": sizes}], schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        number = -1
         for batch in batches:
-            held, count = [*held, batch], count + batch.num_rows
-            if count >= per_block:
-                all_rows = pa.Table.from_batches(held)
-                for a in range(0, count - per_block + 1, per_block):
-                    yield block(all_rows.slice(a, per_block))
-                rest = all_rows.slice(count - count % per_block)
-                held, count = rest.to_batches(), rest.num_rows
-        if count:
-            yield block(pa.Table.from_batches(held))
-
-    blocks = rows.repartition(max(1, math.ceil(n / per_block))).mapInArrow(run, "vectors binary, ids binary, sizes binary")
-    return materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65536, query_rows: int = 128, queries_of_task: int = 5, **search) -> DataFrame:
+            numbers = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and numbers[a] != number:
+                    yield block(number, pa.Table.from_batches(held))
+                    held = []
+                if a < b:
+                    number = int(numbers[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield block(number, pa.Table.from_batches(held))
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(blocks))).repartition(blocks, "block").sortWithinPartitions("block")
+    return materialize(dealt.mapInArrow(run, "block long, vectors binary, ids binary, sizes binary"))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65536, query_rows: int = 128, **search) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row for which is_query (over id_col) holds."""
+    spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias("v")).where(_valid(F.col("v")))
     rows = materialize(rows.groupBy(id_col, "v").agg(F.lit(1).alias("one")).select(id_col, "v"))
     size = rows.groupBy(F.size("v").alias("d")).count().agg(F.max(F.struct("count", "d")))
     dim = (size.first()[0] or (0, 0))[1]
-    rows = rows.where(F.size("v") == dim)
+    of_size = rows.where(F.size("v") == dim)
     same = Window.partitionBy("v").orderBy(id_col)
-    entries = materialize(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(id_col)).alias("ids")))
-    queries = rows.where(is_query).select(F.array(id_col).alias("ids"), "v")
+    entries = materialize(of_size.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(id_col)).alias("ids")))
+    queries = of_size.where(is_query).select(F.array(id_col).alias("ids"), "v")
     kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     n_queries = queries.count()
-    blocks, asked = _pack(entries, block_rows, entries.count(), kind), _pack(queries, query_rows, n_queries, kind)
-    # Blocks of queries meet blocks of rows by an equi-join on the block of rows and a share of the queries, so that
-    # one task has few blocks of queries and a block of rows is copied once for each share, not for each pair.
-    numbers = [r[0] for r in blocks.select("block").collect()]
-    shares = max(1, math.ceil(n_queries / query_rows / queries_of_task))
-    met = asked.select(F.col("vectors").alias("q"), F.col("ids").alias("q_ids"), F.pmod(F.shiftright("block", 33) + F.col("block").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(shares)).alias("share"), F.explode(F.array(*map(F.lit, numbers)) if numbers else F.expr("cast(array() as array<long>)")).alias("block"))
+    n_blocks = max(1, math.ceil(entries.count() / block_rows))
+    blocks, asked = _pack(entries, n_blocks, kind), _pack(queries, max(1, math.ceil(n_queries / query_rows)), kind)
+    # Every block of queries meets every block of rows by an equi-join on the block of rows and a share of the queries; a
+    # block is copied once for each OF_COPY queries, or more often while there are fewer tasks than cores.
+    shares = max(1, math.ceil(n_queries / OF_COPY), min(math.ceil(n_queries / (4 * query_rows)), math.ceil(spark.sparkContext.defaultParallelism / n_blocks)))
+    met = asked.select(F.col("vectors").alias("q"), F.col("ids").alias("q_ids"), F.pmod("block", F.lit(shares)).alias("share"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
     spread = blocks.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     pairs = spread.join(met, ["block", "share"]).select("block", "vectors", "ids", "sizes", "q", "q_ids")
 
@@ -137,15 +201,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                     sizes = np.frombuffer(r["sizes"], "<i4")
                     held = r["block"], BlockIndex(np.frombuffer(r["vectors"], kind).reshape(-1, dim)), np.frombuffer(r["ids"], np.int64), np.concatenate([[0], np.cumsum(sizes)])
                 _, index, ids, bounds = held
+                own_ids, own = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], kind).reshape(-1, dim).astype(np.float64)
                 out: list[list] = [[], [], []]
-                for own, query in zip(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], kind).reshape(-1, dim).astype(np.float64), strict=True):
-                    at, scores = index.search(query, k + 1, **search)
-                    found = sorted((-s, i) for a, s in zip(at.tolist(), scores.tolist(), strict=True) for i in ids[bounds[a] : bounds[a + 1]].tolist() if i != own)[:k]
-                    out[0] += [own] * len(found)
-                    out[1] += [i for _, i in found]
-                    out[2] += [-s for s, _ in found]
+                for a in range(0, len(own_ids), AT_ONCE):
+                    for me, (at, scores, _) in zip(own_ids[a : a + AT_ONCE].tolist(), index.search(own[a : a + AT_ONCE], k + 1, **search), strict=True):
+                        found = sorted((-s, i) for x, s in zip(at.tolist(), scores.tolist(), strict=True) for i in ids[bounds[x] : bounds[x + 1]].tolist() if i != me)[:k]
+                        out[0] += [me] * len(found)
+                        out[1] += [i for _, i in found]
+                        out[2] += [-s for s, _ in found]
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id", "score"])
+    found = materialize(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), 8)
+    discard(rows, entries, blocks, asked)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+    ranked = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")

@@ -6,7 +6,7 @@ of which has a small share of the rows, go through one ordinary shuffle.
 
 Defined results: a null text counts as empty; all empty texts are equal; among equal texts with the same number of
 code points and the same id (repeated rows) exactly one, any one, stays; null ids come after all others; an empty table
-gives an empty result; other columns are ignored by `exact_duplicates` and kept by `drop_exact_duplicates`.
+gives an empty result; very long texts are digested whole; other columns, whatever their names, are ignored by `exact_duplicates` and kept by `drop_exact_duplicates`.
 """
 
 from __future__ import annotations
@@ -74,8 +74,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = rows.count()
     winners = F.broadcast(materialize(_winners(rows, total)))
     hot = rows.join(winners, "digest").select("id", "digest", "rid", F.col("best").alias("b"), "group_size")
-    w = Window.partitionBy("digest")
-    cold = rows.join(winners.select("digest"), "digest", "left_anti").select("id", "digest", "rid", F.min(F.struct(_order("length", "id").alias("o"), F.col("rid"))).over(w).alias("b"), F.count("*").over(w).alias("group_size"))
+    # the others are summed up where they lie and joined with the sums, so that no task gathers a group's rows
+    cold = rows.join(winners.select("digest"), "digest", "left_anti")
+    best = cold.groupBy("digest").agg(F.min(F.struct(_order("length", "id").alias("o"), F.col("rid"))).alias("b"), F.count("*").alias("group_size"))
+    cold = cold.join(best, "digest").select("id", "digest", "rid", "b", "group_size")
     return hot.unionByName(cold).select(F.col("id").alias(id_col), F.col("b.o.d").alias("keep_id"), "group_size", (F.col("rid") == F.col("b.rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -84,6 +86,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keys = materialize(docs.select(F.col(id_col).alias("id"), F.unhex(text_digest(F.col(text_col))).alias("digest"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("length"), F.monotonically_increasing_id().alias("rid")))
     winners = materialize(_winners(keys, keys.count()).select(F.col("digest").alias("__nf_digest"), F.col("best.o").alias("__nf_best")))
     own = {"__nf_digest": F.unhex(text_digest(F.col(text_col))), "__nf_length": F.coalesce(F.length(text_col), F.lit(0)).cast("long"), "__nf_id": F.col(id_col)}
+    # of a group at most one row leaves each task: the window's limit is applied before the shuffle, too
     left = with_columns(docs, own).join(F.broadcast(winners), "__nf_digest", "left").where(F.col("__nf_best").isNull() | (F.col("__nf_best").eqNullSafe(_order("__nf_length", "__nf_id"))))
     first = Window.partitionBy("__nf_digest").orderBy(_order("__nf_length", "__nf_id"))
     return left.withColumn("__nf_n", F.row_number().over(first)).where("__nf_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,23 +1,31 @@
-"""Stupid-backoff scores of every document under an n-gram model of the whole corpus.
+"""Stupid-backoff scores of every document under an n-gram model of all other documents.
 
-Documents are gathered into blocks that hold their words as numbers of a local vocabulary. Order by order, every block lists its
-distinct n-grams, as 64-bit hashes with counts, dealt by hash into buckets; n-grams with a part that is too rare are left out, as they are too rare themselves. A bucket adds up the counts of all
-blocks - this is the n-gram table, partitioned by hash - and joins the sums back to the blocks that asked. Each block
-then has the corpus counts of all its n-grams, looks up its words' scores, and sums them per document. A word that half the
-corpus holds is one entry of a block, whatever its frequency, so no key is hot.
+Words are gathered into blocks of documents. Order by order, each block lists its distinct n-grams with their counts; these
+entries are dealt by a hash into buckets and laid out there as rows, one for each block and n-gram. The n-gram count table is
+their sum by n-gram, partitioned by that hash; it is joined back to the rows, and what an n-gram counts beyond its
+block returns to the block, which looks up the score of each word and sums them per document.
 
-Score of a word after its context of up to order - 1 words: count(context word) / count(context) for the longest
-context with count(context word) >= min_count (1 for single words, over all words), times BACKOFF for each context word given up. Words: maximal runs
-without [\\x20\\x09-\\x0D], A-Z in lower case.
+The model is the corpus without the document itself (leave one out): under its own counts every n-gram of a document would be
+known, and nothing would ever back off. With c the corpus count less the document's own count, the score of a word after its
+context of up to order - 1 words is c(context word) / c(context) for the longest context with c(context word) >=
+min_count, times BACKOFF for each context word given up. A word alone has max(c(word), 1) / words of the other documents.
+Words: maximal runs without [\\x20\\x09-\\x0D], A-Z in lower case.
 
-Defined results: null and empty texts have no words, log score 0 and no mean; repeated rows count and are scored one by one; an
-empty table gives an empty result; extra columns are ignored.
+An n-gram is asked for only where the two shorter ones that it is made of occur in other documents; otherwise it can't occur there
+itself, so nothing is lost. An n-gram is known by 64 bits of one hash inside a bucket, which is chosen by another; the
+more n-grams, the more buckets, so the chance that two are taken for one falls as the corpus grows.
+
+No key is hot: a block has an n-gram once, whatever its frequency, and rows of one n-gram are added up within groups of
+GROUP_BLOCKS blocks first, then over the groups.
+
+Defined results: null and empty texts have no words, log score 0 and no mean; repeated rows are documents of their own, so each is
+known to the model of the other; a very long text is a block of its own; a corpus of one document has the
+score of unknown words; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,51 +35,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import materialize
+from newsflow.llm.common import discard, materialize
 
 BACKOFF = 0.4
-#: Words of a block, beyond which it takes no more documents, and entries of a bucket over all blocks.
-BLOCK_WORDS = 300_000
-BUCKET_ENTRIES = 3_000_000
+#: Words of a block, beyond which it takes no more documents.
+BLOCK_WORDS = 400_000
+#: Words of the corpus for each bucket.
+BUCKET_WORDS = 250_000
+#: Blocks whose rows of one n-gram are added up at once.
+GROUP_BLOCKS = 4096
 #: Blocks in a batch that goes to Python.
 BLOCKS_AT_ONCE = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of equal rank together, compressed: what is alike in neighbours takes little room."""
-    return zlib.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
-
-
-def _unplanes(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
-def _pack_counts(counts: np.ndarray) -> bytes:
-    """Counts below 255 in a byte each; then the others in eight."""
-    large = counts >= 255
-    return len(counts).to_bytes(4, "little") + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
-
-
-def _unpack_counts(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    counts = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data, "<u8", -1, 4 + n)
-    return counts
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(data, "<u8"), dtype=np.uint64)
-
-
 def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """ids (array), sizes (words of each), vocabulary (sorted hashes), words (numbers in the vocabulary), n: a row for each block."""
+    """ids (array), sizes (words of each), vocabulary (two 64-bit hashes a word), words (numbers in the vocabulary), n: a row for each block."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,14 +62,12 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int =
         n = 0
 
         def block() -> pa.RecordBatch:
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-            order = np.argsort(hashes)
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            words = place[np.concatenate(numbers)] if n else np.zeros(0, np.uint32)
+            vocabulary = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), "<u8").tobytes()
+            words = np.concatenate(numbers) if n else np.zeros(0, np.uint32)
             own = pa.concat_arrays(ids)
-            cells = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), np.array(sizes, "<i4").tobytes(), _pack_keys(hashes[order]), _planes(words), n]
-            return pa.RecordBatch.from_arrays([cells[0], *[pa.array([c]) for c in cells[1:4]], pa.array([n], pa.int64())], ["ids", "sizes", "vocabulary", "words", "n"])
+            cells = [np.array(sizes, "<i4").tobytes(), vocabulary, words.astype(_word_kind(len(known))).tobytes()]
+            first = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            return pa.RecordBatch.from_arrays([first, *[pa.array([c], pa.binary()) for c in cells], pa.array([n], pa.int64())], ["ids", "sizes", "vocabulary", "words", "n"])
 
         for batch in batches:
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -109,107 +87,140 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int =
     return rows.mapInArrow(run, f"ids array<{kind.simpleString()}>, sizes binary, vocabulary binary, words binary, n long")
 
 
-def _ngrams(vocabulary: bytes, words: bytes, sizes: bytes, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the hash of the n-gram that ends at a word, and which words have so many before them in their text."""
-    hashes = _unpack_keys(vocabulary)[_unplanes(words, "<u4")] if words else np.zeros(0, np.uint64)
-    size = np.frombuffer(sizes, "<i4")
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
-    key = hashes.copy()
-    yield key, place >= 0
-    for k in range(1, order):
-        longer = key.copy()
-        # the n-gram that ends here: the shorter one that ended a word earlier, and this word
-        longer[1:] = (key[:-1] ^ (key[:-1] >> np.uint64(29))) * _MIX + hashes[1:]
-        longer ^= longer >> np.uint64(32)
-        key = longer
-        yield key, place >= k
-
-
-def _levels(block: dict, order: int, min_count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Level by level: n-gram hashes, which words have so long a context in their text, which n-grams may have min_count
-    occurrences, and their corpus counts (0 for all others), as far as the block has answers.
-
-    An n-gram is as rare as the rarest of the two shorter ones that it is made of, so only those are asked for whose parts both
-    have min_count; the others can't be in the table, and nothing is lost."""
-    got: dict[int, list] = {}
-    for x in sorted((x["k"], x["bucket"], x["counts"]) for x in block["answers"] or []):
-        got.setdefault(x[0], []).append(x[2])
-    counts = None
-    for k, (key, whole) in enumerate(_ngrams(block["vocabulary"], block["words"], block["sizes"], order), 1):
-        asked = whole.copy()
-        if counts is not None:
-            frequent = counts >= min_count
-            asked[1:] &= frequent[:-1] & frequent[1:]
-            asked[:1] = False
-        counts = np.zeros(len(key), np.int64)
-        if k in got and asked.any():
-            counts[asked] = np.concatenate([_unpack_counts(x) for x in got[k]])[np.unique(key[asked], return_inverse=True)[1]]
-        yield key, whole, asked, counts
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, min_count: int = 2, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _word_kind(words: int) -> str:
+    return "<u2" if words <= 1 << 16 else "<u4"
+
+
+class Block:
+    """The words of some documents, and what the corpus has answered so far: {order: (bucket, place in it, count) arrays}."""
+
+    def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes, bits: int, answers: dict[int, tuple[np.ndarray, ...]]):
+        self.sizes, self.bits, self.answers = np.frombuffer(sizes, "<i4"), bits, answers
+        hashes = np.frombuffer(vocabulary, "<u8").reshape(-1, 2)
+        self.hashes = hashes[np.frombuffer(words, _word_kind(len(hashes)))]
+        n = int(self.sizes.sum())
+        self.document = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def orders(self, last: int) -> Iterator[tuple[dict, np.ndarray | None]]:
+        """Order by order the distinct n-grams to ask for and, where they are answered, how often the n-gram that ends at
+        each word occurs in other documents."""
+        key = self.hashes
+        outside: np.ndarray | None = None
+        for k in range(1, last + 1):
+            asked = self.place >= k - 1
+            if outside is not None:
+                # the n-gram that ends here: the shorter one that ended a word earlier, and this word
+                longer = key.copy()
+                longer[1:] = (key[:-1] ^ (key[:-1] >> np.uint64(29))) * _MIX + self.hashes[1:]
+                key = longer ^ (longer >> np.uint64(32))
+                asked[1:] &= (outside[1:] > 0) & (outside[:-1] > 0)
+            codes, distinct = pd.factorize(key[asked, 0])
+            first = np.zeros(len(distinct), np.int64)
+            first[codes[::-1]] = np.flatnonzero(asked)[::-1]
+            bucket = (key[first, 1] >> np.uint64(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            found = {"keys": distinct[order].view(np.int64), "counts": np.bincount(codes, minlength=len(distinct))[order], "bucket": bucket[order].astype(np.int64)}
+            outside = None
+            if k in self.answers:
+                begins = np.searchsorted(found["bucket"], self.answers[k][0])
+                totals = np.zeros(len(distinct), np.int64)
+                totals[order] = found["counts"]
+                totals[order[begins + self.answers[k][1]]] = self.answers[k][2]
+                pairs = pd.factorize(codes * len(self.sizes) + self.document[asked])[0]
+                outside = np.zeros(len(asked), np.int64)
+                outside[asked] = totals[codes] - np.bincount(pairs)[pairs]
+            yield found, outside
+
+    def scores(self, order: int, min_count: int, total: int) -> np.ndarray:
+        """The sum of each document's logarithms."""
+        outside = [o for _, o in self.orders(order)]
+        others = np.maximum(total - self.sizes[self.document], 1)
+        context = np.minimum(self.place, order - 1)
+        logs = np.log(np.maximum(outside[0], 1) / others) + context * math.log(BACKOFF)
+        done = np.zeros(len(logs), bool)
+        for k in range(order, 1, -1):
+            now = np.flatnonzero(~done & (outside[k - 1] >= min_count))
+            logs[now] = np.log(outside[k - 1][now] / outside[k - 2][now - 1]) + (context[now] + 1 - k) * math.log(BACKOFF)
+            done[now] = True
+        return np.bincount(self.document, logs, minlength=len(self.sizes))
+
+
+def _blocks_of(batch: pa.RecordBatch, bits: int) -> Iterator[Block]:
+    columns = {c: batch.column(c) for c in ("sizes", "vocabulary", "words", "answers")}
+    for r in range(batch.num_rows):
+        got: dict[int, tuple[np.ndarray, ...]] = {}
+        if columns["answers"][r].is_valid:
+            parts = columns["answers"].slice(r, 1).flatten()
+            k, bucket, at, c = (parts.field(i) for i in range(4))
+            lengths = np.diff(at.offsets.to_numpy())
+            ks, buckets = np.repeat(k.to_numpy(), lengths), np.repeat(bucket.to_numpy(), lengths)
+            at, c = at.flatten().to_numpy(), c.flatten().to_numpy()
+            for x in np.unique(ks):
+                own = ks == x
+                got[int(x)] = buckets[own], at[own], c[own]
+        # an order with an answer of nothing is answered, too: whatever the block asked for occurs nowhere else
+        done = int(batch.column("done")[r].as_py())
+        none = np.zeros(0, np.int64)
+        yield Block(*(columns[c][r].as_py() for c in ("sizes", "vocabulary", "words")), bits, {x: (none, none, none) for x in range(1, done + 1)} | got)
+
+
+def _counted(entries: DataFrame, groups: int) -> DataFrame:
+    """From entries (bucket, part, block, keys, counts): for each block and bucket the places (`at`) and counts of those
+    n-grams that occur in other blocks as well."""
+    dealt = entries.repartition("bucket", "part")
+    rows = dealt.select("bucket", "part", "block", F.posexplode("keys").alias("at", "key"), "counts").withColumn("n", F.get("counts", F.col("at"))).drop("counts")
+    table = rows.groupBy("bucket", "part", "key").agg(F.sum("n").alias("count"))
+    if groups > 1:
+        table = materialize(table)
+        whole = table.groupBy("bucket", "key").agg(F.sum("count").alias("whole"))
+        table = table.join(whole, ["bucket", "key"]).select("bucket", "part", "key", F.col("whole").alias("count"))
+    joined = rows.join(table.hint("shuffle_hash"), ["bucket", "part", "key"]).where("count > n")
+    return joined.groupBy("bucket", "part", "block").agg(F.collect_list("at").alias("at"), F.collect_list("count").alias("count")).select("block", "bucket", "at", "count")
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, min_count: int = 1, block_words: int = BLOCK_WORDS, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """A row for each document: id_col, n_tokens, log_score (natural logarithm, summed), mean_log_score."""
     blocks = materialize(token_blocks(docs, id_col, text_col, block_words).withColumn("block", F.monotonically_increasing_id()))
-    total = blocks.agg(F.sum("n")).first()[0] or 0
-    bits = max(6, math.ceil(math.log2(max(1, total / BUCKET_ENTRIES))))
+    n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = max(6, math.ceil(math.log2(max(1, total / BUCKET_WORDS))))
+    groups = max(1, math.ceil(n_blocks / group_blocks))
+    answers: DataFrame | None = None
+
+    def answered(done: int) -> DataFrame:
+        of_block = blocks.select("block", "sizes", "vocabulary", "words", "ids", F.lit(done).alias("done"))
+        if answers is None:
+            return of_block.withColumn("answers", F.lit(None).cast("array<struct<k:int,bucket:long,at:array<int>,count:array<long>>>"))
+        by_block = answers.groupBy("block").agg(F.collect_list(F.struct("k", "bucket", "at", "count")).alias("answers"))
+        return of_block.join(by_block, "block", "left")
 
     def ask(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    *_, (key, _, asked, _) = _levels(r, k, min_count)
-                    keys, counts = np.unique(key[asked], return_counts=True)
-                    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    full = np.flatnonzero(np.diff(cuts))
-                    parts = [(int(cuts[b]), int(cuts[b + 1])) for b in full]
-                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([r["block"]] * len(full), pa.int64()), pa.array([_pack_keys(keys[a:b]) for a, b in parts], pa.binary()), pa.array([_pack_counts(counts[a:b]) for a, b in parts], pa.binary())], ["bucket", "block", "keys", "counts"])
+                for number, block in zip(batch.column("block").to_pylist(), _blocks_of(batch, bits), strict=True):
+                    *_, (found, _) = block.orders(k)
+                    full, begins = np.unique(found["bucket"], return_index=True)
+                    offsets = pa.array(np.append(begins, len(found["keys"])).astype(np.int32))
+                    keys, counts = (pa.ListArray.from_arrays(offsets, pa.array(found[c].astype(t))) for c, t in (("keys", np.int64), ("counts", np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), number, np.int64)), keys, counts], ["bucket", "block", "keys", "counts"])
 
         return run
 
-    def add_and_join(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unpack_keys(x) for x in group["keys"]]
-        ends = np.cumsum([len(x) for x in keys])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        table = np.bincount(inverse, weights=np.concatenate([_unpack_counts(x) for x in group["counts"]])).astype(np.int64)
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "counts": [_pack_counts(table[inverse[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
-
-    answers: DataFrame | None = None
-
-    def answered() -> DataFrame:
-        if answers is None:
-            return blocks.withColumn("answers", F.lit(None).cast("array<struct<k:int,bucket:int,counts:binary>>"))
-        return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("k", "bucket", "counts")).alias("answers")), "block", "left")
-
     for k in range(1, order + 1):
-        entries = answered().select("block", "vocabulary", "words", "sizes", "answers").mapInArrow(ask(k), "bucket int, block long, keys binary, counts binary")
-        # the n-gram table of this order, partitioned by hash, joined to the blocks' n-grams
-        new = materialize(entries.groupBy("bucket").applyInPandas(add_and_join, "block long, bucket int, counts binary").select("block", F.lit(k).alias("k"), "bucket", "counts"), BLOCKS_AT_ONCE)
+        entries = answered(k - 1).drop("ids").mapInArrow(ask(k), "bucket long, block long, keys array<long>, counts array<int>")
+        entries = entries.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+        new = materialize(_counted(entries, groups).select("block", F.lit(k).alias("k"), "bucket", "at", "count"), BLOCKS_AT_ONCE)
         answers = new if answers is None else answers.unionByName(new)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, r in enumerate(batch.select(["vocabulary", "words", "sizes", "answers"]).to_pylist()):
-                size = np.frombuffer(r["sizes"], "<i4")
-                levels = list(_levels(r, order, min_count))
-                logs = np.zeros(int(size.sum()))
-                done = np.zeros(len(logs), bool)
-                longest = np.sum([whole for _, whole, _, _ in levels], axis=0)
-                for k in range(order, 0, -1):
-                    _, _, asked, c = levels[k - 1]
-                    now = ~done & asked & (c >= (min_count if k > 1 else 1))
-                    context = np.concatenate([[1], levels[k - 2][3][:-1]]) if k > 1 else np.full(len(c), total)
-                    logs[now] = np.log(c[now] / context[now]) + (longest[now] - k) * math.log(BACKOFF)
-                    done |= now
-                begin = np.concatenate([[0], np.cumsum(logs)])
-                ends = np.cumsum(size)
-                sums = begin[ends] - begin[ends - size]
-                ids = batch.column(0).slice(i, 1).flatten()
+            for i, block in enumerate(_blocks_of(batch, bits)):
+                sums, size = block.scores(order, min_count, total), block.sizes
                 with np.errstate(invalid="ignore", divide="ignore"):
                     mean = pa.array(sums / size, pa.float64(), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(sums), mean], ["id", "n_tokens", "log_score", "mean_log_score"])
+                yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1).flatten(), pa.array(size, pa.int64()), pa.array(sums), mean], ["id", "n_tokens", "log_score", "mean_log_score"])
 
-    both = answered().select("ids", "sizes", "vocabulary", "words", "answers")
-    scores = both.mapInArrow(score, f"id {kind}, n_tokens long, log_score double, mean_log_score double")
-    return materialize(scores, BLOCKS_AT_ONCE).withColumnRenamed("id", id_col)
+    scores = materialize(answered(order).mapInArrow(score, f"id {kind}, n_tokens long, log_score double, mean_log_score double"), BLOCKS_AT_ONCE)
+    discard(blocks)
+    return scores.withColumnRenamed("id", id_col)

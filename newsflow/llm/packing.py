@@ -5,7 +5,8 @@ whatever the input) reaches the driver. Lengths are placed longest first, all pi
 open packs. The plan is a list of patterns with counts; ranks of equally long pieces join them back to the documents.
 
 Defined results: a null text counts as empty, and an empty text is the end id alone; repeated rows are packed one by
-one; an empty table gives an empty result; extra columns of the pieces are kept.
+one; an empty table gives an empty result; a very long text is tokenised whole and cut into many pieces; extra columns of the pieces are kept, but
+for ones named sequence_id or offset, which give way to the result's.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from newsflow.llm.common import materialize
 
 WIDTH = 2048
+#: Intervals of a plan (48 bytes each) that are broadcast.
+BROADCAST_SLOTS = 100_000
 #: Texts of these characters alone, and without a special token, are encoded by tiktoken, whose ids are the same there.
 PLAIN = re.compile(r"[\t\n\r -~¡-¬®-ſ‐-‧€]*")
 SPECIAL = "<|endoftext|>"
@@ -140,9 +143,10 @@ def pack(pieces: DataFrame, width: int = WIDTH, length_col: str = "length") -> D
     bases = sizes.select("__nf_length", "__nf_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__nf_base"))
     own = Window.partitionBy("__nf_length", "__nf_part").orderBy("__nf_rid")
     ranked = rows.withColumn("__nf_nth", F.row_number().over(own)).join(bases, ["__nf_length", "__nf_part"]).withColumn("__nf_rank", F.col("__nf_base") + F.col("__nf_nth") - 1)
-    # the plan's intervals of ranks, sorted, as one array a length: a binary search finds a row's interval
+    # the plan's intervals of ranks, as one array a length; they are broadcast while they are few, and joined by a shuffle beyond that
     by_length = plan.groupBy("__nf_length").agg(F.array_sort(F.collect_list(F.struct("first", "ranks", "sequence", "per", "at"))).alias("__nf_plan"))
-    found = ranked.join(F.broadcast(by_length), "__nf_length")
+    found = ranked.join(F.broadcast(by_length) if len(slots) <= BROADCAST_SLOTS else by_length, "__nf_length")
     mine = F.element_at(F.filter("__nf_plan", lambda x: x["first"] <= F.col("__nf_rank")), -1)
     found = found.withColumn("__nf_mine", mine).withColumn("__nf_i", F.col("__nf_rank") - F.col("__nf_mine.first"))
-    return found.select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col("__nf_mine.sequence") + F.floor(F.col("__nf_i") / F.col("__nf_mine.per"))).cast("long").alias("sequence_id"), (F.col("__nf_mine.at") + F.pmod(F.col("__nf_i"), F.col("__nf_mine.per")) * F.col("__nf_length")).cast("long").alias("offset"))
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    return found.select(*[F.col(f"`{c}`") for c in kept], (F.col("__nf_mine.sequence") + F.floor(F.col("__nf_i") / F.col("__nf_mine.per"))).cast("long").alias("sequence_id"), (F.col("__nf_mine.at") + F.pmod(F.col("__nf_i"), F.col("__nf_mine.per")) * F.col("__nf_length")).cast("long").alias("offset"))

@@ -5,8 +5,8 @@ and every normalised byte remembers the original byte its prefix began at. The l
 with normalisation switched off in a copy of the model, and the pieces' byte lengths, carried through the alignment,
 give the original spans.
 
-Defined results: a null text counts as empty, and an empty text has no pieces; repeated rows are encoded one by one; an empty
-table gives an empty result; extra columns are ignored.
+Defined results: a null text counts as empty, and an empty text has no pieces; repeated rows are encoded one by one; very long texts
+are encoded whole; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -126,8 +126,8 @@ class Model:
             i += n
         end = len(raw)
         if self.squeeze:
-            while parts and parts[0][1] == b" ":
-                parts.pop(0)
+            begin = next((k for k, (_, new) in enumerate(parts) if new != b" "), len(parts))
+            parts = parts[begin:]
             if not parts:
                 return "", np.array([end], np.int32)
         space = SPACE.encode() if self.escape else b" "
@@ -145,9 +145,11 @@ class Model:
                 after_space = new.endswith(b" ")
         joined = b"".join(out)
         if self.squeeze:
-            while joined.endswith(space):
-                joined = joined[: -len(space)]
-                end = places[len(joined)]
+            length = len(joined)
+            while joined.endswith(space, 0, length):
+                length -= len(space)
+            if length < len(joined):
+                joined, end = joined[:length], places[length]
         return joined.decode(), np.array([*places[: len(joined)], end], np.int32)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:

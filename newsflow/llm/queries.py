@@ -57,8 +57,10 @@ def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pieces.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
-    covered = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), covered.alias("covered_bytes"))
+    # the spans' digest: their begins and ends in the original bytes, each list joined by commas
+    spans = F.concat_ws(";", F.array_join("begins", ","), F.array_join("ends", ","))
+    digests = [F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(spans, 256).alias("spans_sha256")]
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
 
 
 def _joined(spans, kinds=secret_scan.KINDS):
@@ -90,7 +92,7 @@ ORACLE_SQL = {
         SELECT conv_id, turn, role, kind, call_id, linked,
                concat_ws('; ', CASE WHEN kind = 'call' AND text IS NULL THEN 'text: missing' END,
                          CASE WHEN kind = 'call' AND NOT linked THEN 'no result' WHEN kind = 'result' AND NOT linked THEN 'no call' END) AS errors,
-               turn AS topo_turn, CASE WHEN kind = 'result' THEN 1 ELSE 0 END AS topo_phase,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
                CASE kind WHEN 'call' THEN '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) END || '},"call_id":' || to_json(call_id) || ',"name":"reply","role":' || to_json(role) || '}'
                     WHEN 'result' THEN '{"call_id":' || to_json(call_id) || ',"content":' || coalesce(to_json(text), 'null') || ',"role":' || to_json(role) || '}'
                     ELSE '{"content":' || coalesce(to_json(text), 'null') || ',"role":' || to_json(role) || '}' END AS json
@@ -102,21 +104,22 @@ ORACLE_SQL = {
           FROM documents),
         w AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM t),
         g AS (
-          SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS u
-          FROM w),
-        c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w),
-        c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w),
-        c3 AS (SELECT u, v, w, count(*) AS n FROM g WHERE u IS NOT NULL GROUP BY u, v, w),
+          SELECT r, i, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u
+          FROM w WINDOW d AS (PARTITION BY r ORDER BY i)),
+        c AS (
+          -- occurrences in other documents of the word, the pair and the triple that end here
+          SELECT r, i, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY r, w) AS n1,
+                 count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY r, v, w) AS n2,
+                 count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY r, u, v, w) AS n3,
+                 (SELECT count(*) FROM w) - count(*) OVER (PARTITION BY r) AS others
+          FROM g),
+        b AS (SELECT *, lag(n1) OVER d AS k1, lag(n2) OVER d AS k2 FROM c WINDOW d AS (PARTITION BY r ORDER BY i)),
         s AS (
-          SELECT g.r, g.i,
-                 CASE WHEN c3.n >= 2 THEN ln(c3.n / k2.n)
-                      WHEN c2.n >= 2 THEN ln(c2.n / k1.n) + CASE WHEN g.i >= 2 THEN ln(0.4) ELSE 0 END
-                      ELSE ln(c1.n / (SELECT count(*) FROM w)) + least(g.i, 2) * ln(0.4) END AS l
-          FROM g JOIN c1 ON g.w = c1.w
-          LEFT JOIN c2 ON g.v = c2.v AND g.w = c2.w
-          LEFT JOIN c3 ON g.u = c3.u AND g.v = c3.v AND g.w = c3.w
-          LEFT JOIN c1 AS k1 ON g.v = k1.w
-          LEFT JOIN c2 AS k2 ON g.u = k2.v AND g.v = k2.w)
+          SELECT r, i,
+                 CASE WHEN i >= 2 AND n3 >= 1 THEN ln(n3 / k2)
+                      WHEN i >= 1 AND n2 >= 1 THEN ln(n2 / k1) + CASE WHEN i >= 2 THEN ln(0.4) ELSE 0 END
+                      ELSE ln(greatest(n1, 1) / greatest(others, 1)) + least(i, 2) * ln(0.4) END AS l
+          FROM b)
         SELECT t.doc_id, count(s.i) AS n_tokens, round(coalesce(sum(s.l), 0), 3) AS log_score,
                round(sum(s.l) / count(s.i), 6) AS mean_log_score
         FROM t LEFT JOIN s ON t.r = s.r GROUP BY t.r, t.doc_id""",

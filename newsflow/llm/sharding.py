@@ -1,24 +1,26 @@
 """Sharding by a k-d tree over document metadata.
 
-A node that has to yield m shards is split at the weighted quantile floor(m/2)/m of its bytes along the dimension in which its
-rows are spread widest; leaves are the shards. The law that holds is `bytes`: sizes near equal. Medians are found
+A node is split along the dimension in which its rows are spread widest until the leaves, the shards, reach the target bytes: one
+of m times the target is split at the weighted quantile floor(m/2)/m of its bytes, the median where m is even. The law that holds is `bytes`: sizes near equal. Medians are found
 without sorting or gathering rows: every job sums bytes in BINS bins of the key range of each open node (at most
 shards x BINS sums reach the driver, whatever the input), then the bin that holds the quantile is cut into BINS again, until
-it holds one key or a `tolerance` part of a shard's bytes. The key is the place along the dimension, then a hash of the row,
-so that rows with equal metadata, copies included, can be divided too.
+it holds one key or a `tolerance` part of a shard's bytes. The key is the place along the dimension, then a hash of the text, then
+one of the row, so that rows with equal metadata can be divided, and equal texts only where a cut falls within them.
 
 Defined results: a null text has no bytes (size 16); null metadata lie below all others; repeated rows are placed one by
-one; with fewer rows than shards some shards stay empty; an empty table gives an empty result.
+one; a very long text is a row like others, and a shard that it outweighs holds it alone or nearly so; with fewer rows than shards some
+shards stay empty; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import materialize
+from newsflow.llm.common import discard, materialize
 
 BINS = 1024
 #: Cells of a dimension, and of the hash that follows.
@@ -101,18 +103,23 @@ def build_tree(rows: DataFrame, n_dims: int, shards: int, tolerance: float = 0.0
     return root
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int | None = 40, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None) -> DataFrame:
     """A row for each document: id_col, size, text_crc32, law, shard, slot, grown_shard.
 
-    dims: names and numeric expressions of the metadata dimensions. Sizes of shards differ by the tolerance of each
+    target_bytes: of a shard; where it is given, there are as many shards as the bytes of all rows need, and else `shards`,
+    whose target is their even part. dims: names and numeric expressions of the metadata dimensions. Sizes of shards differ by the tolerance of each
     split and by what a single document weighs. grown_shard is null, as law `bytes` promises nothing for more shards."""
     if dims is None:
         dims = {"n_chars": F.coalesce(F.length(text_col), F.lit(0)), "source": F.crc32(F.col("source").cast("string").cast("binary")), "lang": F.crc32(F.col("lang").cast("string").cast("binary"))}
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rid = F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), rid.alias("rid"), *[v.cast("double").alias(f"d{i}") for i, v in enumerate(dims.values())])
-    rows = materialize(rows.withColumn("tie", F.pmod(F.xxhash64("rid"), F.lit(CELLS))))
-    rows = materialize(_cells(rows, [f"d{i}" for i in range(len(dims))]).drop(*[f"d{i}" for i in range(len(dims))]))
+    # 16 bits of the text's hash, 14 of the row's
+    raw = materialize(rows.withColumn("tie", F.shiftleft(F.pmod(F.xxhash64("text_crc32", "size"), F.lit(1 << 16)), 14) + F.pmod(F.xxhash64("rid"), F.lit(1 << 14))))
+    rows = materialize(_cells(raw, [f"d{i}" for i in range(len(dims))]).drop(*[f"d{i}" for i in range(len(dims))]))
+    discard(raw)
+    if target_bytes is not None:
+        shards = max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
     placed = rows.withColumn("shard", _place(build_tree(rows, len(dims), shards)))
     # slots: rows are numbered within parts of a shard that stay small at any size, parts by running sums
     parts = max(64, rows.count() // (shards * 100_000))

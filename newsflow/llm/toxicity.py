@@ -1,20 +1,28 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
-Kernel: two words share a subsequence of three characters if both hold them in this order within five characters; each
+Kernel of two words: they share a subsequence of three characters if both hold them in this order within five characters; each
 occurrence weighs DECAY for every character that it spans, so inserted or missing characters lower the value of an insult but
-don't erase it, and affixes don't dilute it; of words with other characters between letters the letters alone are
-compared too. Landmarks: word beginnings of the training texts that tell toxic from clean texts best,
-chosen one by one so that no two are alike, and some frequent words. A text's features are its words' likenesses to each
-landmark, summed (repeats of a word by their logarithm), damped and whitened by the landmarks' own kernel matrix (Nyström). A linear SVM, fitted by dual coordinate descent, and
-Platt scaling turn them into a score.
-
-Training reads at most `max_rows` labelled texts of at most `max_chars` characters each (documented bounds: 3,000 of either label, 16,384),
-chosen by a hash of their ids, and takes landmarks from the first 1,200 of either label. Scores are made for every whole text; a worker keeps the values of words it has met, up to
+don't erase it. Characters are compared by their code points, in lower case, so every script has its own. The kernel
+is normalised, k(x, y) / sqrt(k(x, x) k(y, y)), and raised to the power SHARP, which leaves it a kernel and parts insults
+from words that merely share a syllable. Kernel of two texts: the sum over all pairs of their distinct words.
+
+Landmarks are words of the training texts: those that tell toxic from clean texts best, chosen one by one so that no two are
+alike, and some frequent ones. With K the kernel matrix of the landmarks and k(T) the kernel values of a text with them, its features are
+K^(-1/2) k(T), so that inner products of features approximate the text kernel (Nyström; eigenvalues below RIDGE count as RIDGE). A
+linear SVM, fitted by dual coordinate descent on standardised features, and Platt scaling turn them into a score.
+
+Words lie between white space, without the punctuation around them; letters spelled out one by one are joined to a word, and a
+word with other characters between its letters counts as its letters alone, too.
+
+Training reads at most `max_rows` labelled texts of at most `max_chars` characters each (documented bounds: 3,000 of either label,
+16,384), chosen by a hash of their ids. Scores are made for every whole text; a worker keeps the values of words it has met, up to
 KEPT words, and evaluates only new ones.
 
 Defined results: null and empty texts get the score of a text without words; unlabelled, null or contradictory labels teach nothing
-(a document with both labels is left out); with labels of one kind only, every score is that label; with none, 0; repeated
-rows are scored one by one; an empty table gives an empty result; extra columns are ignored (`score_documents`) or kept.
+(a document with both labels is left out), nor does an id with several texts; words of fewer than three characters have no kernel and count
+nothing; very long words and texts are taken whole; scripts without spaces give words as long as their lines, in which a landmark weighs
+little; with labels of one kind only, every score is that label; with none, 0; repeated rows are scored one by one; an
+empty table gives an empty result; extra columns are ignored (`score_documents`) or kept.
 """
 
 from __future__ import annotations
@@ -32,141 +40,135 @@ from pyspark.sql import functions as F
 DECAY = 0.8
 #: Steps from the first to the second and from there to the third character.
 STEPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
-#: Likeness from which a word counts.
-LEAST = 0.6
-KEPT, SMALL = 250_000, 20_000
-#: Likeness to a chosen landmark from which a word is no landmark of its own.
-ALIKE = 0.95
-#: Texts of either label that landmarks are chosen from.
-LANDMARK_TEXTS = 1200
+SHARP = 6
+RIDGE = 0.05
+KEPT, SMALL = 100_000, 20_000
+#: Kernel value with a chosen landmark from which a word is no landmark of its own.
+ALIKE = 0.5
 _SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 _INSIDE = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+_EDGES = "".join(c for c in map(chr, range(33, 0x250)) if not c.isalnum()) + "‘’“”„…–—"
 
 
-def _classes() -> np.ndarray:
-    """Code point below 0x180 to one of 64 classes: 0 white space, 1 anything else, then letters."""
-    table = np.ones(0x180, np.uint8)
-    for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0":
-        table[ord(c)] = 0
-    letters = [c for c in map(chr, range(0x61, 0x180)) if c.isalpha() and c == c.lower()]
-    for i, c in enumerate(letters):
-        table[ord(c)] = 2 + (i if i < 26 else 26 + (i - 26) % 36)
-    return table
-
-
-CLASSES = _classes()
-
-
-def words_of(text: str | None) -> list[str]:
-    """Lower-case words; letters spelled out one by one are joined to a word."""
-    return _SPACED.sub(lambda m: m.group().replace(" ", ""), (text or "").lower()).split()
+def words_of(text: str | None) -> set[str]:
+    """The distinct lower-case words."""
+    words = {w.strip(_EDGES) for w in _SPACED.sub(lambda m: m.group().replace(" ", ""), (text or "").lower()).split()}
+    return (words | {_OTHER.sub("", w) for w in words if _INSIDE.search(w)}) - {""}
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all words: word number, code and weight of every occurrence of a subsequence."""
-    points = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    """For all words: word number, code and weight of each distinct subsequence, by word."""
+    points = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     breaks = points == 10
     number = np.cumsum(breaks) - breaks
-    kind = CLASSES[np.where(points < 0x180, points, 0x7E)].astype(np.int32)
     at, codes, weights = [], [], []
     for a, b in STEPS:
         span = a + b
         if len(points) <= span:
             continue
-        same = (number[:-span] == number[span:]) & ~breaks[span:]
-        i = np.flatnonzero(same)
+        i = np.flatnonzero((number[:-span] == number[span:]) & ~breaks[span:])
         at.append(number[i])
-        codes.append((kind[i] << 12) | (kind[i + a] << 6) | kind[i + span])
-        weights.append(np.full(len(i), DECAY ** (span - 2), np.float32))
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
-    return np.concatenate(at), np.concatenate(codes), np.concatenate(weights)
+        codes.append((points[i] << 42) | (points[i + a] << 21) | points[i + span])
+        weights.append(np.full(len(i), DECAY ** (span - 2)))
+    if not at or not sum(map(len, at)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    at, codes, weights = np.concatenate(at), np.concatenate(codes), np.concatenate(weights)
+    order = np.lexsort((codes, at))
+    at, codes = at[order], codes[order]
+    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (codes[1:] != codes[:-1])))
+    return at[first], codes[first], np.add.reduceat(weights[order], first)
+
+
+def lengths(n: int, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """sqrt(k(x, x)) of n words; 1 where there is no subsequence."""
+    squares = np.bincount(at, weights * weights, minlength=n)
+    return np.sqrt(np.where(squares > 0, squares, 1))
 
 
 @dataclass
 class Landmarks:
-    """Landmark words; row[code] is the row of `values` with the code's weight in each landmark, or -1."""
+    """Landmark words; row i of `values` has the weights of code `codes[i]` in each landmark, as a share of the landmark's length."""
 
     words: list[str]
-    row: np.ndarray
+    codes: np.ndarray
     values: np.ndarray
-    own: np.ndarray
+    #: Which hashes of codes occur, to pass over most others at once.
+    marks: np.ndarray
 
     @classmethod
     def of(cls, words: list[str]) -> Landmarks:
         at, codes, weights = subsequences(words)
-        row = np.full(1 << 18, -1, np.int32)
-        used = np.unique(codes)
-        row[used] = np.arange(len(used))
-        values = np.zeros((len(used), len(words)), np.float32)
-        np.add.at(values, (row[codes], at), weights)
-        return cls(words, row, values, np.maximum((values**2).sum(axis=0), 1e-9))
-
-    def likeness(self, words: list[str]) -> np.ndarray:
-        """Kernel values of words with each landmark, as a share of the landmark's own; at most 1, and 0 below LEAST."""
-        out = np.zeros((len(words), len(self.words)), np.float32)
+        known, row = np.unique(codes, return_inverse=True)
+        values = np.zeros((len(known), len(words)))
+        values[row, at] = weights / lengths(len(words), at, weights)[at]
+        marks = np.zeros(1 << 16, bool)
+        marks[cls.mark(known)] = True
+        return cls(words, known, values, marks)
+
+    @staticmethod
+    def mark(codes: np.ndarray) -> np.ndarray:
+        return (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Sharpened kernel values of words (rows) with each landmark."""
+        out = np.zeros((len(words), len(self.words)))
         at, codes, weights = subsequences(words)
-        rows = self.row[codes]
-        hit = np.flatnonzero(rows >= 0)
-        hit = hit[np.argsort(at[hit], kind="stable")]
-        for a in range(0, len(hit), 1 << 16):
+        length = lengths(len(words), at, weights)
+        hit = np.flatnonzero(self.marks[self.mark(codes)]) if len(codes) else np.zeros(0, np.int64)
+        row = np.minimum(np.searchsorted(self.codes, codes[hit]), len(self.codes) - 1) if len(self.codes) else hit
+        own = self.codes[row] == codes[hit] if len(self.codes) else np.zeros(0, bool)
+        hit, row = hit[own], row[own]
+        for a in range(0, len(hit), 1 << 15):
             # a slice may share its first word with the one before; sums are added
-            h = hit[a : a + (1 << 16)]
+            h, r = hit[a : a + (1 << 15)], row[a : a + (1 << 15)]
             first = np.flatnonzero(np.diff(at[h], prepend=-1))
-            out[at[h[first]]] += np.add.reduceat(self.values[rows[h]] * weights[h, None], first, axis=0)
-        share = np.minimum(out / self.own, 1)
-        return np.where(share >= LEAST, share, 0)
+            out[at[h[first]]] += np.add.reduceat(self.values[r] * weights[h, None], first, axis=0)
+        return (out / length[:, None]) ** SHARP
 
 
 class WordCache:
-    """Likenesses of the words met so far: a row number for words like some landmark, 0 for all others."""
+    """Kernel values of the words met so far, as rows of a table; words like no landmark share row 0."""
 
     def __init__(self, landmarks: Landmarks):
-        self.landmarks, self.rows, self.table = landmarks, {}, [np.zeros(len(landmarks.words), np.float32)]
+        self.landmarks = landmarks
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.table, self.used = np.zeros((1024, len(self.landmarks.words))), 1
 
     def shrink(self) -> None:
         """What a worker keeps between two tasks: nothing beyond SMALL words, so that later stages have the room."""
         if len(self.rows) > SMALL:
-            self.rows, self.table = {}, self.table[:1]
-
-    def values(self, words: list[str]) -> np.ndarray:
-        if all(len(w) <= 256 for w in words):
-            return self.landmarks.likeness(words)
-        return np.stack([self.landmarks.likeness(_chunks(w)).max(axis=0) for w in words])
+            self.clear()
+
+    def learn(self, words: list[str]) -> None:
+        values = self.landmarks.kernel(words)
+        like = np.flatnonzero(values.max(axis=1, initial=0) > 0)
+        end = self.used + len(like)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table[: self.used], np.zeros((end, values.shape[1]))])
+        self.table[self.used : end] = values[like]
+        number = np.zeros(len(words), np.int64)
+        number[like] = np.arange(self.used, end)
+        self.used = end
+        self.rows.update(zip(words, number.tolist(), strict=True))
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the sum of its words' likenesses, repeats by their logarithm, and, last, its number of words."""
+        """For each text the sum over its distinct words of their kernel values with each landmark."""
         split = [words_of(t) for t in texts]
         if len(self.rows) > KEPT:
-            self.rows, self.table = {}, self.table[:1]
-        known = self.rows
-        new = list({w for words in split for w in words if w not in known})
-        for a in range(0, len(new), 1 << 13):
-            part = new[a : a + (1 << 13)]
-            got = self.values(part)
-            # several characters inserted into an insult: the letters alone count as well
-            split_up = [i for i, w in enumerate(part) if _INSIDE.search(w)]
-            if split_up:
-                got[split_up] = np.maximum(got[split_up], self.values([re.sub(r"[\W\d_]+", "", part[i]) for i in split_up]))
-            like = got.any(axis=1)
-            for w, hit, values in zip(part, like.tolist(), got, strict=True):
-                known[w] = len(self.table) if hit else 0
-                if hit:
-                    self.table.append(values)
-        out = np.zeros((len(texts), len(self.landmarks.words) + 1), np.float64)
+            self.clear()
+        new = list(set().union(*split).difference(self.rows)) if split else []
+        for a in range(0, len(new), 1 << 12):
+            self.learn(new[a : a + (1 << 12)])
+        out = np.zeros((len(texts), len(self.landmarks.words)))
         for i, words in enumerate(split):
-            found = Counter(r for r in map(known.__getitem__, words) if r)
-            for r, n in found.items():
-                out[i, :-1] += np.log2(1 + n) * self.table[r]
-            out[i, -1] = len(words)
+            out[i] = self.table[[self.rows[w] for w in words]].sum(axis=0)
         return out
 
 
-def _chunks(word: str) -> list[str]:
-    """A very long word as overlapping parts."""
-    return [word[a : a + 256] for a in range(0, max(1, len(word) - 16), 240)]
-
-
 @dataclass
 class ToxicityModel:
     landmarks: Landmarks
@@ -176,15 +178,8 @@ class ToxicityModel:
     weights: np.ndarray
     platt: tuple[float, float]
 
-    def features(self, pooled: np.ndarray) -> np.ndarray:
-        sums, words = pooled[:, :-1], np.maximum(pooled[:, -1:], 1)
-        damped = np.log1p(sums) @ self.whiten
-        rates = np.log1p(100 * sums / words) @ self.whiten
-        everything = np.log1p(sums.max(axis=1, keepdims=True, initial=0))
-        return np.hstack([damped, rates, everything])
-
     def margins(self, pooled: np.ndarray) -> np.ndarray:
-        x = (self.features(pooled) - self.mean) / self.scale
+        x = (pooled @ self.whiten - self.mean) / self.scale
         return x @ self.weights[:-1] + self.weights[-1]
 
     def scores(self, pooled: np.ndarray) -> np.ndarray:
@@ -192,52 +187,26 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(a * self.margins(pooled) + b, -30, 30)))
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = 48, frequent: int = 12, least_gain: float = 4.0) -> list[str]:
-    """Word beginnings of 4 to 8 letters by how well their damped count tells the labels apart (mean difference over its
-    standard error, at least least_gain), then those that are frequent in clean texts."""
-
-    def begins(text: str) -> Counter[str]:
-        found: Counter[str] = Counter()
-        for w, n in Counter(re.findall(r"[^\W\d_]{4,}", " ".join(words_of(text)))).items():
-            for k in range(4, min(8, len(w)) + 1):
-                found[w[:k]] += n
-        return found
-
-    # beginnings that three toxic texts share; only these are told apart by label
-    spread_over: Counter[str] = Counter()
-    for text in (t for t, y in zip(texts, toxic.tolist(), strict=True) if y):
-        spread_over.update(begins(text).keys())
-    seen = {b: [0.0, 0.0, 0.0, 0.0] for b, n in spread_over.items() if n >= 3}
-    del spread_over
-    total = np.zeros(2)
-    for text, y in zip(texts, toxic.tolist(), strict=True):
-        total[y] += 1
-        for b, n in begins(text).items():
-            if (s := seen.get(b)) is not None:
-                v = float(np.log1p(n))
-                s[2 * y] += v
-                s[2 * y + 1] += v * v
-
-    def gain(b: str) -> float:
-        s = seen[b]
-        m0, m1 = s[0] / total[0], s[2] / total[1]
-        spread = np.sqrt((s[1] / total[0] - m0 * m0) / total[0] + (s[3] / total[1] - m1 * m1) / total[1] + 1e-6)
-        return (m1 - m0) / spread
-
-    gains = {b: gain(b) for b in seen if seen[b][2] > 0}
-    ranked = sorted((b for b, g in gains.items() if g >= least_gain), key=lambda b: (-round(gains[b], 9), -len(b), b))[: 40 * count]
-    telling = len(ranked)
-    ranked += sorted(seen, key=lambda b: (-seen[b][0], b))[: 10 * frequent]
-    ranked = [b[:8] for b in ranked]
+def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = 48, frequent: int = 16, least_gain: float = 4.0) -> list[str]:
+    """Words of three or more characters by how well their presence tells the labels apart (difference of shares over its
+    standard error, at least least_gain), then the most frequent ones."""
+    total = np.bincount(toxic, minlength=2).astype(float)
+    seen: list[Counter[str]] = [Counter(), Counter()]
+    for text, y in sorted(zip(texts, toxic.tolist(), strict=True), key=lambda x: -x[1]):
+        words = words_of(text)
+        # only words that three toxic texts share are told apart by label
+        seen[y].update(words if y else [w for w in words if seen[1][w] >= 3])
+    words = sorted(w for w, n in seen[1].items() if n >= 3 and len(w) >= 3)
+    clean, bad = (np.array([seen[y][w] for w in words]) / total[y] for y in (0, 1))
+    gain = (bad - clean) / np.sqrt(bad * (1 - bad) / total[1] + clean * (1 - clean) / total[0] + 1e-6)
+    by_gain = [words[i] for i in np.lexsort((np.arange(len(words)), -np.round(gain, 9))) if gain[i] >= least_gain]
+    by_share = [words[i] for i in np.lexsort((np.arange(len(words)), -clean))]
     chosen: list[str] = []
-    kept, told = None, 0
-    for i, b in enumerate(ranked):
-        told = len(chosen) if i <= telling else told
-        if len(chosen) >= (count if i < telling else min(count, told) + frequent):
-            continue
-        if kept is None or kept.likeness([b]).max() < ALIKE:
-            chosen.append(b)
-            kept = Landmarks.of(chosen)
+    for ranked, most in ((by_gain[: 40 * count], count), (by_share[: 20 * frequent], frequent)):
+        room = len(chosen) + most
+        for w in ranked:
+            if len(chosen) < room and (not chosen or Landmarks.of(chosen).kernel([w]).max() < ALIKE):
+                chosen.append(w)
     return chosen
 
 
@@ -272,16 +241,13 @@ def fit(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None) -
     """None without both labels. toxic_share: of all labelled documents, where the texts were drawn by label."""
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    some = np.sort(np.concatenate([np.flatnonzero(toxic == y)[:LANDMARK_TEXTS] for y in (0, 1)]))
-    landmarks = Landmarks.of(choose_landmarks([texts[i] for i in some], toxic[some]))
-    kernel = landmarks.values.T @ landmarks.values / np.sqrt(np.outer(landmarks.own, landmarks.own))
-    value, vector = np.linalg.eigh(kernel.astype(np.float64))
-    whiten = (vector / np.sqrt(np.maximum(value, 0.05))) @ vector.T
+    landmarks = Landmarks.of(choose_landmarks(texts, toxic))
+    value, vector = np.linalg.eigh(landmarks.kernel(landmarks.words))
+    whiten = (vector / np.sqrt(np.maximum(value, RIDGE))) @ vector.T
     pooled = WordCache(landmarks).pooled(texts)
-    model = ToxicityModel(landmarks, whiten, np.zeros(1), np.ones(1), np.zeros(1), (1.0, 0.0))
-    f = model.features(pooled)
-    model.mean, model.scale = f.mean(axis=0), f.std(axis=0) + 1e-3
-    x, y = (f - model.mean) / model.scale, 2.0 * toxic - 1
+    features = pooled @ whiten
+    model = ToxicityModel(landmarks, whiten, features.mean(axis=0), features.std(axis=0) + 1e-3, np.zeros(1), (1.0, 0.0))
+    x, y = (features - model.mean) / model.scale, 2.0 * toxic - 1
     share = toxic.mean() if toxic_share is None else toxic_share
     weight = np.where(toxic == 1, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     cost = 0.02 * weight
@@ -310,9 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_chars: i
     pick = lambda y: one.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     # ids of at most 2 max_rows documents are broadcast
     chosen = F.broadcast(pick(0).unionByName(pick(1)))
-    rows = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").dropDuplicates(["id"]).toPandas()
-    rows = rows.sort_values(["id"]).reset_index(drop=True)
-    rows = rows.sample(frac=1, random_state=1)
+    rows = docs.where(F.length(text_col) <= max_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    # repeated rows of an id count once; an id with different texts has no label of its own
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"), F.max("text").alias("other")).where("text = other").drop("other").toPandas()
+    rows = rows.sort_values("id").sample(frac=1, random_state=1)
     toxic = rows["y"].to_numpy().astype(np.int64)
     got = fit(rows["text"].tolist(), toxic, counts[1] / (counts[0] + counts[1]))
     return got if got is not None else int(toxic[0]) if len(toxic) else 0

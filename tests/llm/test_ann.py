@@ -38,3 +38,42 @@ def test_edges_of_the_input(spark):
     assert got[0] == list(range(1, 21)) and got[20] == list(range(20)) and got[100] == list(range(20))
     assert ann.nearest(df.where("vec_id = 0"), F.lit(True)).count() == 0
     assert ann.nearest(df.where(F.lit(False)), F.lit(True)).count() == 0
+
+
+def test_recall_and_share_verified_at_fifty_thousand():
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((50_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    index = ann.BlockIndex(vectors)
+    queries = vectors[::800]
+    found = index.search(queries, 20)
+    best = np.argsort(-(queries @ vectors.T), axis=1)[:, :20]
+    recall = np.mean([len(set(b.tolist()) & set(rows.tolist())) / 20 for b, (rows, _, _) in zip(best, found, strict=True)])
+    share = np.mean([verified for _, _, verified in found]) / len(vectors)
+    print(f"recall {recall:.3f}, verified {share:.4f}")
+    assert recall >= 0.9 and share < 0.05
+    for q, (rows, scores, _) in zip(queries, found, strict=True):
+        assert np.allclose(scores, vectors[rows] @ q)
+
+
+def test_windows_count_what_they_hold():
+    rng = np.random.default_rng(6)
+    index = ann.BlockIndex(rng.standard_normal((500, 8)), lines=20)
+    queries = rng.standard_normal((5, 8))
+    at = np.column_stack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros(5)]) @ index.lines
+    norms = np.linalg.norm(index.vectors, axis=1)
+    lifted = np.column_stack([index.vectors / index.longest, np.sqrt(np.maximum(0, 1 - (norms / index.longest) ** 2))]) @ index.lines
+    half = np.full(5, 0.7)
+    for need in (1, 7, 12, 20):
+        bits = index.colliding(at, half, need)
+        got = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")[:, :500].astype(bool)
+        for q in range(5):
+            count = np.zeros(500, int)
+            for line in range(20):
+                # whole pages that the window touches
+                order = np.argsort(lifted[:, line], kind="stable")
+                pages = [order[a : a + 8] for a in range(0, 500, 8)]
+                for page in pages:
+                    if lifted[page[-1], line] >= at[q, line] - 0.7 and lifted[page[0], line] <= at[q, line] + 0.7:
+                        count[page] += 1
+            assert (got[q] == (count >= need)).all()

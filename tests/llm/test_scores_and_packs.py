@@ -23,24 +23,71 @@ def kernel(s, t):
         out = Counter()
         for a, b in toxicity.STEPS:
             for i in range(len(w) - a - b):
-                c = [toxicity.CLASSES[ord(x)] if ord(x) < 0x180 else 1 for x in (w[i], w[i + a], w[i + a + b])]
-                out[tuple(c)] += toxicity.DECAY ** (a + b - 2)
+                out[w[i], w[i + a], w[i + a + b]] += toxicity.DECAY ** (a + b - 2)
         return out
 
     a, b = weights(s), weights(t)
     return sum(v * b[k] for k, v in a.items())
 
 
-def test_likeness_is_the_kernel():
-    marks = ["idiot", "réeux", "worthles"]
-    own = toxicity.Landmarks.of(marks)
-    words = ["idiot", "idi.ot", "i-d-i-o-t", "xxidiotxx", "id", "réeuxment", "reeux", "worthless", "other", "ab" * 100]
-    got = own.likeness(words)
+def sharpened(s, t):
+    return (kernel(s, t) / math.sqrt(kernel(s, s) * kernel(t, t))) ** toxicity.SHARP if kernel(s, s) and kernel(t, t) else 0.0
+
+
+def test_kernel_by_its_definition():
+    marks = ["idiot", "réeux", "worthles", "дурак", "fdp"]
+    words = [*marks, "idi.ot", "i-d-i-o-t", "xxidiotxx", "id", "", "réeuxment", "worthless", "other", "привет", "слово", "书书书书书", "ab" * 100, "idiot" * 3000]
+    got = toxicity.Landmarks.of(marks).kernel(words)
     for i, w in enumerate(words):
         for j, m in enumerate(marks):
-            share = min(1, kernel(w, m) / kernel(m, m))
-            assert math.isclose(got[i, j], share if share >= toxicity.LEAST else 0, rel_tol=1e-4, abs_tol=1e-6)
-    assert got[0, 0] == 1 and got[3, 0] == 1 and got[7, 2] == 1 and got[9].max() == 0
+            assert math.isclose(got[i, j], sharpened(w, m), rel_tol=1e-9, abs_tol=1e-12)
+    assert np.allclose(got[:5], got[:5].T) and np.allclose(np.diag(got[:5]), 1)
+    assert got[13:16].max() < 0.05  # scripts have letters of their own
+
+
+def test_features_and_machine_by_brute_force():
+    rows = sentences(200, 3)
+    texts, toxic = [t for _, t, _ in rows], np.array([y for *_, y in rows])
+    model = toxicity.fit(texts, toxic)
+    marks = model.landmarks.words
+    gram = np.array([[sharpened(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(gram)
+    half = vector / np.sqrt(np.maximum(value, toxicity.RIDGE)) @ vector.T
+    known = {}
+
+    def values(w):
+        if w not in known:
+            known[w] = np.array([sharpened(w, m) for m in marks])
+        return known[w]
+
+    features = np.array([sum(map(values, toxicity.words_of(t)), np.zeros(len(marks))) @ half for t in texts])
+    x, y = (features - features.mean(axis=0)) / (features.std(axis=0) + 1e-3), 2 * toxic - 1
+    margins = model.margins(toxicity.WordCache(model.landmarks).pooled(texts))
+    assert np.allclose(margins, x @ model.weights[:-1] + model.weights[-1], atol=1e-6)
+    # the machine's objective lies at the least value that plain subgradient steps find
+    cost = 0.02
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    goal = lambda w: 0.5 * w @ w + cost * np.maximum(0, 1 - y * (x1 @ w)).sum()
+    w, least = np.zeros(x1.shape[1]), np.inf
+    for step in range(1, 4000):
+        bad = y * (x1 @ w) < 1
+        w = w - (w - cost * (y[bad, None] * x1[bad]).sum(axis=0)) / (step + 10)
+        least = min(least, goal(w))
+    assert goal(model.weights) <= least * 1.01
+
+
+def test_clean_texts_of_other_scripts_stay(spark):
+    rng = random.Random(2)
+    rows = sentences(600, 5)
+    cyrillic = [" ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(rng.randrange(3, 9))) for _ in range(40)) for _ in range(150)]
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(80)) for _ in range(100)]
+    rows += [(1000 + i, t + (" дурачина болван" if i % 2 else ""), i % 2) for i, t in enumerate(cyrillic)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3000 + i, t) for i, t in enumerate(chinese)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    assert not any(got[3000 + i]["predicted"] for i in range(len(chinese)))
+    held = [i for i in range(1000, 1150) if got[i]["held_out"]]
+    assert np.mean([got[i]["predicted"] == i % 2 for i in held]) > 0.95
 
 
 def sentences(n, seed):
@@ -105,6 +152,38 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def brute_tree(rows, shards, first=0):
+    """Shard of each row (place along each dimension, tie, size) by sorting at every node."""
+    if shards == 1 or not rows:
+        return {r: first for r in rows}
+    dim = max(range(len(rows[0][0])), key=lambda d: (max(r[0][d] for r in rows) - min(r[0][d] for r in rows), -d))
+    ordered = sorted(rows, key=lambda r: (r[0][dim], r[1]))
+    want, total, left = sum(r[2] for r in rows) * (shards // 2) / shards, 0, []
+    for r in ordered:
+        if total + r[2] > want and total + r[2] - want >= want - total:
+            break
+        total += r[2]
+        left.append(r)
+    return brute_tree(left, shards // 2, first) | brute_tree(ordered[len(left) :], shards - shards // 2, first + shards // 2)
+
+
+def test_tree_by_brute_force(spark):
+    rng = random.Random(11)
+    rows = [((rng.randrange(1, 50), rng.randrange(1, 1000)), rng.randrange(1 << 30), rng.randrange(16, 400)) for _ in range(3000)]
+    table = spark.createDataFrame([(x[0], x[1], t, s) for x, t, s in rows], "x0 long, x1 long, tie long, size long")
+    root = sharding.build_tree(table, 2, 13, tolerance=0)
+    placed = table.select("*", sharding._place(root).alias("shard")).collect()
+    want = brute_tree(rows, 13)
+    assert all(want[((r["x0"], r["x1"]), r["tie"], r["size"])] == r["shard"] for r in placed)
+
+
+def test_shards_reach_target_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 300), "s", "en") for i in range(2000)], "doc_id bigint, text string, source string, lang string")
+    got = sharding.shard_documents(docs, target_bytes=20_000).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == -(-sizes.sum() // 20_000) and sizes.max() <= 20_000 + 316
+
+
 # ---- packing ----------------------------------------------------------------
 
 
@@ -137,7 +216,9 @@ def test_packs_by_brute_force(spark):
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([1, 5, 400, 2500]))) for _ in range(120)] + [None, "", "", "same words"] + ["same words"] * 100
     docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3]), (None, "no id")], "doc_id bigint, text string").withColumn("offset", F.lit("clash"))
     pieces = packing.token_pieces(docs, TOKENIZER)
-    got = packing.pack(pieces.withColumn("first", F.lit(1))).collect()
+    got = packing.pack(pieces.withColumn("first", F.lit(1)).withColumn("Offset", F.lit("clash")))
+    assert [c.lower() for c in got.columns].count("offset") == 1
+    got = got.collect()
     exact = Tokenizer.from_file(TOKENIZER)
     want = Counter()
     for i, t in [*enumerate(texts), (3, texts[3]), (None, "no id")]:
@@ -162,17 +243,22 @@ def test_packs_by_brute_force(spark):
 
 
 def brute_scores(texts, order, least):
+    """Every document under the counts of all others."""
     docs = [(t or "").encode().translate(lm_score._LOWER).split() for t in texts]
-    counts = [Counter(tuple(d[i : i + k]) for d in docs for i in range(len(d) - k + 1)) for k in range(1, order + 1)]
+    grams = lambda d, k: Counter(tuple(d[i : i + k]) for i in range(len(d) - k + 1))
+    counts = [sum((grams(d, k) for d in docs), Counter()) for k in range(1, order + 1)]
     total = sum(map(len, docs))
     out = []
     for d in docs:
+        own = [grams(d, k) for k in range(1, order + 1)]
+        c = lambda g: counts[len(g) - 1][g] - own[len(g) - 1][g]  # noqa: B023, E731
         s = 0.0
-        for i, w in enumerate(d):
-            for k in range(min(order, i + 1), 0, -1):
-                c = counts[k - 1][tuple(d[i - k + 1 : i + 1])]
-                if k == 1 or c >= least:
-                    s += math.log(c / (counts[k - 2][tuple(d[i - k + 1 : i])] if k > 1 else total)) + (min(order, i + 1) - k) * math.log(0.4)
+        for i in range(len(d)):
+            longest = min(order, i + 1)
+            for k in range(longest, 0, -1):
+                g = tuple(d[i - k + 1 : i + 1])
+                if k == 1 or c(g) >= least:
+                    s += math.log(max(c(g), k == 1) / (c(g[:-1]) if k > 1 else max(total - len(d), 1))) + (longest - k) * math.log(0.4)
                     break
         out.append((len(d), s))
     return out
@@ -182,19 +268,25 @@ def test_scores_by_brute_force(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("a A b c d e f É".split()) for _ in range(rng.randrange(0, 40))) for _ in range(150)] + [None, "", "one", "x y", "hot words again " * 400] + ["hot words again"] * 60
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("block", F.lit("clash")).repartition(3)
-    for order, least in ((3, 2), (2, 1), (1, 1), (4, 3)):
-        got = {r["doc_id"]: r for r in lm_score.score_documents(docs, order=order, min_count=least, block_words=300).collect()}
+    for order, least, group in ((3, 1, 4096), (3, 2, 2), (2, 1, 1), (1, 1, 3), (4, 3, 4096)):
+        got = {r["doc_id"]: r for r in lm_score.score_documents(docs, order=order, min_count=least, block_words=300, group_blocks=group).collect()}
         for i, (n, s) in enumerate(brute_scores(texts, order, least)):
             assert got[i]["n_tokens"] == n and math.isclose(got[i]["log_score"], s, rel_tol=1e-9, abs_tol=1e-9)
             assert got[i]["mean_log_score"] is None if n == 0 else math.isclose(got[i]["mean_log_score"], s / n, rel_tol=1e-9)
     assert lm_score.score_documents(docs.limit(0)).count() == 0
+    alone = lm_score.score_documents(docs.where("doc_id = 153")).first()
+    assert alone["n_tokens"] == 2 and math.isclose(alone["log_score"], math.log(0.4))
+
 
+def test_a_document_that_occurs_twice_is_told_apart(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, texts[7])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["mean_log_score"] for r in lm_score.score_documents(docs).collect()}
+    assert got[7] == got[100] > max(v for i, v in got.items() if i not in (7, 100))
 
-def test_counts_survive_packing():
-    counts = np.array([0, 1, 254, 255, 256, 10**12, 7])
-    assert (lm_score._unpack_counts(lm_score._pack_counts(counts)) == counts).all()
-    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 100, dtype=np.uint64))
-    assert (lm_score._unpack_keys(lm_score._pack_keys(keys)) == keys).all()
+
+WORDS = [f"w{i}" for i in range(400)]
 
 
 # ---- tool calls -------------------------------------------------------------
@@ -212,21 +304,79 @@ def test_tool_calls(spark):
         (1, 5, "assistant", "call", "b", "find", '{"n": "two", "z": 1, "u": "ft"}'),
         (1, 6, "assistant", "call", "c", "none", "{}"),
         (1, 7, "tool", "result", "zz", None, None),
+        (1, 8, "user", None, "a", None, "no kind"),
+        (1, 9, "user", "shout", None, None, "other kind"),
         (2, 1, "tool", "result", "a", None, "other conversation"),
         (2, 2, "assistant", "call", None, "find", "broken"),
-        (None, 1, "assistant", "call", "a", "find", '{"q":"x"}'),
+        (None, 1, "assistant", "call", "a", "find", '{"q":"x","q":"x"}'),
         (3, 1, "assistant", "call", "d", "find", '{"q":"x"}'),
         (3, 2, "assistant", "call", "d", "find", '{"q":"y"}'),
+        (4, None, "user", "message", None, None, "y" * 300_000),
     ] + [(3, i, "tool", "result", "d", None, "r") for i in range(3, 200)]
     got = {(r["conv_id"], r["turn"]): r for r in tool_calls.link_tool_calls(spark.createDataFrame(rows, MESSAGES).withColumn("key", F.lit(1)), SCHEMA).collect()}
     assert len(got) == len(rows)
     assert got[1, 0]["json"] == '{"content":"say \\"hi\\"\\n","role":"system"}'
     assert got[1, 1]["json"] == '{"arguments":{"n":2,"q":"x","u":"km"},"call_id":"a","name":"find","role":"assistant"}'
-    assert got[1, 1]["errors"] in ("", "n: not integer") and got[1, 1]["linked"] and got[1, 3]["linked"]
-    assert got[1, 5]["errors"] == "q: missing; n: not integer; u: not in enum; unknown properties"
+    assert got[1, 1]["errors"] == "" and got[1, 1]["linked"] and got[1, 3]["linked"]
+    assert got[1, 5]["errors"] == "q: missing; n: not integer; u: not in enum; z: unknown property"
     assert got[1, 6]["errors"] == "unknown tool; no result" and got[1, 7]["errors"] == "no call" and got[1, 7]["json"] == '{"call_id":"zz","content":null,"role":"tool"}'
-    assert got[2, 1]["errors"] == "no call" and "not an object" in got[2, 2]["errors"] and got[None, 1]["errors"] == "no result"
-    order = sorted((r["topo_turn"], r["topo_phase"], r["turn"]) for k, r in got.items() if k[0] == 1)
-    assert [t for *_, t in order] == [0, 1, 3, 5, 4, 6, 7]
-    assert all(got[3, i]["linked"] for i in range(1, 200))
+    assert got[1, 8]["errors"] == got[1, 9]["errors"] == "unknown kind" and got[1, 8]["linked"] is None
+    assert got[2, 1]["errors"] == "no call" and got[2, 2]["errors"] == "malformed arguments; no result" and got[None, 1]["errors"] == "q: named twice; no result"
+    order = sorted((r["position"], r["turn"]) for k, r in got.items() if k[0] == 1)
+    assert order == list(enumerate([0, 1, 3, 5, 4, 6, 7, 8, 9]))
+    assert all(got[3, i]["linked"] for i in range(1, 200)) and sorted(r["position"] for k, r in got.items() if k[0] == 3) == list(range(199))
     assert tool_calls.link_tool_calls(spark.createDataFrame([], MESSAGES), SCHEMA).count() == 0
+
+
+def test_calls_that_need_results_are_ordered(spark):
+    rng = random.Random(12)
+    rows, needs_of = [], {}
+    for conv in range(30):
+        ids = [f"c{i}" for i in range(rng.randrange(2, 9))]
+        for i, c in enumerate(ids):
+            needs = sorted(rng.sample(ids, rng.randrange(0, min(3, len(ids)))) if conv % 3 == 0 else rng.sample(ids[:i], rng.randrange(0, min(3, i + 1))))
+            needs_of[conv, c] = needs + (["none"] if rng.random() < 0.1 else [])
+            rows.append((conv, rng.randrange(20), "assistant", "call", c, "find", '{"q":"x"}', needs_of[conv, c]))
+            rows += [(conv, rng.randrange(20), "tool", "result", c, None, "r", None) for _ in range(rng.randrange(0 if conv % 4 == 1 else 1, 3))]
+    got = tool_calls.link_tool_calls(spark.createDataFrame(rows, MESSAGES + ", needs array<string>"), SCHEMA).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault((r["conv_id"], r["call_id"], r["kind"]), []).append(r)
+    for conv in range(30):
+        assert sorted(r["position"] for r in got if r["conv_id"] == conv) == list(range(sum(x[0] == conv for x in rows)))
+        # circles by brute force: what can't be peeled off
+        calls = [c for k, c in needs_of if k == conv]
+        waits = {c: {n for n in needs_of[conv, c] if n in calls and (conv, n, "result") in by} for c in calls}
+        done = set()
+        while new := {c for c in calls if c not in done and waits[c] <= done}:
+            done |= new
+        for c in calls:
+            call = by[conv, c, "call"][0]
+            assert ("circle of needs" in call["errors"]) == (c not in done)
+            assert call["errors"].count("needs a result") == sum(1 for n in set(needs_of[conv, c]) if n not in calls or (conv, n, "result") not in by)
+            for r in by.get((conv, c, "result"), []):
+                assert r["position"] > call["position"]
+            for n in waits[c] if c in done else ():
+                assert call["position"] > min(r["position"] for r in by[conv, n, "result"])
+
+
+def test_canonical_json_and_schemas():
+    same = lambda t: tool_calls.canonical(tool_calls.parse_json(t)[0])
+    assert [same(x) for x in ("1e2", "100", "100.0", "1.50", "-0.0", "1e21", "1e20", "123e-8", "0.000001", "100000000000000000000000000000.0", "1E400")] == ["100", "100", "100", "1.5", "0", "1e+21", "100000000000000000000", "0.00000123", "0.000001", "1e+29", "1e+400"]
+    assert same('{"b": [1, {"z": null, "a": true}], "a": "\\u00e9\\ud800"}') == '{"a":"é\\ud800","b":[1,{"a":true,"z":null}]}'
+    for broken in ("", "{", "NaN", "[" * 100_000, "1 2"):
+        try:
+            tool_calls.parse_json(broken)
+            raise AssertionError(broken[:9])
+        except ValueError:
+            pass
+    schema = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 1}}}, "maxItems": 2}, "s": {"type": ["string", "null"], "pattern": "^x"}, "o": {"anyOf": [{"const": 1.0}, {"type": "string", "minLength": 2}]}}, "additionalProperties": {"type": "boolean"}}
+    found = lambda t: list(tool_calls.violations(tool_calls.parse_json(t)[0], schema))
+    assert found('{"a": [{"k": 1e29}, {"k": 2.0}], "s": null, "o": 1, "z": true}') == []
+    assert found('{"a": [{"k": 0}, {}, 3], "s": "y", "o": "q", "z": 1}') == ["a: more than maxItems", "a[0].k: beyond minimum", "a[1].k: missing", "a[2]: not object", "o: none of anyOf", "s: no match of pattern", "z: not boolean"]
+    try:
+        tool_calls.check_schema({"properties": {"a": {"dependencies": {}}}})
+        raise AssertionError
+    except ValueError as e:
+        assert "dependencies" in str(e)
