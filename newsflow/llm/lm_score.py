@@ -209,7 +209,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for k in range(1, order + 1):
         entries = answered(k - 1).drop("ids").mapInArrow(ask(k), "bucket long, block long, keys array<long>, counts array<int>")
         entries = entries.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
-        new = materialize(_counted(entries, groups).select("block", F.lit(k).alias("k"), "bucket", "at", "count"), BLOCKS_AT_ONCE)
+        # rows and counts lie together by bucket and part already, so the join on n-grams needs no exchange of its own
+        new = materialize(_counted(entries, groups).select("block", F.lit(k).alias("k"), "bucket", "at", "count"), BLOCKS_AT_ONCE, requireAllClusterKeysForCoPartition="false")
         answers = new if answers is None else answers.unionByName(new)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -4,9 +4,10 @@ Kernel of two words: they share a subsequence of three characters if both hold t
 occurrence weighs DECAY for every character that it spans, so inserted or missing characters lower the value of an insult but
 don't erase it. Characters are compared by their code points, in lower case, so every script has its own. The kernel
 is normalised, k(x, y) / sqrt(k(x, x) k(y, y)), and raised to the power SHARP, which leaves it a kernel and parts insults
-from words that merely share a syllable. Kernel of two texts: the sum over all pairs of their distinct words.
+from words that merely share a syllable. Kernel of two texts: the sum over all pairs of their distinct words, each with its
+beginnings of BEGINNINGS characters, as inflected languages hang endings on their insults.
 
-Landmarks are words of the training texts: those that tell toxic from clean texts best, chosen one by one so that no two are
+Landmarks are words, or such beginnings, of the training texts: those that tell toxic from clean texts best, chosen one by one so that no two are
 alike, and some frequent ones. With K the kernel matrix of the landmarks and k(T) the kernel values of a text with them, its features are
 K^(-1/2) k(T), so that inner products of features approximate the text kernel (Nyström; eigenvalues below RIDGE count as RIDGE). A
 linear SVM, fitted by dual coordinate descent on standardised features, and Platt scaling turn them into a score.
@@ -41,6 +42,7 @@ DECAY = 0.8
 #: Steps from the first to the second and from there to the third character.
 STEPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
 SHARP = 6
+BEGINNINGS = (5, 7)
 RIDGE = 0.05
 KEPT, SMALL = 100_000, 20_000
 #: Kernel value with a chosen landmark from which a word is no landmark of its own.
@@ -51,10 +53,12 @@ _OTHER = re.compile(r"[\W\d_]+")
 _EDGES = "".join(c for c in map(chr, range(33, 0x250)) if not c.isalnum()) + "‘’“”„…–—"
 
 
-def words_of(text: str | None) -> set[str]:
-    """The distinct lower-case words."""
+def words_of(text: str | None) -> list[str]:
+    """The distinct lower-case words, and for each of them its beginnings."""
     words = {w.strip(_EDGES) for w in _SPACED.sub(lambda m: m.group().replace(" ", ""), (text or "").lower()).split()}
-    return (words | {_OTHER.sub("", w) for w in words if _INSIDE.search(w)}) - {""}
+    words |= {_OTHER.sub("", w) for w in words if _INSIDE.search(w)}
+    words.discard("")
+    return [*words, *(w[:k] for k in BEGINNINGS for w in words if len(w) > k)]
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +160,7 @@ class WordCache:
         self.rows.update(zip(words, number.tolist(), strict=True))
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the sum over its distinct words of their kernel values with each landmark."""
+        """For each text the sum of its words' kernel values with each landmark."""
         split = [words_of(t) for t in texts]
         if len(self.rows) > KEPT:
             self.clear()
@@ -187,13 +191,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(a * self.margins(pooled) + b, -30, 30)))
 
 
-def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = 48, frequent: int = 16, least_gain: float = 4.0) -> list[str]:
+def choose_landmarks(texts: list[str], toxic: np.ndarray, count: int = 64, frequent: int = 16, least_gain: float = 3.5) -> list[str]:
     """Words of three or more characters by how well their presence tells the labels apart (difference of shares over its
     standard error, at least least_gain), then the most frequent ones."""
     total = np.bincount(toxic, minlength=2).astype(float)
     seen: list[Counter[str]] = [Counter(), Counter()]
     for text, y in sorted(zip(texts, toxic.tolist(), strict=True), key=lambda x: -x[1]):
-        words = words_of(text)
+        words = set(words_of(text))
         # only words that three toxic texts share are told apart by label
         seen[y].update(words if y else [w for w in words if seen[1][w] >= 3])
     words = sorted(w for w, n in seen[1].items() if n >= 3 and len(w) >= 3)
