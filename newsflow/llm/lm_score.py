@@ -35,23 +35,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import discard, materialize
+from newsflow.llm.common import discard, materialize, materialize_by
 
 BACKOFF = 0.4
 #: Words of a block, beyond which it takes no more documents.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 800_000
 #: Words of the corpus for each bucket.
 BUCKET_WORDS = 250_000
 #: Blocks whose rows of one n-gram are added up at once.
 GROUP_BLOCKS = 4096
 #: Blocks in a batch that goes to Python.
-BLOCKS_AT_ONCE = 4
+BLOCKS_AT_ONCE = 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """ids (array), sizes (words of each), vocabulary (two 64-bit hashes a word), words (numbers in the vocabulary), n: a row for each block."""
+    """ids (array), sizes (words of each), vocabulary (the distinct words), words (numbers in the vocabulary, bytes of equal rank together), n: a row for each block."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +62,10 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int =
         n = 0
 
         def block() -> pa.RecordBatch:
-            vocabulary = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, known)), "<u8").tobytes()
             words = np.concatenate(numbers) if n else np.zeros(0, np.uint32)
             own = pa.concat_arrays(ids)
-            cells = [np.array(sizes, "<i4").tobytes(), vocabulary, words.astype(_word_kind(len(known))).tobytes()]
+            planes = words.astype(_word_kind(len(known))).view(np.uint8).reshape(len(words), -1).T
+            cells = [np.array(sizes, "<i4").tobytes(), b" ".join(known), planes.tobytes()]
             first = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
             return pa.RecordBatch.from_arrays([first, *[pa.array([c], pa.binary()) for c in cells], pa.array([n], pa.int64())], ["ids", "sizes", "vocabulary", "words", "n"])
 
@@ -96,9 +96,10 @@ class Block:
 
     def __init__(self, sizes: bytes, vocabulary: bytes, words: bytes, bits: int, answers: dict[int, tuple[np.ndarray, ...]]):
         self.sizes, self.bits, self.answers = np.frombuffer(sizes, "<i4"), bits, answers
-        hashes = np.frombuffer(vocabulary, "<u8").reshape(-1, 2)
-        self.hashes = hashes[np.frombuffer(words, _word_kind(len(hashes)))]
-        n = int(self.sizes.sum())
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocabulary.split())), "<u8").reshape(-1, 2)
+        n, kind = int(self.sizes.sum()), np.dtype(_word_kind(len(hashes)))
+        planes = np.frombuffer(words, np.uint8).reshape(kind.itemsize, -1)
+        self.hashes = hashes[np.ascontiguousarray(planes.T).view(kind).ravel()]
         self.document = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.place = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
 
@@ -147,22 +148,19 @@ class Block:
 
 
 def _blocks_of(batch: pa.RecordBatch, bits: int) -> Iterator[Block]:
-    columns = {c: batch.column(c) for c in ("sizes", "vocabulary", "words", "answers")}
     for r in range(batch.num_rows):
         got: dict[int, tuple[np.ndarray, ...]] = {}
-        if columns["answers"][r].is_valid:
-            parts = columns["answers"].slice(r, 1).flatten()
-            k, bucket, at, c = (parts.field(i) for i in range(4))
-            lengths = np.diff(at.offsets.to_numpy())
-            ks, buckets = np.repeat(k.to_numpy(), lengths), np.repeat(bucket.to_numpy(), lengths)
-            at, c = at.flatten().to_numpy(), c.flatten().to_numpy()
-            for x in np.unique(ks):
-                own = ks == x
-                got[int(x)] = buckets[own], at[own], c[own]
-        # an order with an answer of nothing is answered, too: whatever the block asked for occurs nowhere else
-        done = int(batch.column("done")[r].as_py())
-        none = np.zeros(0, np.int64)
-        yield Block(*(columns[c][r].as_py() for c in ("sizes", "vocabulary", "words")), bits, {x: (none, none, none) for x in range(1, done + 1)} | got)
+        for name in batch.schema.names:
+            if not name.startswith("answers"):
+                continue
+            column = batch.column(name)
+            # an answer of nothing is one, too: whatever the block asked for occurs nowhere else
+            got[int(name[7:])] = (np.zeros(0, np.int64),) * 3
+            if column[r].is_valid:
+                parts = column.slice(r, 1).flatten()
+                bucket, at, count = (parts.field(i) for i in range(3))
+                got[int(name[7:])] = np.repeat(bucket.to_numpy(), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy(), count.flatten().to_numpy()
+        yield Block(*(batch.column(c)[r].as_py() for c in ("sizes", "vocabulary", "words")), bits, got)
 
 
 def _counted(entries: DataFrame, groups: int) -> DataFrame:
@@ -181,18 +179,20 @@ def _counted(entries: DataFrame, groups: int) -> DataFrame:
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, min_count: int = 1, block_words: int = BLOCK_WORDS, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
     """A row for each document: id_col, n_tokens, log_score (natural logarithm, summed), mean_log_score."""
-    blocks = materialize(token_blocks(docs, id_col, text_col, block_words).withColumn("block", F.monotonically_increasing_id()))
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = materialize_by(token_blocks(docs, id_col, text_col, block_words).withColumn("block", F.monotonically_increasing_id()).repartition(buckets, "block"), "block", buckets)
     n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = max(6, math.ceil(math.log2(max(1, total / BUCKET_WORDS))))
     groups = max(1, math.ceil(n_blocks / group_blocks))
-    answers: DataFrame | None = None
+    answers: list[DataFrame] = []
 
-    def answered(done: int) -> DataFrame:
-        of_block = blocks.select("block", "sizes", "vocabulary", "words", "ids", F.lit(done).alias("done"))
-        if answers is None:
-            return of_block.withColumn("answers", F.lit(None).cast("array<struct<k:int,bucket:long,at:array<int>,count:array<long>>>"))
-        by_block = answers.groupBy("block").agg(F.collect_list(F.struct("k", "bucket", "at", "count")).alias("answers"))
-        return of_block.join(by_block, "block", "left")
+    def answered() -> DataFrame:
+        """The blocks with the answers so far, one column an order; all tables lie in buckets by block."""
+        every = blocks.drop("n")
+        for table in answers:
+            every = every.join(table, "block", "left")
+        return every
 
     def ask(k: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +207,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return run
 
     for k in range(1, order + 1):
-        entries = answered(k - 1).drop("ids").mapInArrow(ask(k), "bucket long, block long, keys array<long>, counts array<int>")
+        entries = answered().drop("ids").mapInArrow(ask(k), "bucket long, block long, keys array<long>, counts array<int>")
         entries = entries.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+        by_block = _counted(entries, groups).groupBy("block").agg(F.collect_list(F.struct("bucket", "at", "count")).alias(f"answers{k}"))
         # rows and counts lie together by bucket and part already, so the join on n-grams needs no exchange of its own
-        new = materialize(_counted(entries, groups).select("block", F.lit(k).alias("k"), "bucket", "at", "count"), BLOCKS_AT_ONCE, requireAllClusterKeysForCoPartition="false")
-        answers = new if answers is None else answers.unionByName(new)
+        answers.append(materialize_by(by_block, "block", buckets, BLOCKS_AT_ONCE, requireAllClusterKeysForCoPartition="false"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +222,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     mean = pa.array(sums / size, pa.float64(), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1).flatten(), pa.array(size, pa.int64()), pa.array(sums), mean], ["id", "n_tokens", "log_score", "mean_log_score"])
 
-    scores = materialize(answered(order).mapInArrow(score, f"id {kind}, n_tokens long, log_score double, mean_log_score double"), BLOCKS_AT_ONCE)
-    discard(blocks)
+    scores = materialize(answered().mapInArrow(score, f"id {kind}, n_tokens long, log_score double, mean_log_score double"), BLOCKS_AT_ONCE)
+    discard(blocks, *answers)
     return scores.withColumnRenamed("id", id_col)
