@@ -168,7 +168,8 @@ def _counted(entries: DataFrame, groups: int) -> DataFrame:
     n-grams that occur in other blocks as well."""
     dealt = entries.repartition("bucket", "part")
     rows = dealt.select("bucket", "part", "block", F.posexplode("keys").alias("at", "key"), "counts").withColumn("n", F.get("counts", F.col("at"))).drop("counts")
-    table = rows.groupBy("bucket", "part", "key").agg(F.sum("n").alias("count"))
+    # the counts ask for the block, too, so that Spark sees that both sides of the join read the same exchange
+    table = rows.groupBy("bucket", "part", "key").agg(F.sum("n").alias("count"), F.max("block").alias("some_block")).where("some_block is not null").drop("some_block")
     if groups > 1:
         table = materialize(table)
         whole = table.groupBy("bucket", "key").agg(F.sum("count").alias("whole"))
