@@ -39,13 +39,16 @@ from newsflow.llm.common import discard, materialize, materialize_by
 
 BACKOFF = 0.4
 #: Words of a block, beyond which it takes no more documents.
-BLOCK_WORDS = 800_000
+BLOCK_WORDS = 400_000
 #: Words of the corpus for each bucket.
 BUCKET_WORDS = 250_000
 #: Blocks whose rows of one n-gram are added up at once.
 GROUP_BLOCKS = 4096
 #: Blocks in a batch that goes to Python.
 BLOCKS_AT_ONCE = 2
+#: Rows and counts lie together by bucket and part already, so the join on n-grams needs no exchange of its own; and a task's lists,
+#: which hold what it has read, need no sort.
+IN_PLACE = {"requireAllClusterKeysForCoPartition": "false", "objectHashAggregate.sortBased.fallbackThreshold": "1000000"}
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -211,8 +214,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         entries = answered().drop("ids").mapInArrow(ask(k), "bucket long, block long, keys array<long>, counts array<int>")
         entries = entries.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
         by_block = _counted(entries, groups).groupBy("block").agg(F.collect_list(F.struct("bucket", "at", "count")).alias(f"answers{k}"))
-        # rows and counts lie together by bucket and part already, so the join on n-grams needs no exchange of its own
-        answers.append(materialize_by(by_block, "block", buckets, BLOCKS_AT_ONCE, requireAllClusterKeysForCoPartition="false"))
+        answers.append(materialize_by(by_block, "block", buckets, BLOCKS_AT_ONCE, **IN_PLACE))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
