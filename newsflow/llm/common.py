@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A key holding more than this share of the rows is hot; so at most this many keys can be hot.
 HOT_KEYS = 1024
+#: Row ids (longs) that may be broadcast.
+BROADCAST_IDS = 4_000_000
 #: Spark's setting that removes a query's shuffle files at its end instead of when the driver next collects garbage.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -120,6 +122,14 @@ def with_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.select("*", *[c.alias(k) for k, c in cols.items()])
 
 
+def rows_by_id(big: DataFrame, ids: DataFrame, key: str, without: bool = False) -> DataFrame:
+    """The rows of big whose key is among (or, `without`, not among) the ids, a written table of one long column.
+
+    Up to BROADCAST_IDS ids, 64 MB or so, are counted and broadcast, so that big stays where it lies; more of them meet it by a shuffle."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return big.join(F.broadcast(ids) if few else ids, key, "left_anti" if without else "left_semi")
+
+
 def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """Join big to small, where small has each key once and, as `weight`, how many rows of big have it.
 

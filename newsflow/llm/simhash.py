@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow.llm.common import discard, join_hot, materialize
+from newsflow.llm.common import discard, join_hot, materialize, rows_by_id
 from newsflow.llm.graph import components
 
 RADIUS = 4
@@ -401,7 +401,9 @@ def _similar_classes(rows: DataFrame, texts: DataFrame, shingle: int) -> DataFra
     near = components(links(sets.select(F.col("node").alias("id"), "fp"), sampled_keys(sets.count()), WIDE_RADIUS, WIDE_WORDS))
     of_text = materialize(near.join(sets, "node").select("rid", F.lit(0).alias("part"), F.col("label").alias("key"), F.col("node").alias("id"), "fp"))
     keep = [F.col(c) for c in ("part", "key", "id", "fp")]
-    candidates = materialize(_with_sets(texts.join(of_text, "rid"), F.col("text"), keep, shingle, True), 200)
+    # first the texts that matter, where they lie; only these are shuffled
+    chosen = rows_by_id(texts, of_text.select("rid"), "rid")
+    candidates = materialize(_with_sets(chosen.join(of_text, "rid"), F.col("text"), keep, shingle, True), 200)
     found = _linked(candidates, WIDE_RADIUS, WIDE_WORDS, 50)
     classes = materialize(sets.join(components(found), "node", "left").select("set", "n", F.coalesce("label", "node").alias("label")))
     discard(sets, of_text, candidates, found)
@@ -425,6 +427,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = _similar_classes(rows, whole.select("rid", text.alias("text")), shingle)
     labelled = join_hot(rows, classes, "set", "n", rows.count())
     best = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("fp").alias("c"), F.col("rid").alias("d"))).alias("best"))
-    best = materialize(best.select(F.col("best.d").alias("rid")))
+    dropped = materialize(rows.select("rid").join(best.select(F.col("best.d").alias("rid")), "rid", "left_anti"))
     discard(rows, classes)
-    return whole.join(best, "rid", "left_semi").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)])
+    return rows_by_id(whole, dropped, "rid", without=True).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(cols)])
