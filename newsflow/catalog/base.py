@@ -6,6 +6,7 @@ history of writes, the small star tables for dimensions. All times are relative
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,13 +63,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as raw items of feeds."""
     d = table(spark, sf_dir, "documents")
     lines = F.split("text", "\n")
-    return d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("lang"), F.lit("/"), F.col("doc_id") % 800).alias("url"), F.when(F.col("doc_id") % 5 != 0, F.left(F.get(lines, F.lit(0)), F.lit(80))).otherwise("").alias("title"), F.when(F.col("doc_id") % 10 != 0, F.left("text", F.lit(400))).otherwise("").alias("summary"), F.when(F.col("doc_id") % 7 != 0, now() - F.make_dt_interval(hours=(F.col("doc_id") % 120).cast("int"))).alias("published_at"), F.concat("source", F.lit(".example.com")).alias("source_domain"), F.concat("lang", F.lit(".feed.example.com")).alias("feed_domain"))
+    return d.select(F.col("doc_id").alias("seq"), F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("lang"), F.lit("/"), F.col("doc_id") % 800).alias("url"), F.when(F.col("doc_id") % 5 != 0, F.get(lines, F.lit(0))).otherwise("").alias("title"), F.when(F.col("doc_id") % 10 != 0, F.col("text")).otherwise("").alias("summary"), F.when(F.col("doc_id") % 7 != 0, now() - F.make_dt_interval(hours=(F.col("doc_id") % 120).cast("int"))).alias("published_at"), F.concat("source", F.lit(".example.com")).alias("source_domain"), F.concat("lang", F.lit(".feed.example.com")).alias("feed_domain"))
 
 
 ITEMS = """
     i AS (SELECT doc_id AS seq, 'https://' || source || '.example.com/' || lang || '/' || (doc_id % 800) AS url,
-                 CASE WHEN doc_id % 5 <> 0 THEN left(string_split(text, chr(10))[1], 80) ELSE '' END AS title,
-                 CASE WHEN doc_id % 10 <> 0 THEN left(text, 400) ELSE '' END AS summary,
+                 CASE WHEN doc_id % 5 <> 0 THEN string_split(text, chr(10))[1] ELSE '' END AS title,
+                 CASE WHEN doc_id % 10 <> 0 THEN text ELSE '' END AS summary,
                  CASE WHEN doc_id % 7 <> 0 THEN TIMESTAMP '2024-01-31 00:00:00' - to_hours(CAST(doc_id % 120 AS INT)) END AS published_at,
                  source || '.example.com' AS source_domain, lang || '.feed.example.com' AS feed_domain FROM documents)"""
 
@@ -104,10 +105,20 @@ def canonical_sql(u: str) -> str:
     return f"(lower(regexp_extract({u}, '^([^:]+):', 1)) || '://' || {site_sql(u)} || CASE WHEN rtrim({path}, '/') = '' THEN {path} ELSE rtrim({path}, '/') END || CASE WHEN len({pairs}) > 0 THEN '?' || array_to_string({pairs}, '&') ELSE '' END)"
 
 
+_NAMES_SQL = "MAP {" + ", ".join(f"'&{n}': '{html5[n].replace(chr(39), chr(39) * 2)}'" for n in sorted(html5)) + "}"
+_OLD_SQL = "[" + ", ".join(str(ord(bytes([c]).decode("cp1252", "ignore") or chr(c))) for c in range(128, 160)) + "]"
+_REFERENCE_SQL = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+
+
 def unescape_sql(x: str) -> str:
-    for a, b in (("&nbsp;", " "), ("&#39;", "''"), ("&apos;", "''"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        x = f"replace({x}, '{a}', '{b}')"
-    return x
+    """By the table of names that HTML fixes: a name as it is written, or else its longest beginning that is a name without semicolon."""
+    code = "coalesce(CASE WHEN r LIKE '&#x%' OR r LIKE '&#X%' THEN try_cast('0x' || regexp_extract(r, '([0-9a-fA-F]+);?$', 1) AS UBIGINT) ELSE try_cast(regexp_extract(r, '[0-9]+') AS UBIGINT) END, 1114112)"
+    number = f"list_transform([{code}], lambda c: CASE WHEN c = 0 OR c > 1114111 OR c BETWEEN 55296 AND 57343 THEN chr(65533) WHEN c BETWEEN 128 AND 159 THEN chr(list_extract({_OLD_SQL}, (c - 127)::INT)) WHEN c < 9 OR c = 11 OR c BETWEEN 14 AND 31 OR c = 127 OR c BETWEEN 64976 AND 65007 OR c % 65536 >= 65534 THEN '' ELSE chr(c::INT) END)[1]"
+    prefix = "list_filter(list_transform(range(length(r) - 1, 1, -1), lambda n: r[1:n]), lambda p: len(map_extract(names, p)) > 0 AND NOT contains(p, ';'))[1]"
+    name = f"list_transform([{_NAMES_SQL}], lambda names: coalesce(map_extract(names, r)[1], list_transform([{prefix}], lambda p: map_extract(names, p)[1] || r[length(p) + 1:])[1], r))[1]"
+    resolved = f"list_transform(regexp_extract_all(t, '{_REFERENCE_SQL}'), lambda r: CASE WHEN r LIKE '&#%' THEN {number} ELSE {name} END)"
+    pieces = f"string_split_regex(t, '{_REFERENCE_SQL}')"
+    return f"list_transform([{x}], lambda t: CASE WHEN contains(t, '&') THEN array_to_string(list_transform(list_zip({pieces}, {resolved}), lambda z: z[1] || coalesce(z[2], '')), '') ELSE t END)[1]"
 
 
 def text_sql(x: str) -> str:

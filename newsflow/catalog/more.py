@@ -41,9 +41,9 @@ def s29(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(F.replace(F.concat(F.lit("�"), "text"), F.lit("�"), F.lit(""))).alias("n"))
 
 
-@query("s31_strip_accents", f"SELECT doc_id, md5({fold_sql('left(text, 200)')}) AS t FROM documents")
+@query("s31_strip_accents", "SELECT doc_id, md5(lower(strip_accents(text))) AS t FROM documents")
 def s31(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.regexp_replace(X.fold(F.left("text", F.lit(200))), r"[^\x00-\x7F]", "x")).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("t"))
 
 
 @query("r24_detail_pages")

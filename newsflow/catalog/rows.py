@@ -201,9 +201,9 @@ def j3(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
-@query("j4_bodies", "SELECT p.page_id, coalesce(left(d.text, 50), '') AS body FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id * 7")
+@query("j4_bodies", "SELECT p.page_id, coalesce(d.text, '') AS body FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id * 7")
 def j4(spark, sf):
-    bodies = table(spark, sf, "documents").select((F.col("doc_id") / 7).cast("long").alias("page_id"), F.left("text", F.lit(50)).alias("body"), "doc_id").where("doc_id % 7 = 0").drop("doc_id")
+    bodies = table(spark, sf, "documents").select((F.col("doc_id") / 7).cast("long").alias("page_id"), F.col("text").alias("body"), "doc_id").where("doc_id % 7 = 0").drop("doc_id")
     return table(spark, sf, "pages").select("page_id").join(bodies, "page_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
 
 

@@ -29,14 +29,14 @@ def s1(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.canonical(F.col("url")).alias("url"))
 
 
-@query("s2_fold", f"SELECT doc_id, md5({fold_sql('text')}) AS folded FROM documents")
+@query("s2_fold", "SELECT doc_id, md5(lower(strip_accents(text))) AS folded FROM documents")
 def s2(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.regexp_replace(X.fold(F.col("text")), r"[^\x00-\x7F]", "x")).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"))
 
 
-@query("s2_fold_exact", f"SELECT doc_id, md5({fold_sql('text')}) AS folded FROM documents")
+@query("s2_fold_exact", "SELECT doc_id, md5(lower(strip_accents(text))) AS folded FROM documents")
 def s2_exact(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.regexp_replace(X.fold_exact("text"), r"[^\x00-\x7F]", "x")).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.fold_exact("text")).alias("folded"))
 
 
 @query("s3_decompose")
@@ -88,9 +88,9 @@ def s11(spark, sf):
     return items(spark, sf).select("seq", X.snippet(F.col("summary"), "comprehensive up-to-date coverage").alias("snippet"))
 
 
-@query("s12_clean_title", """SELECT doc_id, trim(regexp_replace(trim(regexp_replace(left(text, 30) || ' | ' || source || ' - Daily', '\\s+', ' ', 'g')), '(?is)^(.*?\\S)(?:\\s*[|–-]\\s*(?:Daily|src0|src1|src2|src3))+$', '\\1')) AS title FROM documents""")
+@query("s12_clean_title", """SELECT doc_id, trim(regexp_replace(trim(regexp_replace(text || ' | ' || source || ' - Daily', '\\s+', ' ', 'g')), '(?is)^(.*?\\S)(?:\\s*[|–-]\\s*(?:Daily|src0|src1|src2|src3))+$', '\\1')) AS title FROM documents""")
 def s12(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.clean_title(F.concat(F.left("text", F.lit(30)), F.lit(" | "), "source", F.lit(" - Daily")), ["Daily", "src0", "src1", "src2", "src3"]).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", X.clean_title(F.concat("text", F.lit(" | "), "source", F.lit(" - Daily")), ["Daily", "src0", "src1", "src2", "src3"]).alias("title"))
 
 
 @query("s13_clean_paragraphs", """
@@ -198,9 +198,9 @@ def s32(spark, sf):
     return table(spark, sf, "part").select("p_partkey", names[F.element_at(F.array(*map(F.lit, "=+-")), (F.col("p_partkey") % 3 + 1).cast("int"))].alias("take"))
 
 
-@query("s33_data_uri", "SELECT doc_id, octet_length(encode(left(text, 600))) AS bytes, 'png' AS ext FROM documents WHERE octet_length(encode(left(text, 600))) >= 500")
+@query("s33_data_uri", "SELECT doc_id, octet_length(encode(text)) AS bytes, 'png' AS ext FROM documents WHERE octet_length(encode(text)) >= 500")
 def s33(spark, sf):
-    uri = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode(F.left("text", F.lit(600)), "utf-8")))
+    uri = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("text", "utf-8")))
     raw = F.unbase64(F.regexp_replace(uri, "^data:[^,]*,", ""))
     ext = F.when(uri.startswith("data:image/png"), "png").when(uri.startswith("data:image/jpeg"), "jpg").otherwise("bin")
     return table(spark, sf, "documents").select("doc_id", F.octet_length(raw).cast("long").alias("bytes"), ext.alias("ext")).where("bytes >= 500")
@@ -246,9 +246,9 @@ def p9(spark, sf):
     return table(spark, sf, "documents").where(contains_all(["Thé", "src1"], F.col("text"), F.col("source"))).select("doc_id")
 
 
-@query("p10_paywall_rows", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licensed under|all rights') ORDER BY doc_id LIMIT 20")
+@query("p10_paywall_rows", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licensed under|all rights')")
 def p10(spark, sf):
-    return table(spark, sf, "documents").where(F.regexp_like("text", F.lit("(?i)licensed under|all rights"))).select("doc_id").orderBy("doc_id").limit(20)
+    return table(spark, sf, "documents").where(F.regexp_like("text", F.lit("(?i)licensed under|all rights"))).select("doc_id")
 
 
 @query("p12_clamp", "SELECT o_orderkey, greatest(1, least(720, o_custkey - 100)) AS hours FROM orders")

@@ -109,9 +109,9 @@ def r9(spark, sf):
 
 @query("r10_json_items_a", f"""
     WITH d AS (SELECT *, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id) AS n FROM documents)
-    SELECT (doc_id // 2)::VARCHAR AS id, source AS title, lang AS sectors, trim(left(text, 50)) || chr(10) || lang AS body FROM d WHERE n = 1""")
+    SELECT (doc_id // 2)::VARCHAR AS id, source AS title, lang AS sectors, trim(text) || chr(10) || lang AS body FROM d WHERE n = 1""")
 def r10(spark, sf):
-    item = F.struct(F.floor(F.col("doc_id") / 2).cast("string").alias("Id"), F.col("source").alias("Headline"), F.array("lang").alias("Sector"), F.left("text", F.lit(50)).alias("Summary"), F.col("lang").alias("BodyText"))
+    item = F.struct(F.floor(F.col("doc_id") / 2).cast("string").alias("Id"), F.col("source").alias("Headline"), F.array("lang").alias("Sector"), F.col("text").alias("Summary"), F.col("lang").alias("BodyText"))
     payloads = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.to_json(F.struct(F.array(item).alias("Items"))).alias("json"))
     return json_api.items_a(payloads).select("id", "title", F.array_join("sectors", ",").alias("sectors"), "body")
 
@@ -208,10 +208,10 @@ def h4(spark, sf):
 
 
 @query("h5_highlights", f"""
-    WITH t AS (SELECT doc_id, list_filter({LINES.format(x='left(text, 200)')}, lambda l: length(l) > 5) AS h, list_filter({LINES.format(x='text')}, lambda l: length(l) > 5) AS b FROM documents)
+    WITH t AS (SELECT doc_id, list_filter({LINES.format(x='text')}, lambda l: length(l) > 5) AS h, list_filter({LINES.format(x='text')}, lambda l: length(l) > 5) AS b FROM documents)
     SELECT doc_id, md5(array_to_string(list_concat(CASE WHEN len(h) > 0 THEN ['<ul>' || array_to_string(list_transform(h, lambda x: '<li>' || {escape_sql('x')} || '</li>'), '') || '</ul>'] ELSE [] END, list_transform(b, lambda x: '<p>' || {escape_sql('x')} || '</p>')), chr(10))) AS t FROM t""")
 def h5(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(H.highlights_to_html(F.left("text", F.lit(200)), F.col("text"))).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(H.highlights_to_html(F.col("text"), F.col("text"))).alias("t"))
 
 
 @query("h6_dom_items", f"SELECT p_partkey, '<p>' || {escape_sql('p_name')} || '</p>' || chr(10) || '<ul><li>' || p_type || '</li></ul>' || chr(10) || '<img src=\"https://x.example.com/' || p_partkey || '\" alt=\"a\" class=\"reader-img\">' AS html FROM part")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 def _latin_fold() -> tuple[str, str]:
     """Letters that decompose to one base character, and what they fold to; combining marks fold to nothing."""
     source, target = [], []
-    for point in range(0xC0, 0x250):
+    for point in range(0xC0, 0x2000):
         base = [c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c)]
         if len(base) == 1 and base[0] != chr(point):
             source.append(chr(point))
@@ -25,7 +26,7 @@ _FROM, _TO = _latin_fold()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, for Latin letters."""
+    """Lower case without accents, for letters below U+2000."""
     return F.lower(F.translate(text, _FROM, _TO))
 
 
@@ -53,11 +54,38 @@ def squash(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+#: Names that count without a semicolon too, longest first.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_OFTEN = ("amp;", "quot;", "lt;", "gt;", "nbsp;", "apos;")
+
+
+def _reference(ref: Column) -> Column:
+    """What one character reference stands for; itself, if it is none."""
+    digits = lambda pattern: F.ltrim(F.regexp_extract(ref, pattern, 1), F.lit("0"))
+    decimal, sixteen = digits("^&#([0-9]+)"), digits("^&#[xX]([0-9a-fA-F]+)")
+    beyond = F.lit(0x110000)
+    code = F.when(F.regexp_like(ref, F.lit("^&#[xX]")), F.when(F.length(sixteen) > 6, beyond).otherwise(F.conv(F.concat(F.lit("0"), sixteen), 16, 10).cast("int")))
+    code = code.otherwise(F.when(F.length(decimal) > 7, beyond).otherwise(F.concat(F.lit("0"), decimal).cast("int")))
+    # numbers 128 to 159 mean the characters of an old code page
+    old = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
+    none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    numbered = F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(code.between(128, 159), F.substring(F.lit(old), code - 127, F.lit(1))).when(none, "").otherwise(char)
+    pairs = [n for n in _OFTEN] + sorted(set(html5) - set(_OFTEN))
+    names = F.str_to_map(F.lit("\x01".join(f"{n}\x02{html5[n]}" for n in pairs)), F.lit("\x01"), F.lit("\x02"))
+    begin = F.regexp_extract(ref, "^&(" + "|".join(_BARE) + ")", 1)
+    shorter = F.when(begin != "", F.concat(F.try_element_at(names, begin), F.substring(ref, F.length(begin) + 2, F.length(ref))))
+    named = F.coalesce(F.try_element_at(names, F.substring(ref, F.lit(2), F.length(ref))), shorter, ref)
+    return F.when(F.regexp_like(ref, F.lit("^&#")), numbered).otherwise(named)
+
+
 def unescape(text: Column) -> Column:
-    """The common character references resolved, each once."""
-    for name, char in (("&nbsp;", " "), ("&#39;", "'"), ("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """All character references of HTML resolved, each once: by name, with or without semicolon as HTML has it, and by number."""
+    pieces = F.split(text, _REFERENCE, -1)
+    resolved = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _reference)
+    whole = F.array_join(F.zip_with(pieces, resolved, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def escape(text: Column) -> Column:
@@ -139,6 +167,7 @@ def split_body(body: Column) -> Column:
 
 def split_glued_sentences(text: Column) -> Column:
     """A line break between sentences glued together; texts that have line breaks stay."""
+    # fixed value: the end of a sentence and the beginning of the next
     glued = F.regexp_replace(text, r"(?<=[a-z0-9\"'»)\]%])\.\s*(?=[A-Z][a-z][a-z])", ".\n")
     return F.when(F.contains(text, F.lit("\n")), text).otherwise(glued)
 
