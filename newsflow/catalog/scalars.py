@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsflow.catalog.base import AS_OF, ITEMS, KEYWORDS, TITLE_SQL, canonical_sql, escape_sql, fold_sql, host_sql, items, joined, matched_sql, now, page_items, query, seconds, site_sql, table, text_sql
+from newsflow.catalog.base import AS_OF, ITEMS, KEYWORDS, TITLE_SQL, canonical_sql, escape_sql, fold_sql, host_sql, items, joined, matched_sql, now, page_items, query, seconds, site_sql, table, text_sql, unescape_sql
 from newsflow.functions import html as H
 from newsflow.functions import text as X
 from newsflow.functions import urls as U
@@ -69,6 +69,17 @@ def s8(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(X.html_to_text(F.col("html"))).alias("t"))
 
 
+_REFERENCES = "'a&ccedil;&atilde;o &amp;lt; &notit; &copy' || doc_id || ' &#' || (doc_id * 97 % 1200000) || '; &#x' || to_hex(doc_id * 31) || '; &nada; ' || text"
+
+
+@query("s8_references", f"SELECT doc_id, md5({unescape_sql(_REFERENCES)}) AS t FROM documents")
+def s8_references(spark, sf):
+    """References by name, number and mistake before every text."""
+    d = F.col("doc_id")
+    made = F.concat(F.lit("a&ccedil;&atilde;o &amp;lt; &notit; &copy"), d, F.lit(" &#"), d * 97 % 1200000, F.lit("; &#x"), F.hex(d * 31), F.lit("; &nada; "), F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.unescape(made)).alias("t"))
+
+
 @query("s9_html_to_text_exact")
 def s9(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(X.squash(X.unescape_exact(F.regexp_replace("html", "<[^>]+>", " ")))).alias("n"))

@@ -44,8 +44,13 @@ def admit(df: DataFrame, key: str, time: str = "published_at", seq: str = "seq",
 
 
 def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
-    """rank from 1 over a small table (it is ordered in one place)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """rank from 1 in the order. Rows are sorted over all partitions; a row's rank is its place in its partition after the rows of those before."""
+    spread = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    sorted_ = df.orderBy(*order).select(spread).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).persist()
+    sizes = sorted_.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("begin"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    bases = sizes.select("part", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return sorted_.join(F.broadcast(bases), "part").select("row.*", (F.col("base") + F.col("at") - F.col("begin") + 1).cast("int").alias(name))
 
 
 def until_crossed(df: DataFrame, group: str, page: str, crossed: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.operators.dedupe import ranked
@@ -88,6 +88,13 @@ def blank_bodies(stored: DataFrame, domains: list[str]) -> DataFrame:
     return stored.withColumn("body", F.when(F.col("domain").isin(domains), F.lit(None)).otherwise(F.col("body")))
 
 
-def mirror(df: DataFrame, path: str) -> None:
-    """Write a batch to a mirror as Parquet by day; all rows, unlike a capped push."""
-    df.withColumn("day", F.to_date("found_at")).write.mode("append").partitionBy("day").parquet(path)
+def mirror(df: DataFrame, path: str, batch: int) -> None:
+    """Write a batch to a mirror, all rows of it; a batch that is written again replaces itself."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def mirrored(spark: SparkSession, path: str, key: str = "url", seq: str = "seq") -> DataFrame:
+    """The mirror's rows: for each key the last one of the last batch that has it."""
+    rows = spark.read.parquet(path)
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in (key, "batch")])
+    return rows.groupBy(key).agg(F.max_by(whole, F.struct("batch", seq)).alias("last")).select(key, "last.*")

@@ -54,8 +54,15 @@ def documents_for_mail(items: DataFrame, marker: str, noise: list[str], names: l
     return rows.withColumn("error", error).withColumn("status", F.when(error.isNull(), "ok").otherwise("error"))
 
 
+#: Characters of HTML up to which sections are one message.
+MAIL_CHARS = 20_000_000
+
+
 def mail(sections_: DataFrame, subject: str, sender: str, to: list[str], header: str = "") -> bytes:
-    """A multipart message of the sections: a handful of rows, so rendered on the driver."""
+    """A multipart message of the sections, rendered on the driver. Sections of more than MAIL_CHARS characters are no mail: an error."""
+    size = sections_.agg(F.coalesce(F.sum(F.length("html")), F.lit(0))).first()[0]
+    if size > MAIL_CHARS:
+        raise ValueError(f"sections of {size} characters are too long for a mail")
     rows = sorted(sections_.collect(), key=lambda r: r["section"])
     message = EmailMessage()
     message["Subject"], message["From"], message["To"] = subject, sender, ", ".join(to)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +19,10 @@ def item_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def first_arrivals(items: DataFrame, time: str = "found_at", horizon: str = "72 hours", key: Column | None = None) -> DataFrame:
+def first_arrivals(items: DataFrame, at: str = "found_at", horizon: str = "72 hours", key: Column | None = None) -> DataFrame:
     """Each URL once within the horizon; its state goes after it."""
     keyed = items.withColumn("norm_url", U.canonical(F.col("url")) if key is None else key)
-    return keyed.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["norm_url"])
+    return keyed.withWatermark(at, horizon).dropDuplicatesWithinWatermark(["norm_url"])
 
 
 def restamp(items: DataFrame, as_of: Column, hours: int, paywalled: list[str]) -> DataFrame:
@@ -32,23 +34,72 @@ def restamp(items: DataFrame, as_of: Column, hours: int, paywalled: list[str]) -
     return kept.withColumn("published_at", clamp_future(F.when(in_time, F.col("published_at")).otherwise(as_of), as_of, 5))
 
 
-def upsert_sink(path: str, as_of: str, retain_hours: int = 72) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that folds batches into an article table: every batch writes a new version of the table and then names it in a
-    pointer file, so that a batch that is repeated after a failure starts from the same version and gives the same result."""
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """The names of the complete versions below the path, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [x.getPath().getName() for x in files.listStatus(folder)]
+    done = [n for n in names if n.startswith("v") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(done, key=lambda n: int(n[1:].split("-")[0]))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The article table that the last complete batch left."""
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")
+
+
+def upsert_sink(path: str, as_of: str | None = None, retain_hours: int = 72, keep: int = 3) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that folds batches into an article table. Every batch writes the next version of the table, named
+    by its number, the stream and the batch, and complete once its success mark is there. A batch that is run again after a failure
+    starts from the version before its own, and so gives the same result; a stream with a new checkpoint goes on from the
+    table that is there. Articles go retain_hours before as_of, or before the latest find where none is given. The last
+    `keep` versions stay."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        own = f"{stream.replace('-', '')}-{number}"
+        versions = _versions(spark, path)
+        while versions and versions[-1].split("-", 1)[1] == own:
+            versions.pop()
         incoming = batch.withColumn("seq", F.col("seq") + 1)
-        if number:
-            stored = spark.read.parquet(f"{path}/v{number - 1}")
-        else:
-            stored = incoming.drop("seq").limit(0)
+        stored = spark.read.parquet(f"{path}/{versions[-1]}") if versions else incoming.drop("seq").limit(0)
         merged = store.upsert(stored, incoming).drop("is_new")
-        store.retain(merged, F.lit(as_of).cast("timestamp"), retain_hours).write.mode("overwrite").parquet(f"{path}/v{number}")
+        now = F.lit(as_of).cast("timestamp") if as_of else F.lit(stored.select("found_at").unionByName(incoming.select("found_at")).agg(F.max("found_at")).first()[0])
+        next_ = int(versions[-1][1:].split("-")[0]) + 1 if versions else 0
+        store.retain(merged, now, retain_hours).write.mode("overwrite").parquet(f"{path}/v{next_}-{own}")
+        for old in versions[: -keep + 1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return write
 
 
+class RunGuard:
+    """Lets one run begin at a time, and none within `cooldown` seconds after the end of the last; others are turned away, not queued."""
+
+    def __init__(self, cooldown: float = 20.0, clock: Callable[[], float] = time.monotonic):
+        self.cooldown, self.clock = cooldown, clock
+        self._running, self._ended = threading.Lock(), -float("inf")
+
+    def run(self, work: Callable[[], object]) -> bool:
+        """Whether the work was done."""
+        if not self._running.acquire(blocking=False):
+            return False
+        try:
+            if self.clock() - self._ended < self.cooldown:
+                return False
+            try:
+                work()
+            finally:
+                self._ended = self.clock()
+            return True
+        finally:
+            self._running.release()
+
+
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """All that is there, then stop; the checkpoint remembers what has been read, exactly once and without loss of equal times."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

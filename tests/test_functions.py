@@ -144,3 +144,30 @@ def test_plain_text_to_html(spark):
     assert one(spark, H.text_to_html, t="first line\ntiny\nsecond line") == "<p>first line</p>\n<p>second line</p>"
     assert one(spark, H.text_to_html, t="  ") == ""
     assert one(spark, X.split_glued_sentences, t="the offers.Platts assessed U.S. steel") == "the offers.\nPlatts assessed U.S. steel"
+
+
+def test_all_character_references_as_the_standard_has_them(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    from newsflow.functions import text as X
+
+    rng, names = random.Random(1), sorted(html5)
+    parts = lambda: rng.choice(["&" + rng.choice(names), f"&#{rng.randrange(0x120000)};", f"&#x{rng.randrange(0x3000):X}", " a ", "&", ";", "amp;"])
+    texts = ["a&ccedil;o plano &#8217;x&#8217;", "&amp;lt; &lt;", "&notit; &copy2020 &nada; & &#; &#xD800; &#0; &#128; &#x81; &#99999999999999999999; &#x0000000041;", ""] + ["".join(parts() for _ in range(8)) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.unescape(F.col("t"))).collect()
+    assert [t for _, t in sorted(got)] == [html.unescape(t) for t in texts]
+
+
+def test_sanitized_pages_end_where_other_articles_begin(spark):
+    from newsflow.functions import html as H
+
+    page = "<p>Body text</p><h3>Related articles</h3><p>Other story</p>"
+    inside = f"<html><article>{page}</article></html>"
+    df = spark.createDataFrame([(page, inside, "d")], "page string, inside string, d string")
+    got = df.select(H.sanitize(F.col("page")), H.extract_container(F.col("inside"), F.col("d"), {})).first()
+    assert list(got) == ["<p>Body text</p>"] * 2
+    mixed = "<div>short<figure><img src='//x/y.png' alt='a&amp;b'><figcaption>Cap</figcaption></figure>loose text, long enough<ul><li>one</li><li></li></ul><h2>T</h2><p>a <b> bold </b><br><nav>no</nav></p><blockquote>q</blockquote></div>"
+    got = spark.createDataFrame([(mixed,)], "page string").select(H.sanitize(F.col("page"))).first()[0].split("\n")
+    assert got == ['<img src="https://x/y.png" alt="a&amp;b" class="reader-img">', '<p class="reader-caption"><em>Cap</em></p>', "<p>loose text, long enough</p>", "<ul><li>one</li></ul>", "<h3>T</h3>", "<p>a <strong>bold</strong><br></p>", "<blockquote><p>q</p></blockquote>"]

@@ -78,11 +78,46 @@ def test_stream_equals_batch_and_survives_a_repeated_batch(spark, tmp_path):
     stream = incremental.item_stream(spark, f"{tmp_path}/in", STORED)
     incremental.run_once(stream, sink, f"{tmp_path}/c")
     assert len(seen) > 1
-    got = {tuple(map(str, r)) for r in spark.read.parquet(f"{tmp_path}/t/v{max(seen)}").select("url", "domain", "title", "body").collect()}
+    got = {tuple(map(str, r)) for r in incremental.current(spark, f"{tmp_path}/t").select("url", "domain", "title", "body").collect()}
     want = {tuple(map(str, r)) for r in store.fold_upserts(df).select("url", "domain", "title", "body").collect()}
     assert {(u, t) for u, _, t, _ in got} == {(u, t) for u, _, t, _ in want} and {(u, len(b)) for u, _, _, b in got} == {(u, len(b)) for u, _, _, b in want}
 
 
+def test_new_checkpoint_goes_on_from_the_table_and_time_moves(spark, tmp_path):
+    at = dt.datetime(2024, 1, 30)
+    row = lambda u, i, hours: (u, i, "d", "n", f"t{i}", "s", None, at + dt.timedelta(hours=hours), ["k"], "b")
+    write = incremental.upsert_sink(f"{tmp_path}/t", retain_hours=72)
+    for n, rows in enumerate(([row("old", 1, 0), row("kept", 2, 50)], [row("new", 3, 100)])):
+        spark.createDataFrame(rows, STORED).coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+        incremental.run_once(incremental.item_stream(spark, f"{tmp_path}/in{n}", STORED), write, f"{tmp_path}/c{n}")
+        urls = {r["url"] for r in incremental.current(spark, f"{tmp_path}/t").collect()}
+        assert urls == ({"old", "kept"} if n == 0 else {"kept", "new"})  # 100 hours on, the first one is too old
+
+
+def test_guard_turns_away_overlaps_and_early_runs():
+    now = [0.0]
+    guard = incremental.RunGuard(20, lambda: now[0])
+    inner = []
+    assert guard.run(lambda: inner.append(guard.run(lambda: None))) and inner == [False]
+    assert not guard.run(lambda: None)
+    now[0] = 20.0
+    assert guard.run(lambda: None)
+
+
+def test_mirror_keeps_one_row_a_key(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "url string, seq long, title string")
+    for number, batch in ((0, rows(("a", 1, "x"), ("b", 2, "y"))), (1, rows(("a", 1, "z"), ("a", 2, "w"))), (1, rows(("a", 1, "z"), ("a", 2, "w")))):
+        store.mirror(batch, f"{tmp_path}/m", number)
+    assert {(r["url"], r["title"]) for r in store.mirrored(spark, f"{tmp_path}/m").collect()} == {("a", "w"), ("b", "y")}
+
+
+def test_ranks_over_partitions(spark):
+    from newsflow.operators import dedupe
+
+    got = dedupe.ranked(spark.range(1000).repartition(7).withColumn("row", F.lit(1)), [F.desc("id")]).collect()
+    assert {(r["id"], r["rank"]) for r in got} == {(i, 1000 - i) for i in range(1000)}
+
+
 def test_digest(spark):
     articles = spark.createDataFrame([("u1", "cement news", ["cement"], "first paragraph\n\nsecond paragraph"), ("u2", "steel", [], "<p>steel body</p>")], "url string, title string, matched_keywords array<string>, body string")
     request = spark.createDataFrame([(0, "u2", "+", ""), (1, "u1", "-", ""), (2, "nope", "=", "")], "pos int, url string, take string, sector string")
