@@ -72,6 +72,21 @@ def c7b(spark, sf):
     return hits.select("seq", "url")
 
 
+# every third item is wrapped, and a quarter of those lead nowhere
+@query("c7_to_enrich", f"""
+    WITH {ITEMS}, t AS (SELECT *, seq % 3 = 0 AS late, row_number() OVER (PARTITION BY source_domain, seq % 3 = 0 ORDER BY seq) AS b FROM i),
+    r AS (SELECT seq, published_at, late, CASE WHEN late THEN 'src' || (seq % 7) || '.example.com' ELSE source_domain END AS domain
+          FROM t WHERE NOT late OR (b <= 80 AND seq % 4 <> 0)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY late, seq) AS n FROM r),
+    k AS (SELECT *, sum(CASE WHEN n > 20 AND NOT late AND published_at IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY late, seq) AS k FROM n)
+    SELECT seq, domain, late FROM k WHERE n <= 20 OR (NOT late AND published_at IS NULL AND 20 + k <= 60)""")
+def c7c(spark, sf):
+    late = F.col("seq") % 3 == 0
+    rows = items(spark, sf).withColumn("url", F.when(late, F.concat(F.lit(SETTINGS.wrapper_prefix), F.col("seq"))).otherwise(F.col("url")))
+    targets = rows.where(late & (F.col("seq") % 4 != 0)).select(F.col("url").alias("wrapped"), F.concat(F.lit("https://src"), F.col("seq") % 7, F.lit(".example.com/r/"), F.col("seq")).alias("target"))
+    return scan.to_enrich(rows, SETTINGS, targets).select("seq", F.col("source_domain").alias("domain"), late.alias("late"))
+
+
 @query("r21_collect", f"""
     WITH {ITEMS}, p AS (SELECT page_id AS seq, {canonical_sql('url')} AS url, CASE WHEN page_id % 4 <> 0 THEN TIMESTAMP '{AS_OF}' - to_hours(CAST(page_id % 100 AS INT)) END AS published_at FROM pages),
     b AS (SELECT seq, url, published_at FROM i UNION ALL SELECT seq + 1000000, url, published_at FROM p),

@@ -30,17 +30,19 @@ def first_rows(df: DataFrame, key: str | list[str], seq: str, n: int) -> DataFra
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(seq))).where(F.col("__n") <= n).drop("__n")
 
 
-def admit(df: DataFrame, key: str, time: str = "published_at", seq: str = "seq", dated: int = 20, undated: int = 60) -> DataFrame:
+def admit(df: DataFrame, key: str, time: str = "published_at", seq: str = "seq", dated: int = 20, undated: int = 60, late: Column | None = None) -> DataFrame:
     """At most `dated` rows of each key, to which rows without a time may add up to `undated`: the first `dated` rows are in, and of
-    the later ones those without a time, as long as dated + their rank <= undated.
+    the later ones those without a time, as long as dated + their rank <= undated. Rows that are `late` come after all others and count as dated.
 
     A row with a time is in only among the first `dated` of its kind, one without only among the first `undated`, so all others go
     before the ranks are taken, and no key is large."""
-    few = first_rows(df.withColumn("__u", F.col(time).isNull()), [key, "__u"], seq, max(dated, undated))
-    w = Window.partitionBy(key).orderBy(seq)
+    late = F.lit(False) if late is None else late
+    kinds = df.withColumn("__l", late).withColumn("__u", F.col(time).isNull() & ~F.col("__l"))
+    few = first_rows(kinds, [key, "__l", "__u"], seq, max(dated, undated))
+    w = Window.partitionBy(key).orderBy("__l", seq)
     ranks = few.withColumn("__n", F.row_number().over(w)).withColumn("__u", F.col("__u") & (F.col("__n") > dated))
     ranks = ranks.withColumn("__k", F.count_if("__u").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranks.where((F.col("__n") <= dated) | (F.col("__u") & (dated + F.col("__k") <= undated))).drop("__n", "__u", "__k")
+    return ranks.where((F.col("__n") <= dated) | (F.col("__u") & (dated + F.col("__k") <= undated))).drop("__n", "__u", "__k", "__l")
 
 
 def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:

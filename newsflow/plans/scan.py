@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,11 @@ from newsflow.functions import html as H
 from newsflow.functions import text as X
 from newsflow.functions import urls as U
 from newsflow.functions.matching import matched
-from newsflow.operators import dedupe, lookup
+from newsflow.operators import dedupe, lookup, store
+from newsflow.sources import feeds
+
+#: Bits of `seq` below the number of a side collector.
+SIDE_BITS = 48
 
 
 @dataclass
@@ -26,6 +31,7 @@ class Settings:
     wrapper_prefix: str = "https://news.example.org/"
     boilerplate: str = "comprehensive up-to-date coverage"
     fast: bool = False
+    resolve_budget: int = 80
 
     @property
     def now(self) -> Column:
@@ -122,13 +128,35 @@ def clamp_future(at: Column, as_of: Column, minutes: int) -> Column:
     return F.when(at > as_of + F.make_dt_interval(mins=F.lit(minutes)), as_of).otherwise(at)
 
 
-def run_scan(items: DataFrame, pages: DataFrame, stored: DataFrame, names: DataFrame, settings: Settings, specific: dict[str, list[str]] | None = None) -> DataFrame:
-    """The whole scan: first-seen items, candidates, cache, caps for what must be enriched, enrichment, final rules, display names."""
+def to_enrich(items: DataFrame, settings: Settings, targets: DataFrame | None = None) -> DataFrame:
+    """The items whose pages are read. Direct ones are admitted by the caps of their domains. Of wrapped ones the first `resolve_budget` of each
+    domain are looked up in targets (wrapped, target); those found go on under the target's URL and domain, after all
+    direct items of that domain, the others go."""
+    wrapped = F.col("url").startswith(settings.wrapper_prefix)
+    direct = items.where(~wrapped).withColumn("__late", F.lit(False))
+    if targets is None:
+        return dedupe.admit(direct, "source_domain").drop("__late")
+    looked_up = feeds.resolved(dedupe.first_rows(items.where(wrapped), "source_domain", "seq", settings.resolve_budget), targets).where(~wrapped)
+    late = looked_up.withColumn("url", U.canonical(F.col("url"))).withColumn("__late", F.lit(True))
+    return dedupe.admit(direct.unionByName(late.select(direct.columns)), "source_domain", late=F.col("__late")).drop("__late")
+
+
+def run_scan(items: DataFrame, pages: DataFrame, stored: DataFrame, names: DataFrame, settings: Settings, specific: dict[str, list[str]] | None = None, targets: DataFrame | None = None, collected: Sequence[DataFrame] = ()) -> DataFrame:
+    """The whole scan: first-seen items, candidates, cache, wrapped links, caps for what must be enriched, enrichment, final rules, and, after
+    these articles, those of the side collectors (`collected`, from `collector`); display names. `seq` orders the writes: a side collector's rows come
+    after all before it. targets: what wrapped links lead to; without it they are dropped."""
     fresh = dedupe.first_seen(items.withColumn("url", U.canonical(F.col("url"))), "url")
     hits, rest = with_cache(candidates(fresh, settings, specific), stored)
-    enriched = enrich(dedupe.admit(rest, "source_domain"), pages, settings)
-    articles = finish(hits.unionByName(enriched.select(hits.columns)), settings)
-    return lookup.named(dedupe.first_seen(articles, "url"), names)
+    enriched = enrich(to_enrich(rest, settings, targets), pages, settings)
+    articles = dedupe.first_seen(finish(hits.unionByName(enriched.select(hits.columns)), settings), "url")
+    for number, side in enumerate(collected, 1):
+        articles = articles.unionByName(side.withColumn("seq", F.col("seq") + F.shiftleft(F.lit(number).cast("long"), SIDE_BITS)).select(articles.columns))
+    return lookup.named(articles, names)
+
+
+def write_scan(table: DataFrame, articles: DataFrame) -> DataFrame:
+    """The article table after the scan's articles have been written in their order, with is_new."""
+    return store.upsert(table, articles.withColumn("seq", F.col("seq") + 1))
 
 
 def collect(feeds: list[DataFrame], settings: Settings) -> DataFrame:

@@ -152,3 +152,52 @@ def test_cache_keeps_pages_of_hits_unparsed(spark):
     hits, rest = scan.with_cache(items, stored)
     assert [(r["seq"], r["snippet"], r["page_title"]) for r in hits.collect()] == [(1, "known", "old title")]
     assert sorted(r["seq"] for r in rest.collect()) == [2, 3]
+
+
+def test_wrapped_links_have_a_budget_and_come_after_direct_items(spark):
+    rng = random.Random(5)
+    settings = scan.Settings(keywords=["steel"], resolve_budget=9)
+    rows, targets = [], []
+    for i in range(400):
+        domain = rng.choice(["a.example", "b.example", "b.example", "c.example"])
+        wrapped = rng.random() < 0.4
+        url = f"{settings.wrapper_prefix}{i}" if wrapped else f"https://{domain}/{i}"
+        if wrapped and rng.random() < 0.7:
+            targets.append((url, f"https://{rng.choice('cde')}.example/{i}"))
+        rows.append((i, url, "steel", "", None if rng.random() < 0.5 else T0, domain, "f"))
+    # item by item
+    known, used, count, waiting, expected = dict(targets), {}, {}, [], []
+    for i, url, _, _, at, domain, _ in rows:
+        if url.startswith(settings.wrapper_prefix):
+            used[domain] = used.get(domain, 0) + 1
+            if used[domain] <= 9:
+                waiting.append((i, known.get(url)))
+        elif count.get(domain, 0) < (60 if at is None else 20):
+            count[domain] = count.get(domain, 0) + 1
+            expected.append((i, url))
+    for i, target in waiting:
+        domain = target and target.split("/")[2]
+        if target and count.get(domain, 0) < 20:
+            count[domain] = count.get(domain, 0) + 1
+            expected.append((i, target))
+    got = scan.to_enrich(spark.createDataFrame(rows, ITEM), settings, spark.createDataFrame(targets, "wrapped string, target string")).collect()
+    assert sorted((r["seq"], r["url"]) for r in got) == sorted(expected)
+    none = scan.to_enrich(spark.createDataFrame(rows, ITEM), settings).collect()
+    assert {r["url"] for r in none} == {u for _, u in expected if known.get(u) is None and "/" in u and u in {r[1] for r in rows}}
+
+
+def test_the_whole_scan_with_side_collectors_and_the_store(spark):
+    at, now = dt.datetime(2024, 1, 30, 12), dt.datetime(2024, 1, 31)
+    settings = scan.Settings(keywords=["steel"])
+    items = [(0, "https://a.example/1", "steel up", "", at, "a.example", "f"), (1, "https://news.example.org/x", "steel down", "", at, "f", "f"), (2, "https://news.example.org/y", "steel", "", at, "f", "f")]
+    page = "<html><body><p>" + "A long paragraph about rolled steel and its prices. " * 3 + "</p></body></html>"
+    pages = spark.createDataFrame([("https://a.example/1", page), ("https://b.example/2", page)], "url string, html string")
+    targets = spark.createDataFrame([("https://news.example.org/x", "https://b.example/2?utm_source=z")], "wrapped string, target string")
+    cache = spark.createDataFrame([], "url string, snippet string, published_at timestamp, title string")
+    names = spark.createDataFrame([("b.example", "B")], "domain string, name string")
+    side = spark.createDataFrame([(0, "https://a.example/1", "a.example", "steel again", "s", at, now, ["steel"], "whole text")], "seq bigint, url string, domain string, title string, snippet string, published_at timestamp, found_at timestamp, matched_keywords array<string>, body string")
+    got = scan.run_scan(spark.createDataFrame(items, ITEM), pages, cache, names, settings, targets=targets, collected=[side])
+    assert sorted((r["url"], r["title"], r["source_name"]) for r in got.collect()) == [("https://a.example/1", "steel again", "a.example"), ("https://a.example/1", "steel up", "a.example"), ("https://b.example/2", "steel down", "B")]
+    old = got.where("domain = 'b.example'").drop("seq").withColumn("title", F.lit("old"))
+    after = {r["url"]: (r["title"], r["body"], r["is_new"]) for r in scan.write_scan(old, got).collect()}
+    assert after == {"https://a.example/1": ("steel again", "whole text", True), "https://b.example/2": ("steel down", "", False)}
