@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from html.entities import html5
 
 import pandas as pd
@@ -80,14 +81,23 @@ def _reference(ref: Column) -> Column:
     return F.when(F.regexp_like(ref, F.lit("^&#")), numbered).otherwise(named)
 
 
-def unescape(text: Column) -> Column:
-    """All character references of HTML resolved, each once: by name, with or without semicolon as HTML has it, and by number."""
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value once in the plan and computed once, however often `of` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _unescaped(text: Column) -> Column:
     pieces = F.split(text, _REFERENCE, -1)
     resolved = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _reference)
     whole = F.array_join(F.zip_with(pieces, resolved, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
+def unescape(text: Column) -> Column:
+    """All character references of HTML resolved, each once: by name, with or without semicolon as HTML has it, and by number."""
+    return bound(text, _unescaped)
+
+
 def escape(text: Column) -> Column:
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(char), F.lit(name))
@@ -131,7 +141,7 @@ def truncate(text: Column, size: int = 360) -> Column:
 def snippet(summary: Column, boilerplate: str, least: int = 150) -> Column:
     """A summary as snippet: text only, without footer; empty if short or boilerplate."""
     text = strip_footer(html_to_text(summary))
-    return F.when((F.length(text) < least) | F.regexp_like(text, F.lit("(?i)" + boilerplate)), "").otherwise(truncate(text))
+    return bound(text, lambda t: F.when((F.length(t) < least) | F.regexp_like(t, F.lit("(?i)" + boilerplate)), "").otherwise(truncate(t)))
 
 
 def clean_title(title: Column, names: list[str]) -> Column:

@@ -97,8 +97,8 @@ def enrich(items: DataFrame, pages: DataFrame, settings: Settings) -> DataFrame:
     """items with snippet, page_title and missing dates from their stored pages (url, html): the summary if it will do, else the page's first
     paragraphs by container, its description, or its first three long paragraphs."""
     joined = items.join(pages.select("url", "html"), "url", "left")
-    fit = lambda c: F.when((F.coalesce(c, F.lit("")) == "") | F.regexp_like(F.coalesce(c, F.lit("")), F.lit("(?i)" + settings.boilerplate)), None).otherwise(X.truncate(c))
-    own = F.nullif(X.snippet(F.coalesce("summary", F.lit("")), settings.boilerplate), F.lit(""))
+    fit = lambda c: X.bound(F.coalesce(c, F.lit("")), lambda x: F.when((x == "") | F.regexp_like(x, F.lit("(?i)" + settings.boilerplate)), None).otherwise(X.truncate(x)))
+    own = X.bound(X.snippet(F.coalesce("summary", F.lit("")), settings.boilerplate), lambda x: F.when(x != "", x))
     early = F.col("published_at").isNotNull() & (F.coalesce("title", F.lit("")) != "") & (F.lit(settings.fast) | own.isNotNull())
     first = F.array_join(F.slice(H.paragraph_texts(F.col("html"), 40), 1, 3), " ")
     from_page = F.when(~early & ~F.col("url").startswith(settings.wrapper_prefix), F.coalesce(fit(H.page_description(F.col("html"))), fit(first)))
