@@ -3,8 +3,8 @@
 Vectors are projected on LINES random lines, and each line keeps its projections as one sorted array. Around a query's own projection a
 window opens on every line; virtual rehashing widens all windows together, in proportion to the search radius, on the same
 arrays. A vector that lies in the windows of at least `threshold` of the lines is verified with the exact inner product on the
-original vectors. A search ends as soon as k verified vectors lie within the radius, or when k + `verify` of the block's vectors
-have been verified. Largest inner product is made nearest distance by one more coordinate, which gives all vectors of a block the same length.
+original vectors. A search ends as soon as k verified vectors lie within the radius, or when k vectors and the false positives that
+the method allows, `verify` of the block's vectors but FALSE_POSITIVES at least, have been verified. Largest inner product is made nearest distance by one more coordinate, which gives all vectors of a block the same length.
 
 The arrays are read by pages: a window is the pages that it touches. For every page border a line keeps the set of vectors before it as a bit
 map, so a window is the difference of two maps, and the windows of all lines are added up by bitwise carry-save counters, 64
@@ -40,8 +40,8 @@ PAGES = 64
 WIDTH = 1.2
 #: Share of the lines on which a vector must collide with the query.
 THRESHOLD = 0.74
-#: Share of a block's vectors that may be verified before a search ends.
-VERIFY = 0.04
+#: False positives that may be verified before a search ends: a share of a block's vectors, and at least so many.
+VERIFY, FALSE_POSITIVES = 0.04, 1000
 #: Factor between the radii of two rounds.
 WIDEN = 1.025
 #: Rows that a first radius is taken from, and its share of the least distance to one of them.
@@ -106,7 +106,7 @@ class BlockIndex:
         distance = lambda cosine: np.sqrt(np.maximum(0, 2 - 2 * cosine))
         radius = np.maximum(FIRST * distance(unit @ self.pilot.T).min(axis=1), 1e-3)
         scale = np.linalg.norm(queries, axis=1) * self.longest
-        need, enough = max(1, math.ceil(threshold * self.lines.shape[1])), min(self.n, k + math.ceil(verify * self.n))
+        need, enough = max(1, math.ceil(threshold * self.lines.shape[1])), min(self.n, k + max(FALSE_POSITIVES, math.ceil(verify * self.n)))
         seen = np.zeros((len(queries), self.before.shape[2]), np.uint64)
         rows = [np.zeros(0, np.int64)] * len(queries)
         scores = [np.zeros(0)] * len(queries)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.llm import ann, exact_dedup, lm_score, packing, pieces, secret_scan, sharding, simhash, tool_calls, toxicity
@@ -67,12 +67,23 @@ def _joined(spans, kinds=secret_scan.KINDS):
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, kinds)), x["kind"]), x["start"], x["end"])), ",")
 
 
+def _count(test) -> Column:
+    return F.size(F.filter("s", test)).cast("long")
+
+
+def _count_of(kind: int) -> Column:
+    # a lambda of one argument: a second one would be the element's place
+    return _count(lambda x: x["kind"] == kind)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
     none = F.expr("cast(array() as array<struct<start:long,kind:int,end:long,live:boolean,owners:long,repos:long>>)")
     got = got.select("doc_id", F.coalesce("spans", none).alias("s"))
-    count = lambda test: F.size(F.filter("s", test)).cast("long")
-    return got.select("doc_id", *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{n}") for k, n in enumerate(secret_scan.KINDS[:3])], F.sha2(_joined(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"), count(lambda x: x["live"]).alias("n_live"), count(lambda x: ~x["live"]).alias("n_example"))
+    counts = [_count_of(kind).alias(f"n_{name}") for kind, name in enumerate(secret_scan.KINDS[:3])]
+    base = F.sha2(_joined(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256")
+    judged = [_count(lambda x: x["live"]).alias("n_live"), _count(lambda x: ~x["live"]).alias("n_example")]
+    return got.select("doc_id", *counts, base, _joined(F.col("s")).alias("spans"), *judged)
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_kd_tree_sharding, op4_stupid_backoff, op5_tool_calls, op6_simhash, op7_packing, op8_collision_counting, op9_secret_scan, op10_piece_encoding)}

@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from newsflow.llm import ann
+from newsflow.llm.queries import op8_collision_counting
 
 
 def brute(rows, k):
@@ -77,3 +79,21 @@ def test_windows_count_what_they_hold():
                     if lifted[page[-1], line] >= at[q, line] - 0.7 and lifted[page[0], line] <= at[q, line] + 0.7:
                         count[page] += 1
             assert (got[q] == (count >= need)).all()
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_query_on_its_own_table(spark, size):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").collect()]
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = op8_collision_counting(spark, f"/root/testdata/{size}").toPandas()
+    asked = {i: v for i, v in zip(ids.tolist(), vectors, strict=True) if i % 20 == 0}
+    assert set(got["query_id"]) == set(asked)
+    recall = []
+    for me, found in got.groupby("query_id"):
+        found = found.sort_values("rank")
+        scores = vectors @ asked[me]
+        best = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != me)[:20]
+        assert found["rank"].tolist() == list(range(1, len(best) + 1)) and found["score"].is_monotonic_decreasing
+        assert np.allclose(found["score"], [scores[ids == i][0] for i in found["vec_id"]], atol=1e-12)
+        recall.append(len({i for _, i in best} & set(found["vec_id"])) / len(best))
+    assert np.mean(recall) >= 0.95

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsflow.llm import exact_dedup, secret_scan
 from newsflow.llm.common import join_hot
+from newsflow.llm.queries import op9_secret_scan
 
 DROP = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -108,3 +109,22 @@ def test_redaction(spark):
         want = "[SECRET]".join([*want, (t or "")[at:]]) if merged else t
         assert left[i]["text"] == want and left[i]["n_chars"] == len(want or "")
     assert secret_scan.redact_secrets(df).columns == df.columns
+
+
+def held_against_python(spark, folder, texts):
+    for r in op9_secret_scan(spark, folder).collect():
+        base = brute_spans(texts[r["doc_id"]])
+        spans = [tuple(x.split(":")) for x in r["spans"].split(",") if x]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in base) for n in range(3)]
+        named = [f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert [":".join(x) for x in spans if x[0] != "owner"] == named
+        places = [(int(a), secret_scan.KINDS.index(k)) for k, a, _ in spans]
+        assert places == sorted(places) and r["n_live"] + r["n_example"] == len(spans)
+
+
+def test_the_query_by_brute_force(spark, tmp_path):
+    rows = [(i, t, f"s{i % 2}") for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    held_against_python(spark, tmp_path, dict(enumerate(TEXTS)))
+    held_against_python(spark, "/root/testdata/sf0.01", {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()})
