@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.llm import ann, exact_dedup, lm_score, packing, pieces, secret_scan, sharding, simhash, tool_calls, toxicity
+from newsflow.catalog.base import unescape_sql
+from newsflow.llm import ann, exact_dedup, lexical, lm_score, packing, page_text, phrases, pieces, secret_scan, sharding, simhash, tool_calls, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +87,37 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *counts, base, _joined(F.col("s")).alias("spans"), *judged)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_kd_tree_sharding, op4_stupid_backoff, op5_tool_calls, op6_simhash, op7_packing, op8_collision_counting, op9_secret_scan, op10_piece_encoding)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = page_text.extract_pages(_table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_exact_dedup,
+        op3_kd_tree_sharding,
+        op4_stupid_backoff,
+        op5_tool_calls,
+        op6_simhash,
+        op7_packing,
+        op8_collision_counting,
+        op9_secret_scan,
+        op10_piece_encoding,
+        op11_phrase_collocations,
+        op12_ranked_search,
+        op13_page_text,
+    )
+}
 
 ORACLE_SQL = {
     "op5_tool_calls": r"""
@@ -143,4 +174,55 @@ ORACLE_SQL = {
           SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                  first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w""",
+    "op11_phrase_collocations": r"""
+        WITH p AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (
+          SELECT lang, ws[i:i + k - 1] AS g
+          FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+        f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g),
+        c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 30),
+        k AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+        s AS (
+          SELECT k.lang, k.g, k.a, k.k, x.f AS l, y.f AS r, (2000000::HUGEINT * k.a // (x.f + y.f))::BIGINT AS score
+          FROM k JOIN f x ON x.lang = k.lang AND x.g = k.g[1:k.k] JOIN f y ON y.lang = k.lang AND y.g = k.g[k.k + 1:]),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        i AS (
+          SELECT lang, g[j:j + n - 1] AS g, max(a) AS around
+          FROM (SELECT lang, g, a, n, unnest(range(1, len(g) - n + 2)) AS j FROM c, (SELECT unnest([2, 3]) AS n) WHERE n < len(g))
+          GROUP BY ALL),
+        r AS (
+          SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.g, ' ')) AS rank,
+                 array_to_string(b.g, ' ') AS phrase, a, l, r, score
+          FROM b LEFT JOIN i USING (lang, g) WHERE around IS NULL OR 100 * around < 80 * a)
+        SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score
+        FROM r JOIN (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang) USING (lang) WHERE rank <= 2000""",
+    "op12_ranked_search": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+          FROM documents),
+        t AS (SELECT d, doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+        c AS (SELECT d, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+        s AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS total FROM d WHERE len(ts) > 0),
+        f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM c, s GROUP BY term, docs),
+        q AS (
+          SELECT item_id, text, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+          FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        x AS (
+          SELECT item_id, text, d, doc_id,
+                 sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))))::BIGINT AS score
+          FROM q JOIN f USING (term) JOIN c USING (term), s GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM x WHERE score > 0 QUALIFY rank <= 50""",
+    # the pages of the tables hold their article in one element, made of a heading and paragraphs
+    "op13_page_text": r"""
+        WITH a AS (
+          SELECT row_number() OVER () AS r, page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') AS parts
+          FROM pages),
+        b AS (SELECT r, unnest(parts) AS html, unnest(range(len(parts))) AS i FROM a),
+        c AS (SELECT r, i, trim(regexp_replace(UNESCAPED, '\s+', ' ', 'g')) AS text FROM b),
+        d AS (SELECT r, string_agg(text, chr(10) ORDER BY i) AS text FROM c WHERE text <> '' GROUP BY r)
+        SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM a LEFT JOIN d USING (r)""".replace("UNESCAPED", unescape_sql("regexp_replace(html, '<[^>]+>', ' ', 'g')")),
 }
