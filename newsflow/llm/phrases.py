@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from newsflow.llm.common import discard, materialize
 
 #: A shard is closed at so many words.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 #: Bytes of a text that are split at once.
 PIECE = 1 << 20
 #: Word entries that are compared at once while a group of phrases is extended.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 #: Positions of a block, and its type.
 BITS, BLOCK = 16, np.uint16
 LONGEST = 4
@@ -111,7 +111,7 @@ class Bitmaps:
         begins = np.flatnonzero(np.diff(entry, prepend=-1))
         bits = np.left_shift(1, key % BITS).astype(BLOCK)
         self.bits = np.bitwise_or.reduceat(bits, begins) if len(begins) else bits
-        self.block, self.word = np.divmod(entry[begins], words + 1)
+        self.block, self.word = (x.astype(np.int32) for x in np.divmod(entry[begins], words + 1))
         self.first = np.searchsorted(self.block, np.arange(len(tokens) // BITS + 3))
         self.words = words
 
@@ -156,7 +156,7 @@ class Bitmaps:
 
 def _children(node: np.ndarray, word: np.ndarray, bits: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Parent, last word and number of occurrences of each phrase among the entries, and the phrase of each entry."""
-    key, own = np.unique(node * (words + 1) + word, return_inverse=True)
+    key, own = np.unique(node.astype(np.int64) * (words + 1) + word, return_inverse=True)
     counts = np.bincount(own, np.bitwise_count(bits), len(key)).astype(np.int64)
     return key // (words + 1), key % (words + 1), counts, own
 
@@ -200,7 +200,7 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 phrases, last = [node], node
                 for length in range(2, LONGEST + 1):
                     node, word, block, bits = maps.extend(node, block, bits)
-                    key = last[node] * (maps.words + 1) + word if length > 2 else node * (maps.words + 1) + word
+                    key = (last[node] if length > 2 else node).astype(np.int64) * (maps.words + 1) + word
                     at = np.minimum(np.searchsorted(allowed, key), len(allowed) - 1)
                     known = np.flatnonzero(allowed[at] == key)
                     node, word, block, bits = node[known], word[known], block[known], bits[known]
