@@ -222,7 +222,10 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", l
     vocabulary = of_shard.select("shard", (F.col("local") + 1).alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     sizes = materialize(vocabulary.groupBy("lang").agg(F.sum("n").alias("n")))
     totals = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = materialize(totals.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"))
+    listed = materialize(totals.select(F.monotonically_increasing_id().alias("at"), "lang", "word", "f"))
+    # dealt in turn over the partitions, so that numbers are small: the upper bits name the partition, the lower 33 the row
+    parts = (listed.agg(F.max(F.shiftright("at", 33))).first()[0] or 0) + 1
+    words = listed.select((F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) * parts + F.shiftright("at", 33)).alias("id"), "lang", "word", "f")
 
     own = vocabulary.select("shard", "local", "lang", "word").join(words.select("lang", "word", "id"), ["lang", "word"])
     own = own.groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("w"))
