@@ -61,6 +61,18 @@ def word_lists(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes, of which the higher ones are nearly empty; how many there are comes first."""
+    planes = np.ascontiguousarray(tokens.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(tokens).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 class _Shard:
     """The words of a shard that is being filled: numbers from 1 for each word of a language, 0 for a gap."""
 
@@ -81,12 +93,18 @@ class _Shard:
 
     def batch(self, number: int) -> pa.RecordBatch:
         tokens = np.concatenate(self.parts)
-        known = sorted((i, lang, word) for lang, own in self.numbers.items() for word, i in own.items() if i)
+        known = [(i, lang, word) for lang, own in self.numbers.items() for word, i in own.items() if i]
+        counts = np.bincount(tokens, minlength=len(known) + 1)
+        # numbered anew, frequent words first
+        order = np.argsort(-counts[1:], kind="stable") + 1
+        place = np.zeros(len(counts), np.int32)
+        place[order] = np.arange(1, len(counts))
+        known.sort(key=lambda k: place[k[0]])
         words = pa.array([w for _, _, w in known], pa.binary()).cast(pa.string())
         langs = pa.array([lang for _, lang, _ in known], pa.string())
-        counts = pa.array(np.bincount(tokens, minlength=len(known) + 1)[1:], pa.int64())
+        counts = pa.array(counts[order], pa.int64())
         lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (langs, words, counts)]
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([tokens.astype("<i4").tobytes()], pa.binary()), *lists], ["shard", "tokens", "langs", "words", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_packed(place[tokens])], pa.binary()), *lists], ["shard", "tokens", "langs", "words", "counts"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +188,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 def _shard_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """A shard's tokens as numbers from 1 of the frequent words, 0 for all else, and those words' numbers in the corpus."""
-    tokens = np.frombuffer(row["tokens"], "<i4")
+    tokens = _unpacked(row["tokens"])
     number = np.zeros(max(int(tokens.max(initial=0)), int(row["local"].max(initial=0))) + 1, np.int64)
     number[row["local"]] = np.arange(1, len(row["local"]) + 1)
     return number[tokens], np.concatenate([[0], row["ids"]])
