@@ -13,6 +13,7 @@ from newsflow.functions import text as X
 from newsflow.functions import urls as U
 from newsflow.functions.matching import matched
 from newsflow.operators import dedupe, store
+from newsflow.operators.article_store import ArticleStore
 from newsflow.plans import digest, scan, views
 from newsflow.sources import plugin
 from newsflow.streaming import incremental
@@ -264,11 +265,22 @@ def t1(spark, sf):
         h.where(half).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    write = incremental.upsert_sink(f"{folder}/table", AS_OF, 24 * 365)
+    write = incremental.upsert_sink(f"{folder}/table", AS_OF, 24 * 365, buckets=8)
     incremental.run_once(stream, write, f"{folder}/checkpoint").stop()
     return _article(incremental.current(spark, f"{folder}/table"))
 
 
+@query("w2_partitioned_store", f"WITH {FOLD} SELECT * FROM f")
+def w2_partitioned_store(spark, sf):
+    """The history in four batches, each of which writes its own parts of the store; what is read is the fold of all."""
+    h = history(spark, sf)
+    last = h.agg(F.max("seq")).first()[0]
+    articles = ArticleStore(spark, f"{_folder(spark)}/store", buckets=16)
+    for n in range(4):
+        articles.merge(h.where((F.col("seq") > last * n // 4) & (F.col("seq") <= last * (n + 1) // 4)), "history", n)
+    return _article(articles.read())
+
+
 @query("t5_streamed_first_arrivals", "SELECT 'u' || user_id AS url FROM events GROUP BY user_id")
 def t5(spark, sf):
     """Each URL once, by state within a horizon longer than the data."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsflow.functions import urls as U
-from newsflow.operators import store
+from newsflow.operators.article_store import ArticleStore
 
 
 def item_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -34,45 +34,21 @@ def restamp(items: DataFrame, as_of: Column, hours: int, paywalled: list[str]) -
     return kept.withColumn("published_at", clamp_future(F.when(in_time, F.col("published_at")).otherwise(as_of), as_of, 5))
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """The names of the complete versions below the path, oldest first."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    names = [x.getPath().getName() for x in files.listStatus(folder)]
-    done = [n for n in names if n.startswith("v") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(done, key=lambda n: int(n[1:].split("-")[0]))
-
-
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The article table that the last complete batch left."""
-    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")
+    return ArticleStore(spark, path).read()
 
 
-def upsert_sink(path: str, as_of: str | None = None, retain_hours: int = 72, keep: int = 3) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that folds batches into an article table. Every batch writes the next version of the table, named
-    by its number, the stream and the batch, and complete once its success mark is there. A batch that is run again after a failure
-    starts from the version before its own, and so gives the same result; a stream with a new checkpoint goes on from the
-    table that is there. Articles go retain_hours before as_of, or before the latest find where none is given. The last
-    `keep` versions stay."""
+def upsert_sink(path: str, as_of: str | None = None, retain_hours: int = 72, keep: int = 3, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that folds batches into an article store. A batch that is run again after a failure gives the same result; a
+    stream with a new checkpoint goes on from the store that is there. Articles go retain_hours before as_of, or before the latest find where
+    none is given."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
-        own = f"{stream.replace('-', '')}-{number}"
-        versions = _versions(spark, path)
-        while versions and versions[-1].split("-", 1)[1] == own:
-            versions.pop()
-        incoming = batch.withColumn("seq", F.col("seq") + 1)
-        stored = spark.read.parquet(f"{path}/{versions[-1]}") if versions else incoming.drop("seq").limit(0)
-        merged = store.upsert(stored, incoming).drop("is_new")
-        now = F.lit(as_of).cast("timestamp") if as_of else F.lit(stored.select("found_at").unionByName(incoming.select("found_at")).agg(F.max("found_at")).first()[0])
-        next_ = int(versions[-1][1:].split("-")[0]) + 1 if versions else 0
-        store.retain(merged, now, retain_hours).write.mode("overwrite").parquet(f"{path}/v{next_}-{own}")
-        for old in versions[: -keep + 1]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{old}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        articles = ArticleStore(spark, path, buckets, retain_hours, keep)
+        articles.merge(batch, stream or "batch", number if stream else None, as_of)
 
     return write
 
