@@ -16,7 +16,7 @@ from newsflow.operators import dedupe, store
 from newsflow.operators.article_store import ArticleStore
 from newsflow.plans import digest, scan, views
 from newsflow.sources import plugin
-from newsflow.streaming import incremental
+from newsflow.streaming import incremental, keyed
 
 SETTINGS = scan.Settings(as_of=AS_OF, hours=72, keywords=KEYWORDS, topical=("de.feed.example.com",), paywalled=("src3.example.com",))
 SPECIFIC = {"src1.example.com": ["*"], "src2.example.com": ["and"], "es.feed.example.com": ["los"]}
@@ -293,6 +293,31 @@ def t5(spark, sf):
     return spark.read.parquet(f"{folder}/out")
 
 
+@query(
+    "t5_keyed_state",
+    f"""WITH RECURSIVE {HISTORY},
+        s AS (SELECT url, min(found_at) AS first FROM h GROUP BY url
+              UNION ALL
+              SELECT url, (SELECT min(found_at) FROM h WHERE h.url = s.url AND h.found_at >= s.first + INTERVAL 72 HOUR) FROM s WHERE first IS NOT NULL),
+        l AS (SELECT url, first, lead(first) OVER (PARTITION BY url ORDER BY first) AS next FROM s WHERE first IS NOT NULL)
+        SELECT l.url, epoch_us(l.first) AS first_seen, max(length(body))::INT AS longest,
+               next IS NOT NULL OR first + INTERVAL 72 HOUR <= (SELECT max(found_at) FROM h) - INTERVAL 1 HOUR AS gone
+        FROM l JOIN h ON h.url = l.url AND h.found_at >= first AND (next IS NULL OR h.found_at < next) GROUP BY l.url, first, next""",
+)
+def t5_keyed_state(spark, sf):
+    """The history as a stream in four files, over two runs of the stream: what the state held of each URL, and whether it has gone."""
+    folder = _folder(spark)
+    h = history(spark, sf).select("url", "seq", "found_at", "body")
+    last = h.agg(F.max("seq")).first()[0]
+    for n in range(4):
+        h.where((F.col("seq") > last * n // 4) & (F.col("seq") <= last * (n + 1) // 4)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if n % 2:
+            finds = incremental.item_stream(spark, f"{folder}/in", "url string, seq long, found_at timestamp, body string")
+            keyed.run_events(keyed.article_events(finds), f"{folder}/events", f"{folder}/checkpoint")
+    lives = keyed.lives(spark.read.parquet(f"{folder}/events"))
+    return lives.select("url", F.unix_micros("first_seen").alias("first_seen"), F.length("body").alias("longest"), "gone")
+
+
 @query("t7_eviction", f"WITH {HISTORY} SELECT url, max(seq) AS seq FROM h WHERE found_at >= TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR GROUP BY url")
 def t7(spark, sf):
     kept = store.retain(history(spark, sf), now(), 72)
