@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from newsflow.catalog.base import AS_OF, HISTORY, ITEMS, KEYWORDS, canonical_sql, history, host_sql, items, joined, matched_sql, now, page_items, query, seconds, table
+from newsflow.catalog.base import AS_OF, HISTORY, ITEMS, KEYWORDS, canonical_sql, fold_sql, history, host_sql, items, joined, matched_sql, now, page_items, query, seconds, table
 from newsflow.catalog.rows import FOLD, _article
 from newsflow.functions import html as H
 from newsflow.functions import text as X
@@ -14,6 +14,7 @@ from newsflow.functions import urls as U
 from newsflow.functions.matching import matched
 from newsflow.operators import dedupe, store
 from newsflow.operators.article_store import ArticleStore
+from newsflow.operators.keywords import match_keywords
 from newsflow.plans import digest, scan, views
 from newsflow.sources import plugin
 from newsflow.streaming import incremental, keyed
@@ -39,6 +40,39 @@ def p1(spark, sf):
     return scan.candidates(items(spark, sf), SETTINGS, SPECIFIC).select("seq", joined("matched_keywords").alias("keywords"))
 
 
+@query("p1_candidates_by_table", f"WITH {CANDIDATES} SELECT seq, keywords FROM c WHERE keywords <> ''")
+def p1_by_table(spark, sf):
+    """The same with the keyword lists as a table that is joined."""
+    lists = [(None, w, i) for i, w in enumerate(KEYWORDS)] + [(d, w, i) for d, words in SPECIFIC.items() for i, w in enumerate(words)]
+    keywords = spark.createDataFrame(lists, "domain string, keyword string, pos int")
+    return scan.candidates_by_table(items(spark, sf), SETTINGS, keywords).select("seq", joined("matched_keywords").alias("keywords"))
+
+
+@query(
+    "s5_keyword_join",
+    f"""WITH b AS (SELECT {fold_sql("regexp_replace(text, '[.,]', '', 'g')")} AS t FROM benchmark),
+        bw AS (SELECT regexp_extract_all(t, '[a-z0-9_]+') AS ws FROM b),
+        k AS (SELECT DISTINCT array_to_string(ws[i:i + 1], ' ') AS k FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM bw)
+              UNION SELECT DISTINCT ws[1] FROM bw WHERE length(ws[1]) > 5),
+        r AS (SELECT doc_id, regexp_extract_all({fold_sql('text')}, '[a-z0-9_]+|[^a-z0-9_]+') AS rs FROM documents),
+        w AS (SELECT doc_id, i, n, array_to_string(rs[i:i + n - 1], '') AS k
+              FROM (SELECT doc_id, rs, n, unnest(range(1, len(rs) - n + 2)) AS i FROM r, (SELECT unnest([1, 3]) AS n))),
+        h AS (SELECT doc_id, list({{'i': i, 'less': -n, 'k': k}} ORDER BY i, n DESC) AS hs FROM w SEMI JOIN k USING (k) GROUP BY doc_id),
+        t AS (SELECT doc_id, list_reduce(list_prepend({{'i': 0, 'less': 0, 'k': ''}}, hs),
+                     lambda a, x: CASE WHEN x.i < a.i - a.less THEN a ELSE {{'i': x.i, 'less': x.less, 'k': a.k || '|' || x.k}} END) AS got FROM h)
+        SELECT doc_id, len(list_distinct(string_split(got.k[2:], '|'))) AS n FROM t""",
+)
+def s5_keyword_join(spark, sf):
+    """documents against a list of some thousand keywords: pairs of words that follow each other in the benchmark, and its longer first words."""
+    words = F.regexp_extract_all(F.regexp_replace("text", "[.,]", ""), F.lit(r"(?U)\w+"), F.lit(0))
+    b = table(spark, sf, "benchmark").select(F.col("item_id"), words.alias("ws"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.array_join(F.slice("ws", i, 2), " "))
+    listed = b.where(F.size("ws") > 1).select("item_id", F.explode(pairs).alias("keyword")).unionByName(b.select("item_id", F.get("ws", F.lit(0)).alias("keyword")).where(F.length("keyword") > 5))
+    keywords = listed.select(F.lit("all").alias("list"), "keyword", F.col("item_id").alias("pos"))
+    texts = table(spark, sf, "documents").select("doc_id", F.lit("all").alias("list"), "text")
+    return match_keywords(texts, keywords, ["doc_id"]).select("doc_id", F.size("keywords").cast("long").alias("n"))
+
+
 @query("p4_final_stage")
 def p4(spark, sf):
     enriched = scan.candidates(items(spark, sf), SETTINGS).withColumn("snippet", X.truncate(F.col("summary"))).withColumn("page_title", F.lit(""))

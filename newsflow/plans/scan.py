@@ -13,6 +13,7 @@ from newsflow.functions import text as X
 from newsflow.functions import urls as U
 from newsflow.functions.matching import matched
 from newsflow.operators import dedupe, lookup, store
+from newsflow.operators.keywords import match_keywords
 from newsflow.sources import feeds
 
 #: Bits of `seq` below the number of a side collector.
@@ -83,6 +84,31 @@ def candidates(items: DataFrame, settings: Settings, specific: dict[str, list[st
     return rows.where(F.size("matched_keywords") > 0).drop("own")
 
 
+def candidates_by_table(items: DataFrame, settings: Settings, keywords: DataFrame) -> DataFrame:
+    """What `candidates` gives, for keyword lists that are tables (domain, keyword, pos; no domain for the global list) of any size: each
+    text is folded and cut once, whatever list applies. `seq` must be unique."""
+    wrapped = F.col("url").startswith(settings.wrapper_prefix)
+    in_time = F.col("published_at").isNull() | within_window(F.col("published_at"), settings.now, settings.hours) | wrapped
+    lists = keywords.where("domain is not null").groupBy("domain").agg(((F.count("*") == 1) & (F.min("keyword") == "*")).alias("all"))
+    lists = lookup.small(lists)
+    rows = items.where(in_time)
+    for side in ("source_domain", "feed_domain"):
+        rows = rows.join(lists.select(F.col("domain").alias(side), F.struct(side, F.col("all").alias("all")).alias(f"__{side}")), side, "left")
+    own = F.coalesce("__source_domain", F.struct(F.col("__feed_domain.feed_domain").alias("source_domain"), F.col("__feed_domain.all").alias("all")))
+    rows = rows.withColumn("__own", own).select(*items.columns, F.col("__own.source_domain").alias("__list"), F.coalesce("__own.all", F.lit(False)).alias("__all"))
+    topical = F.col("__list").isNull() & F.coalesce(F.col("feed_domain").isin(*settings.topical), F.lit(False))
+    bare = (F.coalesce("title", F.lit("")) == "") & (F.coalesce("summary", F.lit("")) == "")
+    place = F.when(F.col("published_at").isNull(), U.path_words(F.col("url"))).otherwise(U.slug_words(F.col("url")))
+    fields = F.array(F.when(bare, place).otherwise(F.col("title")), F.when(~bare, X.cut_related(X.strip_footer(F.col("summary")))))
+    of_list = F.coalesce("__list", F.lit("")).alias("list")
+    texts = rows.where(~F.col("__all") & ~topical).select("seq", of_list, F.posexplode(fields).alias("field", "text"))
+    words = keywords.select(F.coalesce("domain", F.lit("")).alias("list"), "keyword", "pos")
+    found = match_keywords(texts, words, ["seq", "field"]).groupBy("seq").agg(F.min_by("keywords", "field").alias("__found"))
+    rows = rows.join(found, "seq", "left")
+    rows = rows.withColumn("matched_keywords", F.when(F.col("__all"), F.array(F.lit("#source"))).when(topical, F.array(F.lit("#topic"))).otherwise(F.col("__found")))
+    return rows.where(F.col("matched_keywords").isNotNull()).select(*items.columns, "matched_keywords")
+
+
 def with_cache(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose stored snippet can be used, and the rest, to be enriched: split here, so that no page is parsed for a hit."""
     known = stored.select(F.col("url"), F.col("snippet").alias("cached_snippet"), F.col("published_at").alias("cached_published"), F.col("title").alias("cached_title"))
