@@ -9,7 +9,7 @@ from newsflow.catalog.base import AS_OF, TITLE_SQL, canonical_sql, escape_sql, h
 from newsflow.functions import html as H
 from newsflow.functions import text as X
 from newsflow.functions import urls as U
-from newsflow.sources import feeds, json_api
+from newsflow.sources import documents, feeds, json_api
 
 REGISTRY = {"rss": {"a.example.com": ["https://a.example.com/rss", "https://a.example.com/rss2"]}, "sitemap": {"b.example.com": ["https://b.example.com/sitemap.xml"]}, "homepage": {"c.example.com": ["https://c.example.com/"]}}
 
@@ -43,6 +43,50 @@ def r2(spark, sf):
     return items.select("seq", "url", "title", "summary", seconds("published_at").alias("published"), "source_domain")
 
 
+def feed_documents(spark, sf, size=20):
+    """The items of entry_payloads as whole feeds of up to `size` pages; every third feed breaks off inside its last item."""
+    feed = F.floor(F.col("seq") / size).cast("long").alias("seq")
+    items = entry_payloads(spark, sf).groupBy(feed, "feed_domain").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("n"), "xml"))).alias("items"))
+    body = F.array_join(F.transform("items", lambda i: i["xml"]), "\n")
+    whole = F.when(F.col("seq") % 3 == 2, F.left(body, F.length(body) - 10)).otherwise(F.concat(body, F.lit("</channel></rss>")))
+    return items.select("seq", "feed_domain", F.concat(F.lit('<?xml version="1.0"?><rss><channel><title>Feed</title><link>https://feed.example.com</link>'), whole).alias("xml"))
+
+
+@query(
+    "r2_whole_feeds",
+    f"""WITH e AS ({ENTRIES}),
+        f AS (SELECT *, seq // 20 AS feed, row_number() OVER (PARTITION BY seq // 20 ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY seq // 20) AS n FROM e)
+        SELECT feed, pos::INT AS pos, url, title, summary, published, source_domain FROM f WHERE feed % 3 <> 2 OR pos < n - 1""",
+)
+def r2_whole(spark, sf):
+    items = documents.feed_items(feed_documents(spark, sf))
+    return items.select(F.col("seq.document").alias("feed"), F.col("seq.pos").alias("pos"), "url", "title", "summary", seconds("published_at").alias("published"), "source_domain")
+
+
+def sitemap_documents(spark, sf, size=50):
+    """Sitemaps of up to `size` pages for each of five sites, and the sites' indexes, which name them in order."""
+    rows = sitemap_urls(spark, sf).select(F.concat(F.lit("f"), F.col("seq") % 5).alias("feed_domain"), F.floor(F.col("seq") / size).cast("long").alias("page"), "seq", "loc", "lastmod")
+    tag = lambda n, c: F.concat(F.lit(f"<{n}>"), X.escape(c), F.lit(f"</{n}>"))
+    url = F.concat(F.lit("<url>"), tag("loc", F.col("loc")), F.coalesce(tag("lastmod", F.col("lastmod")), F.lit("")), F.lit("</url>"))
+    at = F.concat(F.lit("https://"), "feed_domain", F.lit(".example.com/posts-post-"), "page", F.lit(".xml"))
+    joined_ = lambda order, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), x.alias("x")))), lambda r: r["x"]), "")
+    pages = rows.groupBy("feed_domain", "page").agg(joined_("seq", url).alias("urls"))
+    pages = pages.select(at.alias("url"), (F.col("page") + 1).alias("seq"), "feed_domain", F.concat(F.lit('<urlset xmlns="s">'), "urls", F.lit("</urlset>")).alias("xml"))
+    listed = rows.select("feed_domain", "page").distinct().groupBy("feed_domain").agg(joined_("page", F.concat(F.lit("<s:sitemap>"), tag("s:loc", at), F.lit("</s:sitemap>"))).alias("pages"))
+    tail = F.lit("<s:sitemap><s:loc>https://x.example.com/authors.xml</s:loc></s:sitemap></s:sitemapindex>")
+    index = listed.select(F.concat(F.lit("https://"), "feed_domain", F.lit(".example.com/sitemap.xml")).alias("url"), F.lit(0).cast("long").alias("seq"), "feed_domain", F.concat(F.lit('<s:sitemapindex xmlns:s="s">'), "pages", tail).alias("xml"))
+    return pages.unionByName(index)
+
+
+@query(
+    "r5_whole_sitemaps",
+    f"""WITH p AS (SELECT *, page_id % 5 AS f, max(page_id // 50) OVER (PARTITION BY page_id % 5) AS last FROM pages)
+        SELECT 'f' || f AS feed_domain, {canonical_sql('url')} AS url FROM p WHERE page_id // 50 = last AND page_id % 9 <> 0 AND page_id % 150 <= 96""",
+)
+def r5_whole(spark, sf):
+    return documents.standard_sitemap(sitemap_documents(spark, sf), now()).select("feed_domain", "url")
+
+
 @query("r3_entry_domain", f"SELECT source_domain, count(*) AS n FROM ({ENTRIES}) GROUP BY source_domain")
 def r3(spark, sf):
     return feeds.items_of_entries(feeds.entries(entry_payloads(spark, sf))).groupBy("source_domain").agg(F.count("*").alias("n"))

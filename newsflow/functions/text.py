@@ -198,6 +198,7 @@ def window_label(hours: Column) -> Column:
 def parse_time(text: Column) -> Column:
     """ISO, mail and plain dates as UTC time; null for what is none and for year 1."""
     bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")  # the weekday of mail dates says nothing
+    bare = F.regexp_replace(bare, r"(?<=:[0-9]{2})\s+(?:GMT|UTC?|Z)$", " +0000")
     forms = ["yyyy-MM-dd'T'HH:mm:ssXXX", "d MMM yyyy HH:mm:ss Z", "yyyy/MM/dd HH:mm", "dd/MM/yyyy HH:mm", "dd/MM/yyyy"]
     got = F.coalesce(F.try_to_timestamp(bare), *[F.try_to_timestamp(bare, F.lit(f)) for f in forms])
     return F.when(F.year(got) > 1, got)
