@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsflow.functions import html as H
+from newsflow.functions import text as X
 from newsflow.functions import urls as U
 
 AS_OF = "2024-01-31 00:00:00"
@@ -76,9 +77,9 @@ ITEMS = """
 
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as raw items, dated by their number."""
-    p = table(spark, sf_dir, "pages")
-    url = U.canonical(F.col("url"))
-    return p.select(F.col("page_id").alias("seq"), url.alias("url"), H.page_title(F.col("html")).alias("title"), F.lit("").alias("summary"), F.when(F.col("page_id") % 4 != 0, now() - F.make_dt_interval(hours=(F.col("page_id") % 100).cast("int"))).alias("published_at"), U.host(url).alias("source_domain"), F.regexp_extract(U.host(url), r"([^.]+\.[^.]+)$", 1).alias("feed_domain"))
+    p = X.computed(table(spark, sf_dir, "pages"), {"url": U.canonical(F.col("url")), "title": H.page_title(F.col("html"))})
+    url = F.col("url")
+    return p.select(F.col("page_id").alias("seq"), "url", "title", F.lit("").alias("summary"), F.when(F.col("page_id") % 4 != 0, now() - F.make_dt_interval(hours=(F.col("page_id") % 100).cast("int"))).alias("published_at"), U.host(url).alias("source_domain"), F.regexp_extract(U.host(url), r"([^.]+\.[^.]+)$", 1).alias("feed_domain"))
 
 
 def fold_sql(x: str) -> str:

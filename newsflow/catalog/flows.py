@@ -91,7 +91,7 @@ def c7(spark, sf):
     """The whole scan over stored pages: caps, cache and enrichment included."""
     pages = dedupe.first_by(table(spark, sf, "pages").select(U.canonical(F.col("url")).alias("url"), "html"), "url", ["html"])
     feed = page_items(spark, sf)
-    stored = feed.where("seq % 10 = 1").select("url", F.lit("stored the snippet").alias("snippet"), F.lit("stored").alias("title"), F.lit(None).cast("timestamp").alias("published_at"))
+    stored = table(spark, sf, "pages").where("page_id % 10 = 1").select(U.canonical(F.col("url")).alias("url"), F.lit("stored the snippet").alias("snippet"), F.lit("stored").alias("title"), F.lit(None).cast("timestamp").alias("published_at"))
     names = spark.createDataFrame([("spam-farm.example.org", "Spam Farm")], "domain string, name string")
     got = scan.run_scan(feed, pages, dedupe.first_by(stored, "url", ["title"]), names, SETTINGS)
     return got.select("seq", "url", "domain", "source_name", "title", "snippet", joined("matched_keywords").alias("keywords"), seconds("published_at").alias("published"))

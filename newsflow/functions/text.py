@@ -7,7 +7,7 @@ from collections.abc import Callable
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,10 +58,18 @@ def squash(text: Column) -> Column:
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 #: Names that count without a semicolon too, longest first.
 _BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-_OFTEN = ("amp;", "quot;", "lt;", "gt;", "nbsp;", "apos;")
 
 
-def _reference(ref: Column) -> Column:
+def _names() -> Column:
+    """What the names stand for, in a map for each first letter, as a look-up goes through a map from its beginning."""
+    by_letter: dict[str, list[str]] = {}
+    for name in sorted(html5):
+        by_letter.setdefault(name[0], []).append(f"{name}\x02{html5[name]}")
+    maps = [(F.lit(letter), F.str_to_map(F.lit("\x01".join(pairs)), F.lit("\x01"), F.lit("\x02"))) for letter, pairs in by_letter.items()]
+    return F.create_map(*[c for pair in maps for c in pair])
+
+
+def _reference(ref: Column, names: Column) -> Column:
     """What one character reference stands for; itself, if it is none."""
     digits = lambda pattern: F.ltrim(F.regexp_extract(ref, pattern, 1), F.lit("0"))
     decimal, sixteen = digits("^&#([0-9]+)"), digits("^&#[xX]([0-9a-fA-F]+)")
@@ -73,11 +81,10 @@ def _reference(ref: Column) -> Column:
     none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     numbered = F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(code.between(128, 159), F.substring(F.lit(old), code - 127, F.lit(1))).when(none, "").otherwise(char)
-    pairs = [n for n in _OFTEN] + sorted(set(html5) - set(_OFTEN))
-    names = F.str_to_map(F.lit("\x01".join(f"{n}\x02{html5[n]}" for n in pairs)), F.lit("\x01"), F.lit("\x02"))
+    known = lambda name: F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
     begin = F.regexp_extract(ref, "^&(" + "|".join(_BARE) + ")", 1)
-    shorter = F.when(begin != "", F.concat(F.try_element_at(names, begin), F.substring(ref, F.length(begin) + 2, F.length(ref))))
-    named = F.coalesce(F.try_element_at(names, F.substring(ref, F.lit(2), F.length(ref))), shorter, ref)
+    shorter = F.when(begin != "", F.concat(known(begin), F.substring(ref, F.length(begin) + 2, F.length(ref))))
+    named = F.coalesce(known(F.substring(ref, F.lit(2), F.length(ref))), shorter, ref)
     return F.when(F.regexp_like(ref, F.lit("^&#")), numbered).otherwise(named)
 
 
@@ -88,7 +95,8 @@ def bound(value: Column, of: Callable[[Column], Column]) -> Column:
 
 def _unescaped(text: Column) -> Column:
     pieces = F.split(text, _REFERENCE, -1)
-    resolved = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _reference)
+    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    resolved = bound(_names(), lambda names: F.transform(found, lambda ref: _reference(ref, names)))
     whole = F.array_join(F.zip_with(pieces, resolved, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
@@ -98,15 +106,36 @@ def unescape(text: Column) -> Column:
     return bound(text, _unescaped)
 
 
+def unescape_all(texts: Column) -> Column:
+    """The references of an array of texts resolved: one table of names in the plan for all of them."""
+    return F.transform(texts, _unescaped)
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row, however often and wherever later steps use them: a generator of one row, into
+    which the optimizer neither copies nor pushes what comes after it."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def escape(text: Column) -> Column:
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(char), F.lit(name))
     return text
 
 
+def tagless(html: Column) -> Column:
+    return F.regexp_replace(html, r"<[^>]+>", " ")
+
+
 def html_to_text(html: Column) -> Column:
     """Tags to spaces, references resolved, white space squashed, replacement characters dropped."""
-    bare = F.replace(unescape(F.regexp_replace(html, r"<[^>]+>", " ")), F.lit("�"), F.lit(""))
+    return tidied(unescape(tagless(html)))
+
+
+def tidied(text: Column) -> Column:
+    """White space squashed, replacement characters dropped."""
+    bare = F.replace(text, F.lit("�"), F.lit(""))
     return F.trim(F.regexp_replace(F.replace(bare, F.lit(" "), F.lit(" ")), r"\s+", " "))
 
 
@@ -171,7 +200,7 @@ def looks_paywalled(paragraphs: Column, marker: str, least_paragraphs: int = 3,
 
 def split_body(body: Column) -> Column:
     """Paragraphs of a pasted body: at blank lines, or at line ends where there is none."""
-    parts = lambda at: F.filter(F.transform(F.split(F.trim(body), at), F.trim), lambda p: p != "")
+    parts = lambda at: F.filter(F.transform(F.split(F.trim(body), at), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts(r"\n\s*\n")) > 1, parts(r"\n\s*\n")).otherwise(parts(r"\n"))
 
 

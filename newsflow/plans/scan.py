@@ -78,10 +78,10 @@ def candidates(items: DataFrame, settings: Settings, specific: dict[str, list[st
     place = F.when(F.col("published_at").isNull(), U.path_words(F.col("url"))).otherwise(U.slug_words(F.col("url")))
     by_title = _by_list(F.when(bare, place).otherwise(F.col("title")), lists, settings)
     by_summary = _by_list(X.cut_related(X.strip_footer(F.col("summary"))), lists, settings)
-    found = F.when(F.size(by_title) > 0, by_title).when(~bare, by_summary).otherwise(F.array().cast("array<string>"))
-    rows = items.where(in_time).withColumn("own", own)
-    rows = rows.withColumn("matched_keywords", F.when(takes_all, F.array(F.lit("#source"))).when(topical, F.array(F.lit("#topic"))).otherwise(found))
-    return rows.where(F.size("matched_keywords") > 0).drop("own")
+    rows = X.computed(items.where(in_time).withColumn("own", own), {"__by_title": by_title})
+    found = F.when(F.size("__by_title") > 0, F.col("__by_title")).when(~bare, by_summary).otherwise(F.array().cast("array<string>"))
+    rows = X.computed(rows, {"matched_keywords": F.when(takes_all, F.array(F.lit("#source"))).when(topical, F.array(F.lit("#topic"))).otherwise(found)})
+    return rows.where(F.size("matched_keywords") > 0).drop("own", "__by_title")
 
 
 def candidates_by_table(items: DataFrame, settings: Settings, keywords: DataFrame) -> DataFrame:
@@ -122,15 +122,19 @@ def with_cache(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFram
 def enrich(items: DataFrame, pages: DataFrame, settings: Settings) -> DataFrame:
     """items with snippet, page_title and missing dates from their stored pages (url, html): the summary if it will do, else the page's first
     paragraphs by container, its description, or its first three long paragraphs."""
+    fit = lambda c: X.bound(c, lambda x: F.when((x != "") & ~F.regexp_like(x, F.lit("(?i)" + settings.boilerplate)), X.truncate(x)))
     joined = items.join(pages.select("url", "html"), "url", "left")
-    fit = lambda c: X.bound(F.coalesce(c, F.lit("")), lambda x: F.when((x == "") | F.regexp_like(x, F.lit("(?i)" + settings.boilerplate)), None).otherwise(X.truncate(x)))
-    own = X.bound(X.snippet(F.coalesce("summary", F.lit("")), settings.boilerplate), lambda x: F.when(x != "", x))
-    early = F.col("published_at").isNotNull() & (F.coalesce("title", F.lit("")) != "") & (F.lit(settings.fast) | own.isNotNull())
-    first = F.array_join(F.slice(H.paragraph_texts(F.col("html"), 40), 1, 3), " ")
-    from_page = F.when(~early & ~F.col("url").startswith(settings.wrapper_prefix), F.coalesce(fit(H.page_description(F.col("html"))), fit(first)))
-    rows = joined.withColumn("snippet", F.coalesce(own, from_page, F.lit("")))
-    rows = rows.withColumn("page_title", F.when((F.coalesce("title", F.lit("")) == "") & F.col("html").isNotNull(), H.page_title(F.col("html"))).otherwise(""))
-    return rows.withColumn("published_at", F.coalesce("published_at", H.page_published(F.col("html")))).drop("html")
+    rows = X.computed(joined, {"__own": X.bound(X.snippet(F.coalesce("summary", F.lit("")), settings.boilerplate), lambda x: F.when(x != "", x))})
+    untitled, undated = F.coalesce("title", F.lit("")) == "", F.col("published_at").isNull()
+    early = ~undated & ~untitled & (F.lit(settings.fast) | F.col("__own").isNotNull())
+    from_page = ~early & ~F.col("url").startswith(settings.wrapper_prefix)
+    # a page is parsed once, and only for rows that need something of it
+    facts = F.when(F.col("html").isNotNull() & (from_page | untitled | undated), H.page_facts(F.col("html")))
+    rows = X.computed(rows.withColumn("__from_page", from_page), {"__page": facts}).drop("html")
+    first = F.array_join(F.slice(F.filter("__page.paragraphs", lambda p: F.length(p) > 40), 1, 3), " ")
+    snippet = F.coalesce("__own", F.when(F.col("__from_page"), F.coalesce(fit(F.col("__page.description")), fit(first))), F.lit(""))
+    found = {"snippet": snippet, "page_title": F.when(untitled, F.coalesce("__page.title", F.lit(""))).otherwise(""), "published_at": F.coalesce("published_at", "__page.published")}
+    return X.computed(rows, found).drop("__own", "__from_page", "__page")
 
 
 def finish(items: DataFrame, settings: Settings) -> DataFrame:

@@ -171,3 +171,18 @@ def test_sanitized_pages_end_where_other_articles_begin(spark):
     mixed = "<div>short<figure><img src='//x/y.png' alt='a&amp;b'><figcaption>Cap</figcaption></figure>loose text, long enough<ul><li>one</li><li></li></ul><h2>T</h2><p>a <b> bold </b><br><nav>no</nav></p><blockquote>q</blockquote></div>"
     got = spark.createDataFrame([(mixed,)], "page string").select(H.sanitize(F.col("page"))).first()[0].split("\n")
     assert got == ['<img src="https://x/y.png" alt="a&amp;b" class="reader-img">', '<p class="reader-caption"><em>Cap</em></p>', "<p>loose text, long enough</p>", "<ul><li>one</li></ul>", "<h3>T</h3>", "<p>a <strong>bold</strong><br></p>", "<blockquote><p>q</p></blockquote>"]
+
+
+def test_pasted_paragraphs_are_trimmed_of_blanks_alone(spark):
+    rows = [("  1 a 0 \n \n 1 b 1  \n\n\n2 c",), ("0 one \n 1 two ",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(X.split_body(F.col("t"))).collect()]
+    assert got == [["1 a 0", "1 b 1", "2 c"], ["0 one", "1 two"], None]
+
+
+def test_page_facts_are_those_of_the_single_functions(spark):
+    pages = ['<title> a &lt; b&nbsp;</title><meta name="date" content="2024-01-02T03:04:05Z"><p>x &amp; <b>y</b></p><script><p>no</p></script><p> </p>', "", None, '<meta property="og:title" content="O &Aacute;&NotEqualTilde;"><time datetime="2024-05-06">']
+    h = F.col("h")
+    df = spark.createDataFrame([(p,) for p in pages], "h string")
+    one = df.select(H.page_facts(h).alias("f")).select("f.*").collect()
+    apart = df.select(H.page_title(h), H.page_description(h), H.page_published(h), F.coalesce(H.paragraph_texts(h, -1), F.array().cast("array<string>"))).collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in apart] and one[3]["title"] == "O Á≂̸"
