@@ -15,6 +15,7 @@ from newsflow.functions.matching import matched
 from newsflow.operators import dedupe, store
 from newsflow.operators.article_store import ArticleStore
 from newsflow.operators.keywords import match_keywords
+from newsflow.operators.search_index import SearchIndex
 from newsflow.plans import digest, scan, views
 from newsflow.sources import plugin
 from newsflow.streaming import incremental, keyed
@@ -368,6 +369,16 @@ def w12(spark, sf):
     return store.mirrored(spark, f"{folder}/mirror").groupBy(F.date_format("found_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
+@query("p9_search_index", f"SELECT doc_id FROM documents WHERE contains({fold_sql('text || chr(32) || source')}, 'the') AND contains({fold_sql('text || chr(32) || source')}, 'src1')")
+def p9_index(spark, sf):
+    """The search over an index of two batches, the second of which changes what the first one listed."""
+    d = table(spark, sf, "documents").withColumn("url", F.col("doc_id").cast("string"))
+    index = SearchIndex(spark, f"{_folder(spark)}/index", ["text", "source"])
+    index.add(d.withColumn("text", F.when(F.col("doc_id") % 2 == 0, "src1 the old text").otherwise(F.col("text"))), 0)
+    index.add(d.where("doc_id % 2 = 0"), 1)
+    return index.search(d, ["Thé", "src1"]).select("doc_id")
+
+
 @query("v_matching_domains", f"WITH p AS (SELECT {host_sql('url')} AS domain, {matched_sql('html')} AS k FROM pages) SELECT domain, count(*) AS n FROM p WHERE k <> '' GROUP BY domain")
 def v_matching_domains(spark, sf):
     return table(spark, sf, "pages").where(F.size(matched(F.col("html"), KEYWORDS)) > 0).groupBy(U.host(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from newsflow.functions.text import fold
 
 
-def _folded(word: str) -> str:
+def folded(word: str) -> str:
+    """A keyword or term as it is looked for: lower case without accents."""
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).lower()
 
 
@@ -20,7 +21,7 @@ def matched(text: Column, keywords: list[str]) -> Column:
     counts once."""
     spelling: dict[str, str] = {}
     for word in keywords:
-        spelling.setdefault(_folded(word), word)
+        spelling.setdefault(folded(word), word)
     spelling.pop("", None)
     if not spelling:
         return F.array().cast("array<string>")
@@ -35,7 +36,7 @@ def contains_all(terms: list[str], *texts: Column) -> Column:
     hay = fold(F.concat_ws(" ", *texts))
     out = F.lit(True)
     for term in terms:
-        out = out & F.contains(hay, F.lit(_folded(term)))
+        out = out & F.contains(hay, F.lit(folded(term)))
     return out
 
 
