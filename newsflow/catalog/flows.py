@@ -186,22 +186,22 @@ def c6(spark, sf):
 SECTORS = {"a": ["the", "that"], "b": ["de", "la"]}
 
 
-def _digest(spark, sf, rows=None):
+def _digest(spark, sf):
     """A digest of the items asked for: of all, unless rows are given."""
     articles = dedupe.first_seen(items(spark, sf), "url").join(table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("body")), "seq")
     articles = articles.select("url", "title", F.array().cast("array<string>").alias("matched_keywords"), "body")
-    request = (items(spark, sf) if rows is None else rows).select(F.col("seq").cast("int").alias("pos"), "url", F.when(F.col("seq") % 2 == 0, "+").otherwise("=").alias("take"), F.when(F.col("seq") % 10 == 0, "c").otherwise("").alias("sector"))
+    request = items(spark, sf).select(F.col("seq").cast("int").alias("pos"), "url", F.when(F.col("seq") % 2 == 0, "+").otherwise("=").alias("take"), F.when(F.col("seq") % 10 == 0, "c").otherwise("").alias("sector"))
     return digest.digest_items(request, articles, SECTORS, "a")
 
 
 @query("o11_digest_order", f"""
     WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS n FROM i), a AS (SELECT * FROM r WHERE n = 1),
-    q AS (SELECT i.seq AS pos, a.url, a.title FROM i JOIN a ON a.url = i.url WHERE i.seq < 60),
+    q AS (SELECT i.seq AS pos, a.url, a.title FROM i JOIN a ON a.url = i.url),
     s AS (SELECT *, len(list_filter(['the', 'that'], lambda t: contains(lower(title), t))) AS x, len(list_filter(['de', 'la'], lambda t: contains(lower(title), t))) AS y FROM q),
     k AS (SELECT pos, url, CASE WHEN pos % 10 = 0 THEN 'c' WHEN greatest(x, y) = 0 OR x >= y THEN 'a' ELSE 'b' END AS sector FROM s)
     SELECT pos, url, sector, min(pos) OVER (PARTITION BY sector) AS section FROM k""")
 def o11(spark, sf):
-    return _digest(spark, sf, items(spark, sf).where("seq < 60")).select("pos", "url", "sector", "section")
+    return _digest(spark, sf).select("pos", "url", "sector", "section")
 
 
 @query("c8_digest_sections")
