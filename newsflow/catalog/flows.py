@@ -15,9 +15,10 @@ from newsflow.functions.matching import matched
 from newsflow.operators import dedupe, store
 from newsflow.operators.article_store import ArticleStore
 from newsflow.operators.keywords import match_keywords
+from newsflow.operators.rollups import PRESETS, HourlyCounts
 from newsflow.operators.search_index import SearchIndex
 from newsflow.plans import digest, scan, views
-from newsflow.sources import plugin
+from newsflow.sources import changes, mirror, plugin
 from newsflow.streaming import incremental, keyed
 
 SETTINGS = scan.Settings(as_of=AS_OF, hours=72, keywords=KEYWORDS, topical=("de.feed.example.com",), paywalled=("src3.example.com",))
@@ -316,6 +317,64 @@ def w2_partitioned_store(spark, sf):
     return _article(articles.read())
 
 
+#: The history dealt into four batches by seq: n is the batch.
+FOUR = f"{HISTORY}, b AS (SELECT *, len(list_filter([1, 2, 3], lambda k: seq > (SELECT max(seq) FROM h) * k // 4))::BIGINT AS n FROM h)"
+
+
+def _quarters(h):
+    last = h.agg(F.max("seq")).first()[0]
+    return [h.where((F.col("seq") > last * n // 4) & (F.col("seq") <= last * (n + 1) // 4)) for n in range(4)]
+
+
+@query("t4_change_stream", f"WITH {FOUR}, f AS (SELECT *, min(n) OVER (PARTITION BY url) AS first FROM b) SELECT url, n AS commit, arg_max(title, seq) AS title, floor(epoch(arg_min(found_at, seq)))::BIGINT AS found FROM f WHERE n = first GROUP BY url, n")
+def t4_change_stream(spark, sf):
+    """New articles of a store that takes four batches, read by a stream that runs twice: each article once, as its first batch left it."""
+    folder = _folder(spark)
+    articles = ArticleStore(spark, f"{folder}/store", buckets=16, keep=4)
+    for n, batch in enumerate(_quarters(history(spark, sf))):
+        articles.merge(batch, "history", n)
+        if n % 2:
+            new = changes.change_stream(spark, articles.path).select("url", "commit", "title", seconds("found_at").alias("found"))
+            new.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("w12_committed_mirror", f"WITH {HISTORY} SELECT url, max(seq) AS seq, arg_max(title, seq) AS title, arg_max(epoch_us(found_at), seq) AS found, arg_max(length(body), seq)::INT AS chars FROM h GROUP BY url")
+def w12_committed_mirror(spark, sf):
+    """Four batches of upserts, one of them written twice, folded before the last one."""
+    path = f"{_folder(spark)}/mirror"
+    batches = _quarters(history(spark, sf))
+    for n in (0, 1, 1, 2):
+        mirror.push(batches[n], path, n)
+    mirror.compact(spark, path)
+    mirror.push(batches[3], path, 3)
+    rows = mirror.mirrored(spark, path, "url string, seq bigint, title string, found_at timestamp, body string")
+    return rows.select("url", "seq", "title", F.unix_micros("found_at").alias("found"), F.length("body").alias("chars"))
+
+
+def _rollup(spark, sf):
+    counts = HourlyCounts(spark, f"{_folder(spark)}/hours", ["domain"])
+    for n, batch in enumerate(_quarters(history(spark, sf))):
+        counts.add(batch, n)
+    return counts
+
+
+@query("t6_rollup_views", f"WITH {HISTORY}, w AS (SELECT unnest({list(PRESETS)})::INT AS hours) SELECT domain, hours, count(*) AS n FROM w JOIN h ON found_at >= TIMESTAMP '2024-01-29 07:41:13' - to_hours(hours) GROUP BY domain, hours")
+def t6_rollup_views(spark, sf):
+    """Windows that begin within an hour, from counts of four batches and the rows of the hours that are cut."""
+    return _rollup(spark, sf).view(history(spark, sf), F.lit("2024-01-29 07:41:13").cast("timestamp"))
+
+
+@query(
+    "t6_rollup_series",
+    f"""WITH {HISTORY}, c AS (SELECT domain, date_trunc('hour', found_at) AS hour, count(*) AS n FROM h GROUP BY ALL), w AS (SELECT unnest([1, 24, 168])::INT AS hours)
+        SELECT a.domain, epoch(a.hour)::BIGINT AS hour, hours, sum(b.n)::BIGINT AS n
+        FROM c a CROSS JOIN w JOIN c b ON b.domain = a.domain AND b.hour <= a.hour AND b.hour > a.hour - to_hours(hours) GROUP BY ALL""",
+)
+def t6_rollup_series(spark, sf):
+    return _rollup(spark, sf).sliding((1, 24, 168)).withColumn("hour", F.unix_seconds("hour"))
+
+
 @query("t5_streamed_first_arrivals", "SELECT 'u' || user_id AS url FROM events GROUP BY user_id")
 def t5(spark, sf):
     """Each URL once, by state within a horizon longer than the data."""

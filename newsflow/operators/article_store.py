@@ -8,7 +8,8 @@ large the store grows.
 
 Defined results: repeated batches (equal source and number) change nothing; a commit that fails leaves the one before; an article goes once it was first found
 longer ago than the retention, and begins anew if it is found again after that; null URLs are one key; batches without rows commit their number alone.
-A store has one writer at a time: a second one gets an error. The parts of the last `keep` commits stay for their readers.
+A store has one writer at a time: a second one gets an error. The parts of the last `keep` commits stay for their readers, and so does
+what each of them added, which `newsflow.sources.changes` reads as a stream.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ class ArticleStore:
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
     def state(self, commit: int | None = None) -> dict | None:
-        """What a commit, by default the last, says: its number, buckets, parts [[folder, bytes], ...] by bucket, schema, the last
-        number of every source, the latest find, and the time before which articles have gone."""
+        """What a commit, by default the last, says: its number, buckets, parts [[folder, bytes], ...] by bucket, the part that it added to each bucket
+        (even if it was merged at once), schema, the last number of every source, the latest find, and the time before which articles have gone."""
         commits = self.commits()
         if not commits:
             return None
@@ -113,9 +114,9 @@ class ArticleStore:
                 rows = rows.withColumn("fresh", F.lit(True))
             state["schema"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("bucket").schema)
             state["parts"] = dict(before["parts"])
-            if touched:
-                for b, size in self._write(rows, f"c{commit}").items():
-                    state["parts"][b] = [*state["parts"].get(b, []), size]
+            state["added"] = self._write(rows, f"c{commit}") if touched else {}
+            for b, part in state["added"].items():
+                state["parts"][b] = [*state["parts"].get(b, []), part]
             self._merge_parts(state, touched)
         finally:
             folded.unpersist()
@@ -160,7 +161,11 @@ class ArticleStore:
     def _vacuum(self) -> None:
         """Remove the commits but the last `keep`, and the parts that only they list."""
         commits = self.commits()
-        folders = lambda c: {folder for parts in self.state(c)["parts"].values() for folder, _ in parts}
+
+        def folders(commit: int) -> set[str]:
+            state = self.state(commit)
+            return {folder for parts in [*state["parts"].values(), list(state.get("added", {}).values())] for folder, _ in parts}
+
         if len(commits) > self.keep:
             kept = set().union(*[folders(c) for c in commits[-self.keep :]])
             for old in commits[: -self.keep]:
