@@ -318,7 +318,7 @@ def w2_partitioned_store(spark, sf):
 
 
 #: The history dealt into four batches by seq: n is the batch.
-FOUR = f"{HISTORY}, b AS (SELECT *, len(list_filter([1, 2, 3], lambda k: seq > (SELECT max(seq) FROM h) * k // 4))::BIGINT AS n FROM h)"
+FOUR = f"{HISTORY}, e AS (SELECT max(seq) AS last FROM h), b AS (SELECT h.*, (seq > last // 4)::BIGINT + (seq > last * 2 // 4)::BIGINT + (seq > last * 3 // 4)::BIGINT AS n FROM h, e)"
 
 
 def _quarters(h):
