@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from newsflow import schemas
@@ -9,7 +10,7 @@ from newsflow.catalog.base import AS_OF, TITLE_SQL, canonical_sql, escape_sql, h
 from newsflow.functions import html as H
 from newsflow.functions import text as X
 from newsflow.functions import urls as U
-from newsflow.sources import documents, feeds, json_api
+from newsflow.sources import documents, encodings, feeds, json_api
 
 REGISTRY = {"rss": {"a.example.com": ["https://a.example.com/rss", "https://a.example.com/rss2"]}, "sitemap": {"b.example.com": ["https://b.example.com/sitemap.xml"]}, "homepage": {"c.example.com": ["https://c.example.com/"]}}
 
@@ -206,6 +207,22 @@ def r22(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(feeds.decoded_page(raw, F.when(F.col("page_id") % 2 == 0, "utf-8").otherwise("utf-16"))).alias("t"))
 
 
+@query("r22_detected_pages", "SELECT page_id, md5(html) AS t FROM pages")
+def r22_detected(spark, sf):
+    """Pages in five encodings that nothing declares (UTF-8 where one cannot hold them), found by a profile of documents."""
+    pages = ["cp1252", "cp850", "mac_roman"]
+
+    @F.pandas_udf("binary")
+    def encoded(html: pd.Series, number: pd.Series) -> pd.Series:
+        names = [*pages, "utf-8", "utf-16-le"]
+        raw = (None if t is None else encodings.encoded(t, names[n % 5]) or t.encode() for t, n in zip(html, number, strict=True))
+        return pd.Series(list(raw), dtype=object)
+
+    detect = encodings.detector(encodings.profile(table(spark, sf, "documents"), "text", pages), pages)
+    raw = table(spark, sf, "pages").select("page_id", encoded("html", "page_id").alias("raw"))
+    return raw.select("page_id", F.md5(detect(F.col("raw"))["text"]).alias("t"))
+
+
 @query("s18_report_title", "SELECT s_suppkey, s_name AS title FROM supplier")
 def s18(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", json_api.report_title(F.concat(F.lit("Report: "), "s_name"), "Report").alias("title"))

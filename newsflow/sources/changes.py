@@ -1,8 +1,8 @@
 """What the commits of an article store added, as a stream source: each commit's rows once, however their times lie.
 
 A high-water mark on a row's time loses rows that come later with an equal or an earlier time. The offset here is the number of a commit, which only grows and
-which the store gives out after the rows are written, so no row can arrive below it. A batch is all commits after its start up to its end; each
-part file of each bucket is read by a task of its own, batch by batch of Arrow rows. Only the driver's listing of commits is not distributed: one small file a commit.
+which the store gives out after the rows are written, so no row can arrive below it. A batch is all commits after its start up to its end; its
+part files are dealt to tasks of 64 MB, which read them by batches of Arrow rows. Only the driver's listing of commits is not distributed: one small file a commit.
 
 Defined results: `changes` = "new" gives the articles that a commit was the first to hold (or that began anew after they had gone), "all" every key that it wrote, with
 the values that it wrote, not yet folded with older ones. Commits without rows give none. A stream that starts without `after` begins before the first commit
@@ -27,6 +27,8 @@ from pyspark.sql.types import StructType
 from newsflow.schemas import ARTICLE
 
 FORMAT = "newsflow_changes"
+#: Bytes of part files up to which a task reads several.
+TASK_BYTES = 64 << 20
 #: Columns of every row besides the article's own.
 _MORE = "commit bigint, fresh boolean"
 
@@ -58,27 +60,35 @@ class _Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         commits, (files, path) = self._commits(), self._files()
-        parts = []
+        found = []
         for number in range(start["commit"] + 1, end["commit"] + 1):
             if number not in commits:
                 raise ValueError(f"{self.path} holds commit {number} no more: the stream has fallen behind")
             with files.open_input_stream(commits[number]) as stream:
                 added = json.loads(stream.read()).get("added", {})
             for folder in sorted({folder for folder, _ in added.values()}):
-                found = files.get_file_info(fs.FileSelector(f"{path}/{folder}", recursive=True))
-                parts += [InputPartition(f.path) for f in found if f.base_name.startswith("part-")]
-        return parts
+                found += [f for f in files.get_file_info(fs.FileSelector(f"{path}/{folder}", recursive=True)) if f.base_name.startswith("part-")]
+        parts: list[list[str]] = []
+        room = 0
+        for f in found:
+            if room < f.size:
+                parts.append([])
+                room = TASK_BYTES
+            parts[-1].append(f.path)
+            room -= f.size
+        return [InputPartition(p) for p in parts]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         files, _ = self._files()
         target = to_arrow_schema(self.schema)
-        with files.open_input_file(partition.value) as f:
-            for batch in pq.ParquetFile(f).iter_batches(4096, columns=target.names):
-                rows = pa.Table.from_batches([batch])
-                if self.new:
-                    rows = rows.filter(rows["fresh"])
-                if rows.num_rows:
-                    yield from rows.select(target.names).cast(target).combine_chunks().to_batches()
+        for name in partition.value:
+            with files.open_input_file(name) as f:
+                for batch in pq.ParquetFile(f).iter_batches(4096, columns=target.names):
+                    rows = pa.Table.from_batches([batch])
+                    if self.new:
+                        rows = rows.filter(rows["fresh"])
+                    if rows.num_rows:
+                        yield from rows.select(target.names).cast(target).combine_chunks().to_batches()
 
 
 class ArticleChanges(DataSource):
