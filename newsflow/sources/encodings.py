@@ -4,10 +4,9 @@ A profile is learnt from texts of the kind that is expected: each code page coun
 have a byte beyond ASCII, as the others are the same in all code pages. Spark adds the counts up; a profile has at most 65,536 numbers a code page,
 whatever the texts. Bytes are then in the code page under whose profile their own pairs are likeliest, of those that decode them whole.
 
-Defined results: null bytes give null; a byte order mark decides; bytes that are valid UTF-8 are UTF-8, and so are plain ASCII and empty ones; bytes with zero bytes are
-UTF-16, by the positions where the zeros lie, if they decode as such; a code page that no profile knows is never found; without any profile the
-declared one counts if it decodes the bytes, or else Latin-1; of code pages that
-decode the bytes alike, and of equally likely ones, the first named counts. Whole bytes are read, however long.
+Defined results: null bytes give null; a byte order mark decides; then, an even number of bytes with zeros among them is UTF-16, by the positions where the
+zeros lie, if they decode as such; other bytes that are valid UTF-8 are UTF-8, and so are plain ASCII and empty ones; a code page that no profile knows is never found; without any profile the
+declared one counts if it decodes the bytes, or else Latin-1; of code pages that decode the bytes alike, and of equally likely ones, the first named counts. Whole bytes are read, however long.
 """
 
 from __future__ import annotations
