@@ -1,12 +1,12 @@
 """A mirror that takes upserts in requests of at most 100 rows, written by a committed writer, in batch or as a stream.
 
 Each task writes its requests to a file of its own, one request a line; the rows of a request have different keys. What a batch consists of is decided at its commit alone, by a small
-file that lists the files of the tasks that Spark counts: files of failed or repeated attempts are not in it, and go. A batch
+file that lists the files of the tasks that Spark counts: files of failed or repeated attempts are not in it, and go, at the latest with the next commit. A batch
 that is written again replaces itself. `compact` folds all committed batches but the last into one, so the mirror grows with its keys, not with its history.
 
 Defined results: of a key's rows in one batch the one of the largest `seq` counts, of batches the last; null keys are one key; equal `seq` are decided by
 the row's JSON, the largest; a batch without rows commits an empty list; a batch
-that has been folded with others gives an error if it is written again (the last one never is). Batches have one writer at a time. The path is one that pyarrow opens.
+that has been folded with others gives an error if it is written again (the last one never is). A mirror has one writer at a time. The path is one that pyarrow opens.
 """
 
 from __future__ import annotations
@@ -96,6 +96,10 @@ class _Target:
             for name in old["files"]:
                 if name not in state["files"] and files.get_file_info(f"{path}/{name}").type == fs.FileType.File:
                     files.delete_file(f"{path}/{name}")
+        listed = {name.split("/")[1] for c in self.commits().values() for name in c["files"]}
+        for f in files.get_file_info(fs.FileSelector(f"{path}/data", allow_not_found=True)):
+            if f.base_name not in listed:  # of runs that were lost before their commit, or replaced
+                files.delete_dir(f.path)
 
     def _remove_others(self, run: str, kept: set[str]) -> None:
         files, path = self.open()

@@ -62,6 +62,7 @@ def test_failed_and_repeated_attempts_leave_each_key_once(spark, tmp_path):
     target, run = mirror._Target(path), "abc"
     each = [{"key": "b", "seq": 1, "row": json.dumps({"url": "b", "seq": 1, "title": "t"})}]
     lost, done = target.write(iter(each), run), target.write(iter(each), run)
+    target.write(iter(each), "lost")  # a run that never came to its commit
     assert lost.path != done.path
     target.commit([done, None], run, 1, 1)
     assert mirror._requests(spark, path).where("key = 'b'").count() == 1 and files(path) == listed(path)
