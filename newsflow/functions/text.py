@@ -182,8 +182,8 @@ def clean_title(title: Column, names: list[str]) -> Column:
 
 
 def distinct_from_previous(items: Column) -> Column:
-    """Array without elements that repeat the one before."""
-    return F.filter(items, lambda x, i: (i == 0) | (x != F.get(items, i - 1)))
+    """Array without elements that repeat the one before. The array is bound, as a lambda would compute it anew for each element."""
+    return bound(items, lambda own: F.filter(own, lambda x, i: (i == 0) | (x != F.get(own, i - 1))))
 
 
 def clean_paragraphs(paragraphs: Column, noise: list[str]) -> Column:

@@ -186,3 +186,10 @@ def test_page_facts_are_those_of_the_single_functions(spark):
     one = df.select(H.page_facts(h).alias("f")).select("f.*").collect()
     apart = df.select(H.page_title(h), H.page_description(h), H.page_published(h), F.coalesce(H.paragraph_texts(h, -1), F.array().cast("array<string>"))).collect()
     assert [tuple(r) for r in one] == [tuple(r) for r in apart] and one[3]["title"] == "O Á≂̸"
+
+
+def test_repeats_are_found_in_an_array_computed_once(spark):
+    df = spark.createDataFrame([("a a b a  a",), ("",), (None,)], "t string")
+    got = df.select(X.distinct_from_previous(F.split("t", " ")).alias("y"))
+    assert [r["y"] for r in got.collect()] == [["a", "b", "a", "", "a"], [""], None]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
