@@ -193,3 +193,11 @@ def test_repeats_are_found_in_an_array_computed_once(spark):
     got = df.select(X.distinct_from_previous(F.split("t", " ")).alias("y"))
     assert [r["y"] for r in got.collect()] == [["a", "b", "a", "", "a"], [""], None]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_paragraphs_are_cleaned_once(spark):
+    df = spark.createDataFrame([("a  b .\na b.\n\nCopyright\nc",)], "t string")
+    got = df.select(X.clean_paragraphs(F.split("t", "\n"), ["^copyright"]).alias("y"))
+    assert got.first()["y"] == ["a b.", "c"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_replace(") == 2
