@@ -79,7 +79,8 @@ def _reference(ref: Column, names: Column) -> Column:
     # numbers 128 to 159 mean the characters of an old code page
     old = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
     none = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    # the byte order mark before it keeps a character U+FEFF from being taken for one
+    char = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
     numbered = F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(code.between(128, 159), F.substring(F.lit(old), code - 127, F.lit(1))).when(none, "").otherwise(char)
     known = lambda name: F.try_element_at(F.try_element_at(names, F.left(name, F.lit(1))), name)
     begin = F.regexp_extract(ref, "^&(" + "|".join(_BARE) + ")", 1)

@@ -201,3 +201,7 @@ def test_paragraphs_are_cleaned_once(spark):
     assert got.first()["y"] == ["a b.", "c"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and plan.count("regexp_replace(") == 2
+
+
+def test_reference_to_the_byte_order_mark(spark):
+    assert one(spark, X.unescape, t="a&#65279;b&#xFEFF;&#x1F600;&#65534;") == "a﻿b﻿\U0001f600"
