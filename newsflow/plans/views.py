@@ -11,13 +11,14 @@ from newsflow.functions.matching import contains_all
 from newsflow.plans.scan import listed_in_window
 
 
-def list_articles(stored: DataFrame, as_of: Column, hours: int, most: int = 500, search: list[str] | None = None) -> DataFrame:
-    """The newest articles of the window, by publication or else arrival, with their age."""
+def list_articles(stored: DataFrame, as_of: Column, hours: int, most: int | None = 500, search: list[str] | None = None) -> DataFrame:
+    """The newest articles of the window, by publication or else arrival, with their age. most: how many; None for all of them, in no order."""
     rows = stored.where(listed_in_window(F.col("published_at"), F.col("found_at"), as_of, hours))
     if search:
         rows = rows.where(contains_all(search, F.col("title"), F.col("source_name"), F.col("snippet"), F.array_join("matched_keywords", " ")))
     at = F.coalesce("published_at", "found_at")
-    return rows.withColumn("age", X.age_label(at, as_of)).orderBy(at.desc(), "url").limit(most)
+    aged = rows.withColumn("age", X.age_label(at, as_of))
+    return aged if most is None else aged.orderBy(at.desc(), "url").limit(most)
 
 
 def article(stored: DataFrame, url: str) -> DataFrame:

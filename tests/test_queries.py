@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
+import datetime as dt
 import os
 
 import duckdb
@@ -56,3 +57,12 @@ def test_reports_of_late_events(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     got = catalog.QUERIES["r12_report_cache"](spark, str(tmp_path)).toPandas()
     assert len(got) == 10 and plain(got) == plain(con.execute(catalog.ORACLE_SQL["r12_report_cache"]).fetchdf())
+
+
+def test_articles_beyond_a_listing(spark, tmp_path):
+    at = dt.datetime(2024, 1, 30)
+    spark.createDataFrame([(i, i, "view", at) for i in range(700)], "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = catalog.QUERIES["v_articles"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 700 and plain(got) == plain(con.execute(catalog.ORACLE_SQL["v_articles"]).fetchdf())
