@@ -60,7 +60,7 @@ class BlockIndex:
         self.longest = norms.max()
         lifted = np.column_stack([self.vectors / self.longest, np.sqrt(np.maximum(0, 1 - (norms / self.longest) ** 2))])
         self.lines = np.random.default_rng(seed).standard_normal((lifted.shape[1], lines))
-        self.pilot = lifted[:: max(1, n // PILOT)]
+        self.pilot = lifted[:: max(1, n // PILOT)].copy()
         page = math.ceil(n / PAGES)
         pages = math.ceil(n / page)
         self.before = np.zeros((lines, pages + 1, math.ceil(n / 64)), np.uint64)
@@ -187,31 +187,39 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     n_blocks = max(1, math.ceil(entries.count() / block_rows))
     blocks, asked = _pack(entries, n_blocks, kind), _pack(queries, max(1, math.ceil(n_queries / query_rows)), kind)
     # Every block of queries meets every block of rows by an equi-join on the block of rows and a share of the queries; a
-    # block is copied once for each OF_COPY queries, or more often while there are fewer tasks than cores.
+    # block is copied once for each OF_COPY queries, or more often while there are fewer tasks than cores. The two sides are sorted together, the
+    # block first, so that it goes to Python once and not with each block of queries.
     shares = max(1, math.ceil(n_queries / OF_COPY), min(math.ceil(n_queries / (4 * query_rows)), math.ceil(spark.sparkContext.defaultParallelism / n_blocks)))
-    met = asked.select(F.col("vectors").alias("q"), F.col("ids").alias("q_ids"), F.pmod("block", F.lit(shares)).alias("share"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
-    spread = blocks.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    pairs = spread.join(met, ["block", "share"]).select("block", "vectors", "ids", "sizes", "q", "q_ids")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    met = asked.select(every(n_blocks).alias("block"), F.pmod("block", F.lit(shares)).alias("share"), F.lit(True).alias("asks"), "vectors", "ids", "sizes")
+    spread = blocks.select("block", every(shares).alias("share"), F.lit(False).alias("asks"), "vectors", "ids", "sizes")
+    pairs = spread.unionByName(met).repartition(4 * n_blocks * shares, "block", "share").sortWithinPartitions("block", "share", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, BlockIndex, np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            for r in batch.to_pylist():
-                if held is None or held[0] != r["block"]:
-                    sizes = np.frombuffer(r["sizes"], "<i4")
-                    held = r["block"], BlockIndex(np.frombuffer(r["vectors"], kind).reshape(-1, dim)), np.frombuffer(r["ids"], np.int64), np.concatenate([[0], np.cumsum(sizes)])
-                _, index, ids, bounds = held
-                own_ids, own = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"], kind).reshape(-1, dim).astype(np.float64)
+            for n in range(batch.num_rows):
+                number, vectors, ids = batch.column("block")[n].as_py(), np.frombuffer(batch.column("vectors")[n].as_buffer(), kind).reshape(-1, dim), np.frombuffer(batch.column("ids")[n].as_buffer(), np.int64)
+                if not batch.column("asks")[n].as_py():
+                    if held is None or held[0] != number:
+                        held = None  # before the next index is made
+                        sizes = np.frombuffer(batch.column("sizes")[n].as_buffer(), "<i4")
+                        held = number, BlockIndex(vectors), ids.copy(), np.concatenate([[0], np.cumsum(sizes)])
+                    continue
+                if held is None or held[0] != number:
+                    continue  # no vectors fell to this block
+                _, index, of_block, bounds = held
+                own = vectors.astype(np.float64)
                 out: list[list] = [[], [], []]
-                for a in range(0, len(own_ids), AT_ONCE):
-                    for me, (at, scores, _) in zip(own_ids[a : a + AT_ONCE].tolist(), index.search(own[a : a + AT_ONCE], k + 1, **search), strict=True):
-                        found = sorted((-s, i) for x, s in zip(at.tolist(), scores.tolist(), strict=True) for i in ids[bounds[x] : bounds[x + 1]].tolist() if i != me)[:k]
+                for a in range(0, len(ids), AT_ONCE):
+                    for me, (at, scores, _) in zip(ids[a : a + AT_ONCE].tolist(), index.search(own[a : a + AT_ONCE], k + 1, **search), strict=True):
+                        found = sorted((-s, i) for x, s in zip(at.tolist(), scores.tolist(), strict=True) for i in of_block[bounds[x] : bounds[x + 1]].tolist() if i != me)[:k]
                         out[0] += [me] * len(found)
                         out[1] += [i for _, i in found]
                         out[2] += [-s for s, _ in found]
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = materialize(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), 8)
+    found = materialize(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), 1, **{"parquet.columnarReaderBatchSize": "1"})
     discard(rows, entries, blocks, asked)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

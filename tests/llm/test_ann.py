@@ -97,3 +97,11 @@ def test_the_query_on_its_own_table(spark, size):
         assert np.allclose(found["score"], [scores[ids == i][0] for i in found["vec_id"]], atol=1e-12)
         recall.append(len({i for _, i in best} & set(found["vec_id"])) / len(best))
     assert np.mean(recall) >= 0.95
+
+
+def test_a_block_goes_to_python_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ann, "materialize", lambda df, *a, f=ann.materialize, **b: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df, *a, **b))
+    rows = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(300)]
+    assert ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 3 == 0, block_rows=40, query_rows=10).count() == 2000
+    assert "Union" in plans[-1] and "Join" not in plans[-1]  # blocks and queries side by side, not a block with each of its queries
