@@ -52,16 +52,16 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, rows_at_once: int = 1000, codec: str = "snappy", **also: str) -> DataFrame:
+def materialize(df: DataFrame, rows_at_once: int = 1000, codec: str = "snappy", writer: dict[str, str] | None = None, **also: str) -> DataFrame:
     """Write df below the shared folder once and read it back: later jobs neither recompute it nor depend on an
     executor that may be lost. The files stay until `discard`, or `scratch`, removes them.
 
-    rows_at_once: rows of a batch that goes to Python; few where single rows are large. also: further settings of the job, as
+    rows_at_once: rows of a batch that goes to Python; few where single rows are large. writer: options of the Parquet writer. also: further settings of the job, as
     names without spark.sql."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/newsflow-{uuid.uuid4().hex}"
     with settings(spark, {CLEAN_UP: "true", BATCH_ROWS: str(rows_at_once)} | {f"spark.sql.{k}": v for k, v in also.items()}):
-        df.write.option("compression", codec).parquet(path)
+        df.write.options(**(writer or {})).option("compression", codec).parquet(path)
     for paths in _OPEN:
         paths.append(path)
     table = spark.read.schema(df.schema).parquet(path)

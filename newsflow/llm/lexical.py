@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 
 from newsflow.llm.common import discard, materialize
 
+#: Settings of jobs that write or read shards: Spark reads, and Parquet holds back, so many rows at once, and a shard is one row of some 20 MB.
+_ONE_ROW = {"parquet.columnarReaderBatchSize": "1"}
+_WRITER = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: A shard is closed at so many terms with repeats, or so many documents.
 SHARD_TERMS, SHARD_DOCS = 4_000_000, 1 << 16
 #: Bytes of a text that are split at once.
@@ -69,7 +72,7 @@ class _Shard:
     def add(self, doc_id: int | None, text: str | None) -> None:
         number, n = self.vocabulary.__getitem__, 0
         for words in term_lists(text or ""):
-            part = np.fromiter(map(number, words), np.int64, len(words))
+            part = np.fromiter(map(number, words), np.int32, len(words))
             self.parts.append(part)
             n += len(part)
         if n:
@@ -85,9 +88,14 @@ class _Shard:
         order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        pairs = np.concatenate(self.parts) * len(order) + np.repeat(place, lengths)
+        pairs = np.concatenate(self.parts).astype(np.int64)
         self.parts = []
-        pairs, counts = np.unique(pairs, return_counts=True)
+        pairs *= len(order)
+        pairs += np.repeat(place, lengths)
+        pairs.sort()
+        begins = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        counts = np.diff(begins, append=len(pairs))
+        pairs = pairs[begins]
         dfs = np.bincount(pairs // len(order), minlength=len(self.vocabulary))
         docs = (pairs % len(order)).astype("<i4")
         terms = pa.array(list(self.vocabulary), pa.binary()).cast(pa.string())
@@ -112,7 +120,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """The table of shards and N, the number of documents that have a term."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    counted = materialize(rows.mapInArrow(_count, _COUNTED), codec="zstd")
+    counted = materialize(rows.mapInArrow(_count, _COUNTED), codec="zstd", writer=_WRITER)
     sums = counted.select(F.size("doc_ids").cast("long").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("l")).agg(F.sum("n"), F.sum("l")).first()
     n, total = sums[0] or 0, sums[1] or 1
 
@@ -127,7 +135,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             kept = ["shard", "doc_ids", "terms", "dfs", "docs"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.binary())], [*kept, "impacts"])
 
-    index = materialize(counted.mapInArrow(impacts, _INDEX), 1, codec="zstd")
+    index = materialize(counted.mapInArrow(impacts, _INDEX), 1, codec="zstd", writer=_WRITER, **_ONE_ROW)
     discard(counted)
     return index, n
 
@@ -158,7 +166,7 @@ def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 50, id_co
     terms = materialize(terms)
     shares = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.dfs").alias("df"))
     df = shares.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    weighed = materialize(terms.join(df, "term"))
+    weighed = materialize(terms.join(df, "term"), **_ONE_ROW)
     blocks = max(1, math.ceil(weighed.count() / block_terms))
     found = []
     for block in range(blocks):
@@ -166,7 +174,7 @@ def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 50, id_co
         for r in weighed.where(F.pmod("query", F.lit(blocks)) == block).collect():
             by_query.setdefault((r["item"], r["query"]), []).append((r["term"], math.floor(1000 * math.log((2 * n_docs + 2) / (2 * r["df"] + 1)))))
         if by_query:
-            found.append(materialize(index.mapInArrow(_scorer(by_query, k), "item long, query long, doc_id long, score long"), 1))
+            found.append(materialize(index.mapInArrow(_scorer(by_query, k), "item long, query long, doc_id long, score long"), 1, **_ONE_ROW))
     discard(terms, weighed)
     if not found:
         found = [index.select(*[F.col("shard").alias(c) for c in ("item", "query", "doc_id", "score")]).limit(0)]

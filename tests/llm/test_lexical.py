@@ -89,3 +89,14 @@ def test_terms_are_read_in_pieces(monkeypatch):
     text = " ".join(f"Wört{i}-É{i}" for i in range(500))
     monkeypatch.setattr(lexical, "PIECE", 16)
     assert [w.decode() for part in lexical.term_lists(text) for w in part] == terms(text)
+
+
+def test_shards_are_read_and_held_one_by_one(spark, monkeypatch):
+    jobs = []
+    monkeypatch.setattr(lexical, "materialize", lambda df, *a, f=lexical.materialize, **b: jobs.append((df.columns, b)) or f(df, *a, **b))
+    docs = spark.createDataFrame([(i, f"a b{i}") for i in range(20)], "doc_id long, text string")
+    assert lexical.rank_documents(docs, spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 20
+    reading = [b for columns, b in jobs if columns != ["item", "query", "term"] and "counts" not in columns]
+    assert len(reading) == 3 and all(b["parquet.columnarReaderBatchSize"] == "1" for b in reading)
+    writing = [b for columns, b in jobs if "docs" in columns]
+    assert len(writing) == 2 and all(b["writer"]["parquet.block.size.row.check.min"] == "1" for b in writing)
