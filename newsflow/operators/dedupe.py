@@ -55,6 +55,17 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> Data
     return sorted_.join(F.broadcast(bases), "part").select("row.*", (F.col("base") + F.col("at") - F.col("begin") + 1).cast("int").alias(name))
 
 
+def running_sum(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """The sum of `value` over the rows before each one in the order, as `ranked` numbers them: within partitions, after the sums of those before."""
+    spread = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    sorted_ = df.orderBy(*order).select(spread).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).persist()
+    sizes = sorted_.groupBy("part").agg(F.sum(F.col("row")[value]).alias("n"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("base"))  # a row for each partition
+    within = F.coalesce(F.sum(F.col("row")[value]).over(before.partitionBy("part").orderBy("at")), F.lit(0))
+    return sorted_.join(F.broadcast(bases), "part").withColumn("within", within).select("row.*", (F.col("base") + F.col("within")).cast("long").alias(name))
+
+
 def until_crossed(df: DataFrame, group: str, page: str, crossed: Column) -> DataFrame:
     """Pages up to and with the first one that holds a crossed row: a listing read to its end would stop there."""
     flags = df.groupBy(group, page).agg(F.max(crossed.cast("int")).alias("__c"))

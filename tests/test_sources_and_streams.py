@@ -1,6 +1,7 @@
 import datetime as dt
 import email
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -128,3 +129,14 @@ def test_digest(spark):
     assert [b["text"] for b in blocks] == ["steel body", "first paragraph", "second paragraph"]
     message = email.message_from_bytes(digest.mail(digest.sections(items), "S", "a@example.com", ["b@example.com"], "H"))
     assert message["Subject"] == "S" and [p.get_content_type() for p in message.walk()][1:] == ["text/plain", "text/html"]
+
+
+def test_a_long_digest_goes_as_several_messages(spark):
+    rows = [(i, f"title {i:04d}", "s" + str(i % 2), i % 2) for i in range(3000)]
+    items = spark.createDataFrame(rows, "pos int, title string, sector string, section int").selectExpr("*", "true AS found", "'neutral' AS take").repartition(5)
+    got = digest.mails(items, "S", "a@example.com", ["b@example.com"], "H", 10_000).orderBy("number").collect()
+    assert [r["number"] for r in got] == list(range(len(got))) and len(got) == 9
+    assert sum(s["items"] for r in got for s in r["sectors"]) == 3000
+    texts = [next(p for p in email.message_from_bytes(bytes(r["message"])).walk() if p.get_content_type() == "text/html").get_payload(decode=True).decode() for r in got]
+    assert [int(t) for text in texts for t in re.findall(r"title (\d+)", text)] == [*range(0, 3000, 2), *range(1, 3000, 2)]
+    assert digest.mails(items.limit(0), "S", "a@example.com", ["b@example.com"]).count() == 0
