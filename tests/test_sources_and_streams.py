@@ -140,3 +140,11 @@ def test_a_long_digest_goes_as_several_messages(spark):
     texts = [next(p for p in email.message_from_bytes(bytes(r["message"])).walk() if p.get_content_type() == "text/html").get_payload(decode=True).decode() for r in got]
     assert [int(t) for text in texts for t in re.findall(r"title (\d+)", text)] == [*range(0, 3000, 2), *range(1, 3000, 2)]
     assert digest.mails(items.limit(0), "S", "a@example.com", ["b@example.com"]).count() == 0
+
+
+def test_blocks_are_read_where_bodies_lie(spark):
+    articles = spark.createDataFrame([(f"u{i}", "t", [], "one paragraph\n\n<two> paragraphs") for i in range(9)], "url string, title string, matched_keywords array<string>, body string")
+    request = spark.createDataFrame([(i, f"u{i % 9}", "+", "") for i in range(30)], "pos int, url string, take string, sector string")
+    blocks = digest.digest_blocks(digest.digest_items(request, articles, {"a": ["x"], "b": ["y"]}, "a"))
+    assert blocks.count() == 60 and blocks.where("section = 0 AND sector = 'a'").count() == 60
+    assert "Window" not in blocks._jdf.queryExecution().optimizedPlan().toString()  # no sector in one task
