@@ -42,8 +42,10 @@ def items_b(payloads: DataFrame) -> DataFrame:
 
 
 def reports(cache: DataFrame, most: int = 10) -> DataFrame:
-    """The first reports of a cache file (json), each uuid once, ranked from 1 by position."""
-    rows = cache.select(F.posexplode(F.from_json("json", REPORTS)["reports"]).alias("seq", "r")).select("seq", "r.*").where("uuid is not null")
+    """The first reports of a cache (json), each uuid once, ranked from 1 by position. A cache of several files has them in the order of a column `part`."""
+    part = F.col("part") if "part" in cache.columns else F.lit(0)
+    rows = cache.select(part.alias("part"), F.posexplode(F.from_json("json", REPORTS)["reports"]).alias("pos", "r"))
+    rows = rows.select(F.struct("part", "pos").alias("seq"), "r.*").where("uuid is not null")
     top = first_seen(rows, "uuid").orderBy("seq").limit(most)
     from newsflow.operators.dedupe import ranked
 

@@ -148,3 +148,9 @@ def test_blocks_are_read_where_bodies_lie(spark):
     blocks = digest.digest_blocks(digest.digest_items(request, articles, {"a": ["x"], "b": ["y"]}, "a"))
     assert blocks.count() == 60 and blocks.where("section = 0 AND sector = 'a'").count() == 60
     assert "Window" not in blocks._jdf.queryExecution().optimizedPlan().toString()  # no sector in one task
+
+
+def test_reports_of_a_cache_of_several_files(spark):
+    part = lambda n, ids: (n, json.dumps({"captured_at": "now", "reports": [{"uuid": i, "title": "t", "href": "/h"} for i in ids]}))
+    cache = spark.createDataFrame([part(2, ["d", "a"]), part(0, ["b", "b"]), part(1, ["c", "b"])], "part long, json string")
+    assert [(r["rank"], r["uuid"]) for r in json_api.reports(cache).orderBy("rank").collect()] == [(1, "b"), (2, "c"), (3, "d"), (4, "a")]
