@@ -13,8 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,15 +34,16 @@ class ArticleState(StatefulProcessor):
         self.state = handle.getValueState("article", "first_seen long, expires long, body string")
 
     @staticmethod
-    def _row(url: str | None, event: str, at: int, state: tuple) -> dict:
-        return {"url": url, "event": event, "at": at, "first_seen": state[0], "body": state[2]}
+    def _row(url: str | None, event: str, at: int, state: tuple) -> Row:
+        return Row(url=url, event=event, at=at, first_seen=state[0], body=state[2])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         url = key[0]
-        finds = pd.concat(rows).sort_values(["at", "seq"], kind="stable")
-        state = before = tuple(self.state.get()) if self.state.exists() else None
+        finds = sorted(((r["at"], r["seq"] is None, r["seq"] or 0, r["body"]) for r in rows), key=lambda r: r[:3])
+        state = self.state.get()
+        state = before = None if state is None else tuple(state)
         out = []
-        for at, body in zip(finds["at"].tolist(), finds["body"].tolist(), strict=True):
+        for at, _, _, body in finds:
             body = body or ""
             if state is not None and at >= state[1]:
                 out.append(self._row(url, "expired", state[1], state))
@@ -60,14 +60,13 @@ class ArticleState(StatefulProcessor):
                 if before is not None:
                     self.handle.deleteTimer(_timer(before[1]))
                 self.handle.registerTimer(_timer(state[1]))
-        if out:
-            yield pd.DataFrame(out)
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            state = tuple(self.state.get())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self.state.get()
+        if state is not None:
             self.state.clear()
-            yield pd.DataFrame([self._row(key[0], "expired", state[1], state)])
+            yield self._row(key[0], "expired", state[1], tuple(state))
 
     def close(self) -> None:
         pass
@@ -82,7 +81,7 @@ def article_events(finds: DataFrame, horizon: dt.timedelta = dt.timedelta(hours=
     """The events (url, event, at, first_seen, body) of a stream of finds (url, seq, found_at, body). late: how late a find may come."""
     rows = finds.select("url", "seq", "found_at", F.unix_micros("found_at").alias("at"), "body").withWatermark("found_at", late)
     processor = ArticleState(int(horizon.total_seconds() * 1_000_000))
-    events = rows.groupBy("url").transformWithStateInPandas(processor, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    events = rows.groupBy("url").transformWithState(processor, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
     return events.select("url", "event", F.timestamp_micros("at").alias("at"), F.timestamp_micros("first_seen").alias("first_seen"), "body")
 
 
