@@ -154,8 +154,8 @@ class Landmarks:
 class WordCache:
     """Kernel values of the words met so far, as rows of a table; words like no landmark share row 0."""
 
-    def __init__(self, landmarks: Landmarks):
-        self.landmarks = landmarks
+    def __init__(self, landmarks: Landmarks, kept: int = KEPT):
+        self.landmarks, self.kept = landmarks, kept
         self.clear()
 
     def clear(self) -> None:
@@ -179,10 +179,14 @@ class WordCache:
         self.used = end
         self.rows.update(zip(words, number.tolist(), strict=True))
 
-    def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the sum of its words' kernel values with each landmark."""
+    def pooled(self, texts: list[str | None], rows_at_once: int = 256) -> np.ndarray:
+        """For each text the sum of its words' kernel values with each landmark; the words of rows_at_once texts are held at once."""
+        parts = [self._pooled(texts[a : a + rows_at_once]) for a in range(0, len(texts), rows_at_once)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.landmarks.words)))
+
+    def _pooled(self, texts: list[str | None]) -> np.ndarray:
         split = [words_of(t) for t in texts]
-        if len(self.rows) > KEPT:
+        if len(self.rows) > self.kept:
             self.clear()
         new = list(set().union(*split).difference(self.rows)) if split else []
         for a in range(0, len(new), 1 << 12):
@@ -269,7 +273,7 @@ def fit(texts: list[str], toxic: np.ndarray, toxic_share: float | None = None) -
     landmarks = Landmarks.of(choose_landmarks([texts[i] for i in some], toxic[some]))
     value, vector = np.linalg.eigh(landmarks.kernel(landmarks.words))
     whiten = (vector / np.sqrt(np.maximum(value, RIDGE))) @ vector.T
-    pooled = WordCache(landmarks).pooled(texts)
+    pooled = WordCache(landmarks, SMALL).pooled(texts)
     features = pooled @ whiten
     model = ToxicityModel(landmarks, whiten, features.mean(axis=0), features.std(axis=0) + 1e-3, np.zeros(1), (1.0, 0.0))
     x, y = (features - model.mean) / model.scale, 2.0 * toxic - 1

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -107,6 +108,19 @@ def sentences(n, seed):
     return rows
 
 
+def test_training_holds_the_words_of_a_few_texts_at_once():
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(2500)]
+    toxicity.WordCache(marks := toxicity.Landmarks.of(["idiot"])).pooled(texts[:10])
+    tracemalloc.start()
+    try:
+        got = toxicity.WordCache(marks, 5000).pooled([*texts, "idiot"])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.shape == (2501, 1) and got[-1, 0] > 0.99 and not got[:-1].any()
+    assert peak < 30e6  # all words at once take 55 MB
+
+
 def test_held_out_accuracy_and_edges(spark):
     rows = sentences(900, 7)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, None), (5001, ""), (5002, "a" * 2000 + " b l o r g f a c e snizz_le blorgface s n i z z l e"), (None, "x"), (1, rows[1][1])], "doc_id bigint, text string").withColumn("score", F.lit("clash"))
