@@ -217,3 +217,10 @@ def test_a_worker_holds_few_pages_at_once(spark):
         assert [None if x is None else own(x) for x in whole] == [None if i % 7 == 0 else f"page {i}" for i in range(1000)]
         got = spark.createDataFrame(list(enumerate(pages)), "i int, h string").coalesce(1).select("i", udf("h").alias("x")).orderBy("i").collect()
         assert [None if r.x is None else own(r.x) for r in got] == [None if x is None else own(x) for x in whole]
+
+
+def test_images_of_a_page_are_numbered_in_order():
+    pages = ["<body>" + "".join(f"<p>text {i}</p><img src='{i}.png'>" for i in range(n)) + "</body>" for n in (0, 3, 700)]
+    got = [x for p in H.dom_walk.func(iter([pa.array(pages)])) for x in p.to_pylist()]
+    for items, n in zip(got, (0, 3, 700), strict=True):
+        assert [(x["idx"], x["src"]) for x in items if x["t"] == "img"] == [(i, f"{i}.png") for i in range(n)]
