@@ -26,6 +26,7 @@ score of unknown words; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +62,7 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int =
         ids: list[pa.Array] = []
         sizes: list[int] = []
         numbers: list[np.ndarray] = []
-        known: dict[bytes, int] = {}
+        known = _numbered()
         n = 0
 
         def block() -> pa.RecordBatch:
@@ -75,14 +76,13 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int =
         for batch in batches:
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = (text or "").encode().translate(_LOWER).split()
-                add = known.setdefault
-                numbers.append(np.fromiter((add(w, len(known)) for w in words), np.uint32, len(words)))
+                numbers.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
                 ids.append(batch.column(0).slice(i, 1))
                 sizes.append(len(words))
                 n += len(words)
                 if n >= block_words:
                     yield block()
-                    ids, sizes, numbers, known, n = [], [], [], {}, 0
+                    ids, sizes, numbers, known, n = [], [], [], _numbered(), 0
         if ids:
             yield block()
 
@@ -90,6 +90,13 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_words: int =
     return rows.mapInArrow(run, f"ids array<{kind.simpleString()}>, sizes binary, vocabulary binary, words binary, n long")
 
 
+def _numbered() -> dict[bytes, int]:
+    """Numbers each new word that is looked up."""
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    return known
+
+
 def _word_kind(words: int) -> str:
     return "<u2" if words <= 1 << 16 else "<u4"
 
@@ -169,16 +176,18 @@ def _blocks_of(batch: pa.RecordBatch, bits: int) -> Iterator[Block]:
 def _counted(entries: DataFrame, groups: int) -> DataFrame:
     """From entries (bucket, part, block, keys, counts): for each block and bucket the places (`at`) and counts of those
     n-grams that occur in other blocks as well."""
-    dealt = entries.repartition("bucket", "part")
-    rows = dealt.select("bucket", "part", "block", F.posexplode("keys").alias("at", "key"), "counts").withColumn("n", F.get("counts", F.col("at"))).drop("counts")
+    # of one group, the part is no key
+    place = ["bucket", "part"] if groups > 1 else ["bucket"]
+    dealt = entries.repartition(*place)
+    rows = dealt.select(*place, "block", F.posexplode("keys").alias("at", "key"), "counts").withColumn("n", F.get("counts", F.col("at"))).drop("counts")
     # the counts ask for the block, too, so that Spark sees that both sides of the join read the same exchange
-    table = rows.groupBy("bucket", "part", "key").agg(F.sum("n").alias("count"), F.max("block").alias("some_block")).where("some_block is not null").drop("some_block")
+    table = rows.groupBy(*place, "key").agg(F.sum("n").alias("count"), F.max("block").alias("some_block")).where("some_block is not null").drop("some_block")
     if groups > 1:
         table = materialize(table)
         whole = table.groupBy("bucket", "key").agg(F.sum("count").alias("whole"))
         table = table.join(whole, ["bucket", "key"]).select("bucket", "part", "key", F.col("whole").alias("count"))
-    joined = rows.join(table.hint("shuffle_hash"), ["bucket", "part", "key"]).where("count > n")
-    return joined.groupBy("bucket", "part", "block").agg(F.collect_list("at").alias("at"), F.collect_list("count").alias("count")).select("block", "bucket", "at", "count")
+    joined = rows.join(table.hint("shuffle_hash"), [*place, "key"]).where("count > n")
+    return joined.groupBy(*place, "block").agg(F.collect_list("at").alias("at"), F.collect_list("count").alias("count")).select("block", "bucket", "at", "count")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, min_count: int = 1, block_words: int = BLOCK_WORDS, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
@@ -212,7 +221,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     for k in range(1, order + 1):
         entries = answered().drop("ids").mapInArrow(ask(k), "bucket long, block long, keys array<long>, counts array<int>")
-        entries = entries.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+        if groups > 1:
+            entries = entries.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
         by_block = _counted(entries, groups).groupBy("block").agg(F.collect_list(F.struct("bucket", "at", "count")).alias(f"answers{k}"))
         answers.append(materialize_by(by_block, "block", buckets, BLOCKS_AT_ONCE, **IN_PLACE))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -292,6 +292,16 @@ def test_scores_by_brute_force(spark):
     assert alone["n_tokens"] == 2 and math.isclose(alone["log_score"], math.log(0.4))
 
 
+def test_counts_of_one_group_are_keyed_by_bucket_alone(spark):
+    """One exchange for both sides of the join, and the same answers with and without parts."""
+    entries = spark.createDataFrame([(b, n, [1, 2 + n % 3, 9], [1, 1 + n, 2]) for b in range(3) for n in range(20)], "bucket long, block long, keys array<long>, counts array<int>")
+    one = lm_score._counted(entries, 1)
+    several = lm_score._counted(entries.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(3))), 3)
+    plain = lambda df: sorted((r.bucket, r.block, sorted(zip(r["at"], r["count"], strict=True))) for r in df.collect())
+    assert plain(one) == plain(several) and len(plain(one)) == 60
+    assert "part#" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_document_that_occurs_twice_is_told_apart(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(60)]
