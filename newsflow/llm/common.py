@@ -69,14 +69,14 @@ def materialize(df: DataFrame, rows_at_once: int = 1000, codec: str = "snappy",
     return table
 
 
-def materialize_by(df: DataFrame, key: str, buckets: int, rows_at_once: int = 1000, **also: str) -> DataFrame:
+def materialize_by(df: DataFrame, key: str, buckets: int, rows_at_once: int = 1000, codec: str = "snappy", **also: str) -> DataFrame:
     """Like `materialize`, in buckets by the hash of `key`: tables with as many buckets are joined and grouped on it without a shuffle.
     df should be dealt by the key already, as every task writes a file for each of its buckets. The table has a name in the session's catalog until it is discarded."""
     spark = df.sparkSession
     name = f"newsflow_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     with settings(spark, {CLEAN_UP: "true", BATCH_ROWS: str(rows_at_once)} | {f"spark.sql.{k}": v for k, v in also.items()}):
-        df.write.bucketBy(buckets, key).option("path", path).option("compression", "snappy").saveAsTable(name)
+        df.write.bucketBy(buckets, key).option("path", path).option("compression", codec).saveAsTable(name)
     for paths in _OPEN:
         paths.append(path)
     table = spark.table(name)

@@ -302,6 +302,43 @@ def test_counts_of_one_group_are_keyed_by_bucket_alone(spark):
     assert "part#" not in one._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_ngrams_of_one_group_are_no_rows(spark):
+    """A bucket's n-grams are counted as arrays, not laid out as a row for each block and n-gram."""
+    entries = spark.createDataFrame([(5, 1, [7, 8, 9], [1, 2, 3]), (5, 2, [9, 6], [4, 1]), (6, 1, [9], [2]), (6, 3, [8, 9], [1, 1 << 30]), (6, 4, [9], [1 << 30])], "bucket long, block long, keys array<long>, counts array<int>")
+    got = lm_score._counted(entries, 1)
+    assert sorted((r.bucket, r.block, r["at"], r["count"]) for r in got.collect()) == [(5, 1, [2], [7]), (5, 2, [0], [7]), (6, 1, [0], [2 + (1 << 31)]), (6, 3, [1], [2 + (1 << 31)]), (6, 4, [0], [2 + (1 << 31)])]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_words_keep_apart():
+    """Every word has a hash of its own, whatever its length, its zero bytes and what stands around it."""
+    rng = random.Random(3)
+    words = {"".join(rng.choice("a\0é\u3042z") for _ in range(rng.randrange(1, 20))).encode() for _ in range(5000)} | {b"x" * n for n in range(1, 40)} | {b"x" + b"\0" * n for n in range(40)}
+    words = sorted(words)
+    text = b"".join(w + rng.choice([b" ", b"\t\n", b"\x0b\x0c\r "]) for w in [*words, *words[::-1]])
+    begins, ends = lm_score._words(np.frombuffer(text, np.uint8))
+    assert [text[i:j] for i, j in zip(begins, ends, strict=True)] == text.split() == [*words, *words[::-1]]
+    for half in lm_score._hashes(text, begins, ends):
+        assert len(set(half.tolist())) == len(words) and (half[: len(words)] == half[len(words) :][::-1]).all()
+
+
+def test_equal_keys_lie_together_in_order():
+    for keys in ([], [5], [3, 3], [1 << 63, 0, 1, 0, 1, 2, 1 << 63, 1], [rng_key % 7 << 60 | rng_key % 3 for rng_key in range(500)]):
+        keys = np.array(keys, np.uint64)
+        assert lm_score._sorted(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+
+
+def test_odd_words_by_brute_force(spark):
+    rng = random.Random(5)
+    odd = ["a", "A", "a\0", "a\0\0", "\0", "é", "É", "x" * 15, "x" * 16, "X" * 16, "x" * 17, "\u3042" * 5, "\u3042" * 6, "\xa0", "\x1c", "\x85"]
+    texts = [rng.choice(" \t\n\x0b\x0c\r").join(rng.choice(odd) for _ in range(rng.randrange(0, 30))) for _ in range(120)] + [" ", " a", "a ", "\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in lm_score.score_documents(docs, block_words=200).collect()}
+    for i, (n, s) in enumerate(brute_scores(texts, 3, 1)):
+        assert got[i]["n_tokens"] == n and math.isclose(got[i]["log_score"], s, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_a_document_that_occurs_twice_is_told_apart(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(60)]
