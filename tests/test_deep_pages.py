@@ -36,3 +36,7 @@ def test_an_end_tag_costs_no_walk_up_the_page():
     tree.open = type("Open", (list,), {"__iter__": lambda self: pytest.fail("walks all open elements")})(tree.open)
     tree.feed("</p></i>")
     assert [e.name for e in list.__iter__(tree.open)] == ["root", "p", "b", "p", "b"]
+
+
+def test_extract_and_clean_deep_pages(spark, deep):
+    assert run(spark, deep, "h12_extract_and_clean") == [(0, "Deep", 1), (1, "Deep", len(CHAIN)), (2, "Deep", 1)]
