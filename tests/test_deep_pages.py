@@ -7,6 +7,7 @@ from newsflow import catalog
 DEPTH = 1500
 WORDS = " ".join(["word"] * DEPTH)
 CHAIN = [f"word{i}" for i in range(DEPTH // 2)]
+BODIES = [f"<p><strong>{WORDS}</strong></p>", f"<p>{CHAIN[0]}<strong>{' '.join(CHAIN[1:])}</strong></p>", "<p>inside all of these</p>"]
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +41,7 @@ def test_an_end_tag_costs_no_walk_up_the_page():
 
 def test_extract_and_clean_deep_pages(spark, deep):
     assert run(spark, deep, "h12_extract_and_clean") == [(0, "Deep", 1), (1, "Deep", len(CHAIN)), (2, "Deep", 1)]
+
+
+def test_live_body_of_deep_pages(spark, deep):
+    assert run(spark, deep, "h15_live_body") == [(n, len(b)) for n, b in enumerate(BODIES)]
