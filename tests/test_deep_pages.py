@@ -49,3 +49,7 @@ def test_live_body_of_deep_pages(spark, deep):
 
 def test_dom_walk_of_deep_pages(spark, deep):
     assert run(spark, deep, "h17_dom_walk") == [(0, 0, "p", WORDS), (1, 0, "p", " ".join(CHAIN)), (2, 0, "p", "inside all of these")]
+
+
+def test_sanitize_deep_pages(spark, deep):
+    assert run(spark, deep, "h1_sanitize") == list(enumerate(BODIES))
