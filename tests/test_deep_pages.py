@@ -53,3 +53,7 @@ def test_dom_walk_of_deep_pages(spark, deep):
 
 def test_sanitize_deep_pages(spark, deep):
     assert run(spark, deep, "h1_sanitize") == list(enumerate(BODIES))
+
+
+def test_container_of_deep_pages(spark, deep):
+    assert run(spark, deep, "h3_container") == list(enumerate(BODIES))
