@@ -1,5 +1,7 @@
 """Pages whose elements nest deeper than Python's calls may: tags that are never closed do that to any long page."""
 
+import hashlib
+
 import pyarrow as pa
 import pytest
 
@@ -66,3 +68,7 @@ def test_blocks_of_deep_pages(spark, deep):
 def test_blocks_below_nested_phrases():
     (found,) = H.blocks.func(iter([pa.array(["<span>" * DEPTH + "some text"])]))
     assert found.to_pylist() == [[{"type": "text", "text": "some text", "bold": False, "src": None}]]
+
+
+def test_detail_pages_that_are_deep(spark, deep):
+    assert run(spark, deep, "r24_detail_pages") == [(n, hashlib.md5(b.encode()).hexdigest()) for n, b in enumerate(BODIES)]
