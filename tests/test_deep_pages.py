@@ -72,3 +72,7 @@ def test_blocks_below_nested_phrases():
 
 def test_detail_pages_that_are_deep(spark, deep):
     assert run(spark, deep, "r24_detail_pages") == [(n, hashlib.md5(b.encode()).hexdigest()) for n, b in enumerate(BODIES)]
+
+
+def test_extractor_registry_on_deep_pages(spark, deep):
+    assert run(spark, deep, "u1_extractor_registry") == [(n, "Deep", 1) for n in range(3)]
